@@ -13,6 +13,11 @@ Contract (one tick, per policy):
      otherwise LOW_UTILIZATION.
 Watched reports of a policy that fails validation or has no resolvable target
 get INVALID_POLICY and nothing else happens for them.
+
+All of it is one table, ``tick_table``: each watched report joined once with
+its state row, its current lineage and its home (initial) lineage, and the
+decision is one ``when`` chain. Every other output of the run is a filter or
+projection of that table, so the joins run once per run.
 """
 
 from __future__ import annotations
@@ -22,7 +27,6 @@ from pyspark.sql import functions as F
 
 from capshift.functions.ids import py_strip
 from capshift.functions.metrics import floor_zero
-from capshift.operators.lineage import report_lineage
 
 # Decision kinds in precedence order.
 DECISION_KINDS = ("INVALID_POLICY", "RECOVER", "TARGET_OVERLOADED", "UNRESOLVED", "SAME_CAPACITY",
@@ -30,6 +34,10 @@ DECISION_KINDS = ("INVALID_POLICY", "RECOVER", "TARGET_OVERLOADED", "UNRESOLVED"
 
 DECISION_COLUMNS = ["policy_id", "report_id", "decision", "report_workspace_id", "capacity_id",
                     "utilization", "target_workspace_id", "target_capacity_id"]
+MOVE_COLUMNS = ["policy_id", "report_id", "decision", "report_workspace_id", "dataset_id", "dataset_name",
+                "dataset_workspace_id", "capacity_id", "utilization", "target_workspace_id", "target_capacity_id"]
+RECOVERY_COLUMNS = ["policy_id", "report_id", "report_workspace_id", "target_dataset_id", "initial_dataset_id",
+                    "initial_workspace_id", "initial_capacity_id", "initial_peak"]
 
 
 def with_peak(df: DataFrame, peaks: DataFrame, cap_col: str, out_col: str) -> DataFrame:
@@ -53,37 +61,61 @@ def policy_context(policies: DataFrame, checks: DataFrame, targets: DataFrame,
         F.coalesce(F.col("target_peak") > gate, F.lit(False)).alias("overloaded"))
 
 
-def repoint_lookup(watched: DataFrame, state: DataFrame) -> DataFrame:
-    """A watched report's state row, if any (state is unique by report_id)."""
+def tick_table(watched_ctx: DataFrame, state: DataFrame, reports: DataFrame, datasets: DataFrame,
+               workspaces: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Every watched report with its state row, both lineages, both peaks and its decision.
+
+    ``watched_ctx`` is the watched list joined with ``policy_context``. Joins:
+    state and reports on report_id (co-partitioned, one shuffle of each side),
+    datasets on the current and on the initial dataset id, workspaces and
+    peaks (small; broadcast when measured small at run time).
+    """
     s = state.select("report_id", "initial_dataset_id", "target_dataset_id",
                      F.col("target_workspace_id").alias("state_target_workspace_id"))
-    return watched.select("policy_id", "report_id").join(s, "report_id", "left").select(
-        "policy_id", "report_id", F.col("initial_dataset_id").isNotNull().alias("in_state"),
-        "initial_dataset_id", "target_dataset_id", "state_target_workspace_id")
+    r = reports.select("report_id", F.col("workspace_id").alias("report_workspace_id"), "dataset_id")
+    cur_ds = datasets.select("dataset_id", F.col("name").alias("dataset_name"),
+                             F.col("workspace_id").alias("dataset_workspace_id"))
+    cur_ws = workspaces.select(F.col("workspace_id").alias("dataset_workspace_id"),
+                               py_strip(F.col("capacity_id")).alias("capacity_id"))
+    home_ds = datasets.select(F.col("dataset_id").alias("initial_dataset_id"),
+                              F.col("workspace_id").alias("initial_workspace_id"))
+    home_ws = workspaces.select(F.col("workspace_id").alias("initial_workspace_id"),
+                                py_strip(F.col("capacity_id")).alias("initial_capacity_id"))
+    j = (watched_ctx.join(s, "report_id", "left")
+         .join(r, "report_id", "left")
+         .join(cur_ds, "dataset_id", "left")
+         .join(cur_ws, "dataset_workspace_id", "left")
+         .join(home_ds, "initial_dataset_id", "left")
+         .join(home_ws, "initial_workspace_id", "left"))
+    j = with_peak(with_peak(j, peaks, "capacity_id", "utilization"), peaks, "initial_capacity_id", "initial_peak")
+    valid = F.coalesce(F.col("valid"), F.lit(False))
+    recover = (valid & F.col("initial_dataset_id").isNotNull() & F.col("initial_capacity_id").isNotNull()
+               & (F.col("initial_peak") < F.col("recovery_threshold")))
+    decision = (F.when(~valid, "INVALID_POLICY")
+                .when(recover, "RECOVER")
+                .when(F.col("overloaded"), "TARGET_OVERLOADED")
+                .when(F.col("capacity_id").isNull(), "UNRESOLVED")
+                .when(F.col("capacity_id") == F.col("target_capacity_id"), "SAME_CAPACITY")
+                .when(F.col("utilization") > F.col("move_threshold"), "MOVE")
+                .otherwise("LOW_UTILIZATION"))
+    return j.withColumns({"decision": decision, "in_state": F.col("initial_dataset_id").isNotNull(),
+                          "valid": valid})
 
 
-def recoveries(watched_ctx: DataFrame, state: DataFrame, reports: DataFrame, datasets: DataFrame,
-               workspaces: DataFrame, peaks: DataFrame) -> DataFrame:
+def repoint_lookup(tick: DataFrame) -> DataFrame:
+    """A watched report's state row, if any (state is unique by report_id)."""
+    return tick.where("valid").select("policy_id", "report_id", "in_state", "initial_dataset_id",
+                                      "target_dataset_id", "state_target_workspace_id")
+
+
+def recoveries(tick: DataFrame) -> DataFrame:
     """Moved reports whose home capacity is back below the recovery threshold."""
-    s = state.select("report_id", "initial_dataset_id", "target_dataset_id")
-    d = datasets.select(F.col("dataset_id").alias("initial_dataset_id"),
-                        F.col("workspace_id").alias("initial_workspace_id"))
-    w = workspaces.select(F.col("workspace_id").alias("initial_workspace_id"),
-                          py_strip(F.col("capacity_id")).alias("initial_capacity_id"))
-    r = reports.select("report_id", F.col("workspace_id").alias("report_workspace_id"))
-    j = (watched_ctx.join(s, "report_id", "inner")
-         .join(d, "initial_dataset_id", "left")
-         .join(w, "initial_workspace_id", "left"))
-    j = with_peak(j, peaks, "initial_capacity_id", "initial_peak")
-    j = j.where(F.col("initial_capacity_id").isNotNull() & (F.col("initial_peak") < F.col("recovery_threshold")))
-    return j.join(r, "report_id", "left").select(
-        "policy_id", "report_id", "report_workspace_id", "target_dataset_id", "initial_dataset_id",
-        "initial_workspace_id", "initial_capacity_id", "initial_peak")
-
-
-def remaining_reports(watched_ctx: DataFrame, recovered: DataFrame) -> DataFrame:
-    """Watched minus recovered (anti join)."""
-    return watched_ctx.join(recovered.select("policy_id", "report_id"), ["policy_id", "report_id"], "left_anti")
+    return tick.where(F.col("decision") == "RECOVER").select(*RECOVERY_COLUMNS)
+
+
+def remaining_reports(tick: DataFrame) -> DataFrame:
+    """Watched (valid policies) minus recovered."""
+    return tick.where(F.col("valid") & (F.col("decision") != "RECOVER"))
 
 
 def target_gate(ctx: DataFrame, remaining: DataFrame) -> DataFrame:
@@ -95,31 +127,23 @@ def target_gate(ctx: DataFrame, remaining: DataFrame) -> DataFrame:
                     (F.col("overloaded") & (F.col("n_remaining") > 0)).alias("raise_alert"))
 
 
-def move_decisions(remaining: DataFrame, reports: DataFrame, datasets: DataFrame, workspaces: DataFrame,
-                   peaks: DataFrame) -> DataFrame:
-    """Decision for every remaining report, with its lineage."""
-    lin = with_peak(report_lineage(remaining, reports, datasets, workspaces), peaks, "capacity_id", "utilization")
-    decision = (F.when(F.col("overloaded"), "TARGET_OVERLOADED")
-                .when(F.col("capacity_id").isNull(), "UNRESOLVED")
-                .when(F.col("capacity_id") == F.col("target_capacity_id"), "SAME_CAPACITY")
-                .when(F.col("utilization") > F.col("move_threshold"), "MOVE")
-                .otherwise("LOW_UTILIZATION"))
-    return lin.select(
-        "policy_id", "report_id", decision.alias("decision"), "report_workspace_id", "dataset_id",
-        "dataset_name", "dataset_workspace_id", "capacity_id", "utilization", "target_workspace_id",
-        "target_capacity_id")
-
-
-def all_decisions(invalid: DataFrame, recovered: DataFrame, moves: DataFrame) -> DataFrame:
-    """One row per watched report and policy."""
-    inv = invalid.select("policy_id", "report_id", F.lit("INVALID_POLICY").alias("decision"),
-                         F.lit(None).cast("string").alias("report_workspace_id"),
-                         F.lit(None).cast("string").alias("capacity_id"),
-                         F.lit(None).cast("double").alias("utilization"),
-                         "target_workspace_id", "target_capacity_id")
-    rec = recovered.select("policy_id", "report_id", F.lit("RECOVER").alias("decision"), "report_workspace_id",
-                           F.col("initial_capacity_id").alias("capacity_id"),
-                           F.col("initial_peak").alias("utilization"),
-                           F.col("initial_workspace_id").alias("target_workspace_id"),
-                           F.col("initial_capacity_id").alias("target_capacity_id"))
-    return inv.unionByName(rec).unionByName(moves.select(*DECISION_COLUMNS))
+def move_decisions(tick: DataFrame) -> DataFrame:
+    """Decision for every remaining report, with its lineage."""
+    return remaining_reports(tick).select(*MOVE_COLUMNS)
+
+
+def all_decisions(tick: DataFrame) -> DataFrame:
+    """One row per watched report and policy; a recovery is reported on its home capacity."""
+    rec = F.col("decision") == "RECOVER"
+    inv = F.col("decision") == "INVALID_POLICY"
+
+    def pick(recovering: str, otherwise: str) -> F.Column:
+        return F.when(rec, F.col(recovering)).otherwise(F.col(otherwise))
+
+    return tick.select(
+        "policy_id", "report_id", "decision",
+        F.when(~inv, F.col("report_workspace_id")).alias("report_workspace_id"),
+        F.when(~inv, pick("initial_capacity_id", "capacity_id")).alias("capacity_id"),
+        F.when(~inv, pick("initial_peak", "utilization")).alias("utilization"),
+        pick("initial_workspace_id", "target_workspace_id").alias("target_workspace_id"),
+        pick("initial_capacity_id", "target_capacity_id").alias("target_capacity_id"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from capshift.operators import decide, lineage, peaks, policy, state
 from capshift.params import RunParams
+from capshift.session import shared_root
 from capshift.plans import actions, logs
 from capshift.sources.events import parse_events
 
@@ -33,8 +34,9 @@ class Inventory:
 
 class BalanceRun:
     def __init__(self, params: RunParams, policies: DataFrame, watched: DataFrame, state_df: DataFrame,
-                 inventory: Inventory, capacity_events: DataFrame):
+                 inventory: Inventory, capacity_events: DataFrame, materialize: bool = True):
         self.params = params
+        self.materialize = materialize
         self.policies = policies
         self.watched = watched
         self.state = state_df
@@ -42,8 +44,21 @@ class BalanceRun:
         self.capacity_events = capacity_events
 
     @classmethod
-    def from_watch_lists(cls, params, policies, watch_lists, state_df, inventory, capacity_events):
-        return cls(params, policies, lineage.watched_reports(watch_lists), state_df, inventory, capacity_events)
+    def from_watch_lists(cls, params, policies, watch_lists, state_df, inventory, capacity_events, **kw):
+        return cls(params, policies, lineage.watched_reports(watch_lists), state_df, inventory, capacity_events,
+                   **kw)
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        """Cut lineage at a table many outputs read: a reliable checkpoint in the
+        shared checkpoint folder (survives executor loss; never a local one)."""
+        if not self.materialize:
+            return df
+        shared_root(df.sparkSession)
+        # Persist first so that writing the checkpoint does not compute it twice.
+        df = df.persist()
+        kept = df.checkpoint(eager=True)
+        df.unpersist()
+        return kept
 
     # -- measurements -----------------------------------------------------------
     @cached_property
@@ -52,7 +67,7 @@ class BalanceRun:
 
     @cached_property
     def peaks(self) -> DataFrame:
-        return peaks.capacity_peak(self.parsed_events, self.params)
+        return self._keep(peaks.capacity_peak(self.parsed_events, self.params))
 
     # -- policies -------------------------------------------------------------
     @cached_property
@@ -71,27 +86,23 @@ class BalanceRun:
     def watched_ctx(self) -> DataFrame:
         return self.watched.join(self.context, "policy_id", "left")
 
+    # -- the tick ---------------------------------------------------------------
     @cached_property
-    def valid_watched(self) -> DataFrame:
-        return self.watched_ctx.where(F.coalesce(F.col("valid"), F.lit(False)))
-
-    @cached_property
-    def invalid_watched(self) -> DataFrame:
-        return self.watched_ctx.where(~F.coalesce(F.col("valid"), F.lit(False)))
+    def tick(self) -> DataFrame:
+        return self._keep(decide.tick_table(self.watched_ctx, self.state, self.inv.reports, self.inv.datasets,
+                                            self.inv.workspaces, self.peaks))
 
-    # -- the tick ---------------------------------------------------------------
     @cached_property
     def lookups(self) -> DataFrame:
-        return decide.repoint_lookup(self.valid_watched, self.state)
+        return decide.repoint_lookup(self.tick)
 
     @cached_property
     def recovered(self) -> DataFrame:
-        return decide.recoveries(self.valid_watched, self.state, self.inv.reports, self.inv.datasets,
-                                 self.inv.workspaces, self.peaks)
+        return decide.recoveries(self.tick)
 
     @cached_property
     def remaining(self) -> DataFrame:
-        return decide.remaining_reports(self.valid_watched, self.recovered)
+        return decide.remaining_reports(self.tick)
 
     @cached_property
     def gate(self) -> DataFrame:
@@ -99,12 +110,11 @@ class BalanceRun:
 
     @cached_property
     def moves(self) -> DataFrame:
-        return decide.move_decisions(self.remaining, self.inv.reports, self.inv.datasets, self.inv.workspaces,
-                                     self.peaks)
+        return decide.move_decisions(self.tick)
 
     @cached_property
     def decisions(self) -> DataFrame:
-        return decide.all_decisions(self.invalid_watched, self.recovered, self.moves)
+        return decide.all_decisions(self.tick)
 
     # -- plans and outputs --------------------------------------------------------
     @cached_property
@@ -136,7 +146,7 @@ class BalanceRun:
 
     @cached_property
     def log(self) -> DataFrame:
-        return logs.decision_log(self.params, self.peaks, self.lookups, self.decisions, self.gate, self.actions)
+        return logs.decision_log(self.params, self.peaks, self.tick, self.gate, self.actions)
 
     @cached_property
     def alerts(self) -> DataFrame:

@@ -25,47 +25,75 @@ def _rows(df: DataFrame, params: RunParams, kind: str, message: F.Column, policy
     def col_or_null(c, t):
         return F.col(c).cast(t) if c else F.lit(None).cast(t)
 
+    kind_col = F.col("kind") if kind is None else F.lit(kind)
     return df.select(
-        ts_literal(params.as_of).alias("timestamp"), F.lit(params.run_id).alias("run_id"), F.lit(kind).alias("kind"),
+        ts_literal(params.as_of).alias("timestamp"), F.lit(params.run_id).alias("run_id"), kind_col.alias("kind"),
         col_or_null(policy, "string").alias("policy_id"), col_or_null(report, "string").alias("report_id"),
         col_or_null(capacity, "string").alias("capacity_id"), col_or_null(value, "double").alias("value"),
         message.alias("message"))
 
 
-def decision_log(params: RunParams, peaks: DataFrame, lookups: DataFrame, decisions: DataFrame,
-                 gate: DataFrame, actions: DataFrame) -> DataFrame:
+# Per-report log kinds and their text, in the order they are logged.
+REPORT_KINDS = {
+    "SAME_CAPACITY": " already runs on the target capacity",
+    "LOW_UTILIZATION": " stays: its capacity is not above the move threshold",
+    "UNRESOLVED": " could not be traced to a capacity",
+    "INVALID_POLICY": " skipped: its policy is invalid",
+}
+
+
+def _report_entries(tick: DataFrame) -> F.Column:
+    """All log entries of one watched report, as an array of (kind, capacity, value, message)."""
+    d = F.col("decision")
+    rec = d == "RECOVER"
+    inv = d == "INVALID_POLICY"
+    rid = _txt("report_id")
+
+    def entry(cond, kind, capacity, value, message):
+        return F.when(cond, F.struct(
+            (kind if isinstance(kind, F.Column) else F.lit(kind)).alias("kind"),
+            capacity.cast("string").alias("capacity_id"), value.cast("double").alias("value"),
+            message.alias("message")))
+
+    null_s, null_d = F.lit(None).cast("string"), F.lit(None).cast("double")
+    cap = F.when(~inv, F.when(rec, F.col("initial_capacity_id")).otherwise(F.col("capacity_id")))
+    util = F.when(~inv, F.when(rec, F.col("initial_peak")).otherwise(F.col("utilization")))
+    home_ws = F.when(rec, F.col("initial_workspace_id")).otherwise(F.col("target_workspace_id"))
+    text = F.coalesce(*[F.when(d == k, F.lit(t)) for k, t in REPORT_KINDS.items()])
+    entries = [
+        entry(F.lit(True), "CHECKING", null_s, null_d,
+              F.concat(F.lit("checking report "), rid, F.lit(" in workspace "),
+                       F.coalesce(F.when(~inv, F.col("report_workspace_id")), F.lit("unknown")))),
+        entry(F.col("valid") & ~F.col("in_state"), "NOT_IN_CACHE", null_s, null_d,
+              F.concat(F.lit("report "), rid, F.lit(" has no repoint to undo"))),
+        entry(rec, "REPOINT_BACK", cap, util,
+              F.concat(F.lit("report "), rid, F.lit(" goes back home to workspace "),
+                       F.coalesce(home_ws, F.lit("unknown")))),
+        entry(d.isin(*REPORT_KINDS), d, cap, util, F.concat(F.lit("report "), rid, text)),
+    ]
+    return F.filter(F.array(*entries), lambda e: e.isNotNull())
+
+
+def decision_log(params: RunParams, peaks: DataFrame, tick: DataFrame, gate: DataFrame,
+                 actions: DataFrame) -> DataFrame:
+    """D-L: capacity readings, one pass over the tick for per-report entries, gates, rebinds."""
+    per_report = tick.select("policy_id", "report_id", F.explode(_report_entries(tick)).alias("e"))
+    per_report = _rows(per_report.select("policy_id", "report_id", "e.*"), params, None, F.col("message"))
     parts = [
         _rows(peaks, params, "CONSUMPTION",
               F.concat(F.lit("peak utilisation measured for capacity "), _txt("capacity_id")),
               policy=None, report=None, value="peak_utilization"),
-        _rows(decisions, params, "CHECKING",
-              F.concat(F.lit("checking report "), _txt("report_id"), F.lit(" in workspace "),
-                       _txt("report_workspace_id")), capacity=None, value=None),
-        _rows(lookups.where(~F.col("in_state")), params, "NOT_IN_CACHE",
-              F.concat(F.lit("report "), _txt("report_id"), F.lit(" has no repoint to undo")),
-              capacity=None, value=None),
-        _rows(decisions.where(F.col("decision") == "RECOVER"), params, "REPOINT_BACK",
-              F.concat(F.lit("report "), _txt("report_id"), F.lit(" goes back home to workspace "),
-                       _txt("target_workspace_id")), value="utilization"),
+        per_report,
         _rows(gate.where("raise_alert"), params, "TARGET_OVERLOADED",
               F.concat(F.lit("no move: target workspace "), _txt("target_workspace_id"), F.lit(" on capacity "),
                        _txt("target_capacity_id"), F.lit(" is above headroom")),
               report=None, capacity="target_capacity_id", value="target_peak"),
+        _rows(actions, params, "REPOINTED",
+              F.concat(F.lit("report "), _txt("report_id"), F.lit(" rebinds to dataset "),
+                       F.coalesce(F.col("target_dataset_id"), F.lit("(new copy)")),
+                       F.lit(" in workspace "), _txt("target_workspace_id")),
+              capacity=None, value="utilization"),
     ]
-    texts = {
-        "SAME_CAPACITY": " already runs on the target capacity",
-        "LOW_UTILIZATION": " stays: its capacity is not above the move threshold",
-        "UNRESOLVED": " could not be traced to a capacity",
-        "INVALID_POLICY": " skipped: its policy is invalid",
-    }
-    for kind, text in texts.items():
-        parts.append(_rows(decisions.where(F.col("decision") == kind), params, kind,
-                           F.concat(F.lit("report "), _txt("report_id"), F.lit(text)), value="utilization"))
-    parts.append(_rows(actions, params, "REPOINTED",
-                       F.concat(F.lit("report "), _txt("report_id"), F.lit(" rebinds to dataset "),
-                                F.coalesce(F.col("target_dataset_id"), F.lit("(new copy)")),
-                                F.lit(" in workspace "), _txt("target_workspace_id")),
-                       capacity=None, value="utilization"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -52,9 +52,12 @@ class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str, policy: str = "P1"):
         self.spark, self.sf_dir, self.policy = spark, sf_dir.rstrip("/"), policy
         self.params = RunParams(as_of=AS_OF, lookback=lookback_for(sf_dir), run_id=f"fixture-{policy}")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     # -- events ---------------------------------------------------------------
     @staticmethod
@@ -128,9 +131,12 @@ class Fixture:
         token = (F.when(pad == 1, F.concat(F.lit(" "), _s("id")))
                  .when(pad == 2, F.concat(_s("id"), F.lit("\t\n")))
                  .otherwise(_s("id")))
+        # The policy id is a per-row value, as it is when read from a table. A
+        # bare literal on both sides of the policy join lets the optimizer turn
+        # the key into an always-true filter and plan a cross product.
         return (tokens.select("block", token.alias("token"))
                 .groupBy("block").agg(F.concat_ws(",", F.collect_list("token")).alias("report_ids"))
-                .select(F.lit(self.policy).alias("policy_id"), "report_ids"))
+                .select(F.when(F.col("block").isNotNull(), F.lit(self.policy)).alias("policy_id"), "report_ids"))
 
     @cached_property
     def state(self) -> DataFrame:
