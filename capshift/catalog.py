@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capshift.operators import lineage, peaks, policy, replay, state
-from capshift.plans.balance import BalanceRun, Inventory
+from capshift.plans.balance import BalanceRun
 from capshift.sources.events import in_lookback, parse_events, with_metrics
 from capshift.sources.fixtures import HEADROOM, MOVE_T, RECOVER_R, Fixture
 from capshift.streaming import hysteresis as stream_hyst
@@ -28,10 +28,7 @@ PARSED_COLUMNS = ["time", "capacity_id", "capacity_unit_ms", "base_capacity_unit
 
 def fixture_run(spark: SparkSession, sf_dir: str, policy_name: str = "P1") -> BalanceRun:
     fx = Fixture(spark, sf_dir, policy_name)
-    inv = Inventory(fx.workspaces, fx.datasets, fx.reports, fx.datasources, fx.connections, fx.refresh_schedules)
-    run = BalanceRun.from_watch_lists(fx.params, fx.policies, fx.watch_lists, fx.state, inv, fx.capacity_events)
-    run.fixture = fx
-    return run
+    return BalanceRun(fx.params, source=fx)
 
 
 # -- events ------------------------------------------------------------------------
@@ -59,7 +56,7 @@ def q_interactive_share(spark, sf_dir):
 
 
 def q_capacity_peak(spark, sf_dir):
-    return fixture_run(spark, sf_dir).peaks
+    return fixture_run(spark, sf_dir).peak_plan
 
 
 def q_rolling_peak(spark, sf_dir):

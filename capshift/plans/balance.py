@@ -32,21 +32,63 @@ class Inventory:
     refresh_schedules: DataFrame | None = None
 
 
+class LazyInventory:
+    """Inventory whose tables are read from ``source`` only when a run needs them."""
+
+    FIELDS = ("workspaces", "datasets", "reports", "datasources", "connections", "refresh_schedules")
+
+    def __init__(self, source):
+        self._source = source
+
+    def __getattr__(self, name):
+        if name in LazyInventory.FIELDS:
+            return getattr(self._source, name)
+        raise AttributeError(name)
+
+
 class BalanceRun:
-    def __init__(self, params: RunParams, policies: DataFrame, watched: DataFrame, state_df: DataFrame,
-                 inventory: Inventory, capacity_events: DataFrame, materialize: bool = True):
+    """Inputs are DataFrames, or are read on first use from ``source`` (any object
+    with attributes ``policies``, ``watch_lists``, ``state``, ``capacity_events``
+    and the inventory tables), so building a run costs nothing until an output
+    is asked for.
+    """
+
+    def __init__(self, params: RunParams, policies: DataFrame | None = None, watched: DataFrame | None = None,
+                 state_df: DataFrame | None = None, inventory: Inventory | LazyInventory | None = None,
+                 capacity_events: DataFrame | None = None, materialize: bool = True,
+                 watch_lists: DataFrame | None = None, source=None):
         self.params = params
         self.materialize = materialize
-        self.policies = policies
-        self.watched = watched
-        self.state = state_df
-        self.inv = inventory
-        self.capacity_events = capacity_events
+        self._given = {"policies": policies, "watched": watched, "state": state_df,
+                       "capacity_events": capacity_events, "watch_lists": watch_lists}
+        self._source = source
+        self.inv = inventory if inventory is not None else LazyInventory(source)
+
+    def _input(self, name: str) -> DataFrame:
+        df = self._given.get(name)
+        return df if df is not None else getattr(self._source, name)
 
     @classmethod
     def from_watch_lists(cls, params, policies, watch_lists, state_df, inventory, capacity_events, **kw):
-        return cls(params, policies, lineage.watched_reports(watch_lists), state_df, inventory, capacity_events,
-                   **kw)
+        return cls(params, policies, None, state_df, inventory, capacity_events, watch_lists=watch_lists, **kw)
+
+    @cached_property
+    def policies(self) -> DataFrame:
+        return self._input("policies")
+
+    @cached_property
+    def state(self) -> DataFrame:
+        return self._input("state")
+
+    @cached_property
+    def capacity_events(self) -> DataFrame:
+        return self._input("capacity_events")
+
+    @cached_property
+    def watched(self) -> DataFrame:
+        if self._given["watched"] is not None:
+            return self._given["watched"]
+        return lineage.watched_reports(self._input("watch_lists"))
 
     def _keep(self, df: DataFrame) -> DataFrame:
         """Cut lineage at a table many outputs read: a reliable checkpoint in the
@@ -65,9 +107,13 @@ class BalanceRun:
     def parsed_events(self) -> DataFrame:
         return parse_events(self.capacity_events)
 
+    @cached_property
+    def peak_plan(self) -> DataFrame:
+        return peaks.capacity_peak(self.parsed_events, self.params)
+
     @cached_property
     def peaks(self) -> DataFrame:
-        return self._keep(peaks.capacity_peak(self.parsed_events, self.params))
+        return self._keep(self.peak_plan)
 
     # -- policies -------------------------------------------------------------
     @cached_property
