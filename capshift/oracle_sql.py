@@ -294,7 +294,7 @@ FROM moved m
 JOIN (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS dataset_id, CAST(l_suppkey AS VARCHAR) AS datasource_id
       FROM lineitem WHERE l_orderkey % 3 = 0) ds ON ds.dataset_id = m.source_dataset_id
 LEFT JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS datasource_id,
-                  CASE WHEN s_nationkey % 5 = 0 THEN 'ShareableCloud' ELSE 'OnPremisesGateway' END
+                  CASE WHEN s_nationkey % 5 = 0 THEN 'Cloud' ELSE 'Gateway' END
                     AS connectivity_type,
                   CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE CAST(s_nationkey AS VARCHAR) END AS gateway_id,
                   s_name AS path, 'SQL' AS type FROM supplier) c ON c.datasource_id = ds.datasource_id"""),

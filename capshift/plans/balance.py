@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capshift.operators import decide, lineage, peaks, policy, state
+from capshift.operators.joins import join_small
 from capshift.params import RunParams
 from capshift.session import shared_root
 from capshift.plans import actions, logs
@@ -126,11 +127,13 @@ class BalanceRun:
 
     @cached_property
     def context(self) -> DataFrame:
-        return decide.policy_context(self.policies, self.checks, self.targets, self.peaks)
+        return self._keep(decide.policy_context(self.policies, self.checks, self.targets, self.peaks))
 
     @cached_property
     def watched_ctx(self) -> DataFrame:
-        return self.watched.join(self.context, "policy_id", "left")
+        # One policy may watch most reports: a shuffle on policy_id would put
+        # them all in one task, so the (size-checked) context is broadcast.
+        return join_small(self.watched, self.context, "policy_id", "left")
 
     # -- the tick ---------------------------------------------------------------
     @cached_property

@@ -160,7 +160,7 @@ class Fixture:
         gw = F.when(F.col("s_nationkey") % 5 == 0, F.lit(None).cast("string")).otherwise(_s("s_nationkey"))
         return self.table("supplier").select(
             _s("s_suppkey").alias("datasource_id"),
-            F.when(gw.isNull(), F.lit("ShareableCloud")).otherwise(F.lit("OnPremisesGateway"))
+            F.when(gw.isNull(), F.lit("Cloud")).otherwise(F.lit("Gateway"))
              .alias("connectivity_type"),
             gw.alias("gateway_id"),
             F.struct(F.col("s_name").alias("path"), F.lit("SQL").alias("type")).alias("connection_details"))

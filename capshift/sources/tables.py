@@ -31,7 +31,8 @@ def ensure_tables(spark: SparkSession, database: str | None = None, location: st
     for name, schema in TABLES.items():
         full = f"{database}.{name}" if database else name
         loc = f" LOCATION '{location.rstrip('/')}/{name}'" if location else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {full} ({schemas.ddl(schema)}, run_id STRING) "
+        cols = T.StructType([f for f in schema.fields if f.name != "run_id"])
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {full} ({schemas.ddl(cols)}, run_id STRING) "
                   f"USING parquet PARTITIONED BY (run_id){loc}")
         names.append(full)
     return names

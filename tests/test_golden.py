@@ -121,7 +121,7 @@ def test_unknown_report_is_unresolved_not_dropped(spark):
 
 
 def test_invalid_policy_decides_nothing(spark):
-    pol = [("P", "LB_Workspace", "", "wsB", 0.5, 0.25, 0.8)]  # name and target both set
+    pol = [("P", "balance_ws", "", "wsB", 0.5, 0.25, 0.8)]  # name and target both set
     run = build(spark, events=[event("A", 0.9)], workspaces=WORKSPACES, datasets=DATASETS, reports=REPORT_MOVED,
                 watched=WATCH, state=STATE_MOVED, policies=pol)
     assert decision_of(run) == "INVALID_POLICY"

@@ -45,11 +45,11 @@ def test_payloads(spark):
                                   "policy_id string, source_dataset_id string, source_workspace_id string, "
                                   "target_dataset_name string, target_workspace_id string, target_dataset_id string")
     ds = spark.createDataFrame([("d1", "s1"), ("d1", "s2")], schemas.DATASOURCES)
-    conn = spark.createDataFrame([("s1", "ShareableCloud", None, ("srv/db", "SQL")),
-                                  ("s2", "OnPremisesGateway", "g7", ("srv2/db", "SQL"))], schemas.CONNECTIONS)
+    conn = spark.createDataFrame([("s1", "Cloud", None, ("srv/db", "SQL")),
+                                  ("s2", "Gateway", "g7", ("srv2/db", "SQL"))], schemas.CONNECTIONS)
     got = {r["datasource_id"]: json.loads(r["payload"])
            for r in actions.connection_bindings(moved, ds, conn).collect()}
-    assert got["s1"] == {"connectionBinding": {"id": "s1", "connectivityType": "ShareableCloud",
+    assert got["s1"] == {"connectionBinding": {"id": "s1", "connectivityType": "Cloud",
                                                "connectionDetails": {"path": "srv/db", "type": "SQL"}}}
     assert got["s2"]["connectionBinding"]["gatewayId"] == "g7"
     sched = spark.createDataFrame([("d1", ["Monday"], ["07:00"], "UTC", False)], schemas.REFRESH_SCHEDULES)
@@ -77,16 +77,16 @@ def test_policy_rules(spark):
             ("r_not_below_t", "LB", "", "", 0.7, 0.7, 0.8)]
     got = {r["policy_id"]: r["errors"] for r in policy.policy_check(spark.createDataFrame(rows, schemas.POLICIES))
            .collect()}
-    assert got == {"ok": "", "cap_and_target": "CAPACITY_AND_TARGET",
+    assert got == {"ok": "", "cap_and_target": "CAPACITY_AND_TARGET,CAPACITY_WITHOUT_NAME",
                    "name_and_target": "NAME_AND_TARGET",
                    "cap_no_name": "CAPACITY_WITHOUT_NAME,NO_NAME_NO_TARGET",
                    "nothing": "NO_NAME_NO_TARGET", "r_not_below_t": "RECOVERY_NOT_BELOW_MOVE"}
 
 
 def test_resolve_target(spark):
-    ws = spark.createDataFrame(WORKSPACES + [("wsB2", "LB_Workspace", "C")], schemas.WORKSPACES)
+    ws = spark.createDataFrame(WORKSPACES + [("wsB2", "balance_ws", "C")], schemas.WORKSPACES)
     rows = [("explicit", "", "", "wsC", 0.8, 0.7, 0.8),
-            ("by_name", "LB_Workspace", "", "", 0.8, 0.7, 0.8),
+            ("by_name", "balance_ws", "", "", 0.8, 0.7, 0.8),
             ("create", "new_ws", "Z", "", 0.8, 0.7, 0.8),
             ("missing", "new_ws", "", "", 0.8, 0.7, 0.8),
             ("unknown_ws", "", "", "wsQ", 0.8, 0.7, 0.8)]

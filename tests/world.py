@@ -36,7 +36,7 @@ def build(spark, *, events, workspaces, datasets, reports, watched, state=(), po
 
 
 # A source capacity A, a target capacity B, a third capacity C.
-WORKSPACES = [("wsA", "home", "A"), ("wsB", "LB_Workspace", "B"), ("wsC", "other", "C")]
+WORKSPACES = [("wsA", "home", "A"), ("wsB", "balance_ws", "B"), ("wsC", "other", "C")]
 DATASETS = [("dsA", "sales", "wsA"), ("dsA_copy", "sales_LB", "wsB")]
 REPORT_HOME = [("r1", "wsA", "dsA")]
 REPORT_MOVED = [("r1", "wsA", "dsA_copy")]
