@@ -175,7 +175,9 @@ def q_hysteresis_replay(spark, sf_dir):
 
 def _event_stream(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
-    raw = (spark.readStream.schema(fx.table("events").schema)
+    # The driver's events table is the stream source; the fixture mapping is a
+    # per-row projection, so it applies to a stream as it does to a table.
+    raw = (spark.readStream.schema(fx.table("events").schema).option("maxFilesPerTrigger", 256)
            .option("pathGlobFilter", "events.parquet").parquet(fx.sf_dir))
     return Fixture.envelope_from_events(raw)
 

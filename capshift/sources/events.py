@@ -26,6 +26,20 @@ def read_capacity_events(spark: SparkSession, path: str, fmt: str = "parquet") -
     return reader.format(fmt).load(path)
 
 
+def read_capacity_event_stream(spark: SparkSession, path: str, fmt: str = "parquet",
+                               max_files_per_trigger: int = 256, glob: str | None = None) -> DataFrame:
+    """The envelope as a stream of newly arriving files.
+
+    ``maxFilesPerTrigger`` bounds every micro-batch, which bounds what a
+    stateful operator sees of one capacity at a time.
+    """
+    schema = schemas.CAPACITY_EVENTS if fmt != "json" else "time STRING, data STRING"
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.format(fmt).load(path)
+
+
 def parse_events(envelope: DataFrame) -> DataFrame:
     """Envelope -> typed columns (bad JSON or bad time -> nulls)."""
     time_type = dict(envelope.dtypes)["time"]
