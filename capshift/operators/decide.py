@@ -40,16 +40,38 @@ RECOVERY_COLUMNS = ["policy_id", "report_id", "report_workspace_id", "target_dat
                     "initial_workspace_id", "initial_capacity_id", "initial_peak"]
 
 
-def with_peak(df: DataFrame, peaks: DataFrame, cap_col: str, out_col: str) -> DataFrame:
-    """Attach a capacity's peak; known capacity without events -> 0, unknown -> null."""
-    p = peaks.select(F.col("capacity_id").alias(cap_col), F.col("peak_utilization").alias("_peak"))
-    out = F.when(F.col(cap_col).isNotNull(), floor_zero(F.col("_peak")))
-    return df.join(p, cap_col, "left").withColumn(out_col, out).drop("_peak")
+def with_peak(df: DataFrame, peaks: DataFrame, cap_col: str, out_col: str,
+              events_col: str | None = None) -> DataFrame:
+    """Attach a capacity's peak; known capacity without events -> 0, unknown -> null.
+
+    ``events_col`` also attaches the number of events behind the peak (0 if none).
+    """
+    p = peaks.select(F.col("capacity_id").alias(cap_col), F.col("peak_utilization").alias("_peak"),
+                     F.col("n_events").alias("_n"))
+    cols = {out_col: F.when(F.col(cap_col).isNotNull(), floor_zero(F.col("_peak")))}
+    if events_col:
+        cols[events_col] = F.coalesce(F.col("_n"), F.lit(0))
+    return df.join(p, cap_col, "left").withColumns(cols).drop("_peak", "_n")
+
+
+# Optional policy columns and their defaults (the reference's behaviour):
+#   min_events: events a home capacity needs in the look-back before a recovery
+#               is decided (0: silence reads as 0 and counts as recovered)
+#   alert_requires_source_over: alert only when some remaining report's own
+#               capacity is above T as well (the README's wording, D1)
+OPTIONAL_POLICY_COLUMNS = {"min_events": 0, "alert_requires_source_over": False}
+
+
+def _option(df: DataFrame, name: str) -> F.Column:
+    if name in df.columns:
+        return F.coalesce(F.col(name), F.lit(OPTIONAL_POLICY_COLUMNS[name]))
+    return F.lit(OPTIONAL_POLICY_COLUMNS[name])
 
 
 def policy_context(policies: DataFrame, checks: DataFrame, targets: DataFrame,
                    peaks: DataFrame) -> DataFrame:
     """Per policy: thresholds, validity, target and its gate."""
+    policies = policies.withColumns({c: _option(policies, c) for c in OPTIONAL_POLICY_COLUMNS})
     ctx = (policies.join(checks.select("policy_id", "is_valid"), "policy_id", "left")
            .join(targets, "policy_id", "left"))
     ctx = with_peak(ctx, peaks, "target_capacity_id", "target_peak")
@@ -58,7 +80,8 @@ def policy_context(policies: DataFrame, checks: DataFrame, targets: DataFrame,
     return ctx.select(
         "policy_id", "move_threshold", "recovery_threshold", "headroom", "target_workspace_id",
         "target_capacity_id", "resolution", valid.alias("valid"), "target_peak", gate.alias("gate_threshold"),
-        F.coalesce(F.col("target_peak") > gate, F.lit(False)).alias("overloaded"))
+        F.coalesce(F.col("target_peak") > gate, F.lit(False)).alias("overloaded"),
+        *OPTIONAL_POLICY_COLUMNS)
 
 
 def tick_table(watched_ctx: DataFrame, state: DataFrame, reports: DataFrame, datasets: DataFrame,
@@ -87,10 +110,12 @@ def tick_table(watched_ctx: DataFrame, state: DataFrame, reports: DataFrame, dat
          .join(cur_ws, "dataset_workspace_id", "left")
          .join(home_ds, "initial_dataset_id", "left")
          .join(home_ws, "initial_workspace_id", "left"))
-    j = with_peak(with_peak(j, peaks, "capacity_id", "utilization"), peaks, "initial_capacity_id", "initial_peak")
+    j = with_peak(j, peaks, "capacity_id", "utilization")
+    j = with_peak(j, peaks, "initial_capacity_id", "initial_peak", events_col="initial_events")
     valid = F.coalesce(F.col("valid"), F.lit(False))
     recover = (valid & F.col("initial_dataset_id").isNotNull() & F.col("initial_capacity_id").isNotNull()
-               & (F.col("initial_peak") < F.col("recovery_threshold")))
+               & (F.col("initial_peak") < F.col("recovery_threshold"))
+               & (F.col("initial_events") >= F.col("min_events")))
     decision = (F.when(~valid, "INVALID_POLICY")
                 .when(recover, "RECOVER")
                 .when(F.col("overloaded"), "TARGET_OVERLOADED")
@@ -120,11 +145,14 @@ def remaining_reports(tick: DataFrame) -> DataFrame:
 
 def target_gate(ctx: DataFrame, remaining: DataFrame) -> DataFrame:
     """Per policy, the target's peak against headroom x T, and whether it alerts."""
-    n = remaining.groupBy("policy_id").agg(F.count(F.lit(1)).alias("n_remaining"))
-    g = ctx.where("valid").join(n, "policy_id", "left").fillna(0, ["n_remaining"])
+    n = remaining.groupBy("policy_id").agg(
+        F.count(F.lit(1)).alias("n_remaining"),
+        F.count_if(F.col("utilization") > F.col("move_threshold")).alias("_n_source_over"))
+    g = ctx.where("valid").join(n, "policy_id", "left").fillna(0, ["n_remaining", "_n_source_over"])
+    source_ok = ~F.col("alert_requires_source_over") | (F.col("_n_source_over") > 0)
     return g.select("policy_id", "target_workspace_id", "target_capacity_id", "target_peak", "gate_threshold",
                     "overloaded", "n_remaining",
-                    (F.col("overloaded") & (F.col("n_remaining") > 0)).alias("raise_alert"))
+                    (F.col("overloaded") & (F.col("n_remaining") > 0) & source_ok).alias("raise_alert"))
 
 
 def move_decisions(tick: DataFrame) -> DataFrame:

@@ -53,8 +53,15 @@ def report_lineage(watched: DataFrame, reports: DataFrame, datasets: DataFrame,
 
 
 def workspace_by_name(names: DataFrame, workspaces: DataFrame, name_col: str = "workspace_name") -> DataFrame:
-    """Workspace id for a name, first match (smallest id), null when absent."""
-    by_name = first_match(workspaces, ["name"], "workspace_id", "found_workspace_id")
+    """Workspace id for a name, first match (smallest id), null when absent.
+
+    Workspaces are first reduced to the names asked for (a semi join with a
+    side that is small in practice), so the first-match aggregate never runs
+    over the whole inventory.
+    """
+    wanted = names.select(F.col(name_col).alias("name")).where(F.col("name") != "").distinct()
+    cand = workspaces.join(wanted, "name", "left_semi")
+    by_name = first_match(cand, ["name"], "workspace_id", "found_workspace_id")
     return names.join(by_name, names[name_col] == by_name["name"], "left").drop("name")
 
 

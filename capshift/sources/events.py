@@ -75,3 +75,15 @@ def in_lookback(parsed: DataFrame, params: RunParams) -> DataFrame:
     return parsed.where(
         (F.col("time") >= ts_literal(params.window_start)) & (F.col("time") <= ts_literal(params.as_of))
     )
+
+
+def anchor_on_newest_event(parsed: DataFrame, params: RunParams) -> RunParams:
+    """Run parameters whose ``as_of`` is the newest event time instead of the clock.
+
+    For logs that arrive late: the look-back then always covers the latest
+    samples. One scalar is read (a global ``max``, aggregated map-side).
+    """
+    import dataclasses
+
+    newest = parsed.agg(F.max("time").alias("t")).first()["t"]
+    return dataclasses.replace(params, as_of=newest) if newest is not None else params

@@ -30,8 +30,9 @@ def build(spark, *, events, workspaces, datasets, reports, watched, state=(), po
     inv = Inventory(spark.createDataFrame(workspaces, schemas.WORKSPACES),
                     spark.createDataFrame(datasets, schemas.DATASETS),
                     spark.createDataFrame(reports, schemas.REPORTS))
-    return BalanceRun(RunParams(as_of=AS_OF, lookback=lookback, run_id="t"),
-                      spark.createDataFrame(policies, schemas.POLICIES),
+    if not hasattr(policies, "columns"):
+        policies = spark.createDataFrame(policies, schemas.POLICIES)
+    return BalanceRun(RunParams(as_of=AS_OF, lookback=lookback, run_id="t"), policies,
                       spark.createDataFrame(watched, schemas.WATCHED), st, inv, ev, materialize=materialize)
 
 
