@@ -22,8 +22,6 @@ from capshift.streaming import hysteresis as stream_hyst
 from capshift.streaming import peak as stream_pk
 
 REPLAY_STEP = dt.timedelta(hours=6)
-PARSED_COLUMNS = ["time", "capacity_id", "capacity_unit_ms", "base_capacity_units", "utilization_interactive",
-                  "utilization_background"]
 
 
 def fixture_run(spark: SparkSession, sf_dir: str, policy_name: str = "P1") -> BalanceRun:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from capshift.params import SAMPLE_MS
 
 
 def _no_nan(c: Column) -> Column:
@@ -19,7 +18,9 @@ def utilization(unit_ms: Column, base_units: Column) -> Column:
 
     Zero or missing base units give null (never an error under ANSI mode).
     """
-    return _no_nan(F.try_divide(unit_ms, base_units * SAMPLE_MS))
+    # Evaluated as base x 1000 x 30 in that order (the reference's formula);
+    # floating-point products are not reassociated, so the order is kept.
+    return _no_nan(F.try_divide(unit_ms, base_units * 1000 * 30))
 
 
 def interactive_share(interactive: Column, background: Column) -> Column:
