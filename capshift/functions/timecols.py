@@ -21,6 +21,14 @@ def as_event_time(c: Column, data_type: str) -> Column:
     return c
 
 
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
 def micros(c: Column) -> Column:
-    """Microseconds since the epoch of a wall-clock timestamp."""
-    return F.unix_micros(c.cast("timestamp"))
+    """Microseconds since the epoch of a wall-clock timestamp, whatever the session time zone."""
+    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), c.cast("timestamp_ntz"))
+
+
+def from_micros(c: Column) -> Column:
+    """Inverse of ``micros``: a TIMESTAMP_NTZ."""
+    return F.timestamp_add("MICROSECOND", c.cast("bigint"), F.expr(_EPOCH))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capshift.functions.metrics import floor_zero
+from capshift.functions.timecols import from_micros, micros
 from capshift.sources.events import with_metrics
 
 
@@ -36,11 +37,13 @@ def tick_peaks(parsed: DataFrame, lookback: dt.timedelta, step: dt.timedelta,
     """Peak per (capacity, tick) over ``[tick - lookback, tick]``, ticks every ``step``."""
     look_us = int(lookback.total_seconds() * 1_000_000)
     step_us = int(step.total_seconds() * 1_000_000)
-    ev = with_metrics(parsed).where(F.col("time").isNotNull() & F.col("capacity_id").isNotNull())
-    k0 = F.expr(f"div(unix_micros(cast(time as timestamp)) + {step_us - 1}, {step_us})")
-    k1 = F.expr(f"div(unix_micros(cast(time as timestamp)) + {look_us}, {step_us})")
+    ev = (with_metrics(parsed).where(F.col("time").isNotNull() & F.col("capacity_id").isNotNull())
+          .select("capacity_id", F.col(metric).alias("value"), micros(F.col("time")).alias("t_us")))
+    # first and last tick whose look-back [tick - lookback, tick] holds the event (exact integer division)
+    k0 = F.expr(f"div(t_us + {step_us - 1}, {step_us})")
+    k1 = F.expr(f"div(t_us + {look_us}, {step_us})")
     ticks = F.when(k0 <= k1, F.sequence(k0, k1)).otherwise(F.array().cast("array<bigint>"))
-    spread = ev.select("capacity_id", F.col(metric).alias("value"), F.explode(ticks).alias("k"))
+    spread = ev.select("capacity_id", "value", F.explode(ticks).alias("k"))
     return spread.groupBy("capacity_id", "k").agg(floor_zero(F.max("value")).alias("peak_utilization"))
 
 
@@ -67,5 +70,5 @@ def hysteresis_replay(parsed: DataFrame, target_capacity_id: str, move_threshold
             .withColumn("eff", eff)
             .withColumn("state", F.coalesce(F.last("eff", ignorenulls=True).over(so_far), F.lit(0)))
             .select("capacity_id",
-                    F.timestamp_micros(F.col("k") * F.lit(step_us)).cast("timestamp_ntz").alias("tick"),
+                    from_micros(F.col("k") * F.lit(step_us)).alias("tick"),
                     "peak_utilization", "target_peak", "marker", "state"))

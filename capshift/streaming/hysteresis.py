@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from capshift.functions.timecols import micros
 from capshift.sources.events import parse_events, with_metrics
 from capshift.streaming.peak import run_to_parquet
 
@@ -75,7 +76,7 @@ class Hysteresis(StatefulProcessor):
 def hysteresis_changes(parsed_stream: DataFrame, move_threshold: float, recovery_threshold: float) -> DataFrame:
     ev = (with_metrics(parsed_stream)
           .where(F.col("time").isNotNull() & F.col("capacity_id").isNotNull())
-          .select("capacity_id", F.unix_micros(F.col("time").cast("timestamp")).alias("t_us"), "utilization"))
+          .select("capacity_id", micros(F.col("time")).alias("t_us"), "utilization"))
     return ev.groupBy("capacity_id").transformWithStateInPandas(
         statefulProcessor=Hysteresis(move_threshold, recovery_threshold),
         outputStructType=OUTPUT, outputMode="Append", timeMode="None")
