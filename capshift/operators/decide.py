@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from capshift.functions.ids import py_strip
 from capshift.functions.metrics import floor_zero
+from capshift.operators.policy import with_checks, with_target
 
 # Decision kinds in precedence order.
 DECISION_KINDS = ("INVALID_POLICY", "RECOVER", "TARGET_OVERLOADED", "UNRESOLVED", "SAME_CAPACITY",
@@ -68,12 +69,10 @@ def _option(df: DataFrame, name: str) -> F.Column:
     return F.lit(OPTIONAL_POLICY_COLUMNS[name])
 
 
-def policy_context(policies: DataFrame, checks: DataFrame, targets: DataFrame,
-                   peaks: DataFrame) -> DataFrame:
+def policy_context(policies: DataFrame, workspaces: DataFrame, peaks: DataFrame) -> DataFrame:
     """Per policy: thresholds, validity, target and its gate."""
     policies = policies.withColumns({c: _option(policies, c) for c in OPTIONAL_POLICY_COLUMNS})
-    ctx = (policies.join(checks.select("policy_id", "is_valid"), "policy_id", "left")
-           .join(targets, "policy_id", "left"))
+    ctx = with_target(with_checks(policies), workspaces)
     ctx = with_peak(ctx, peaks, "target_capacity_id", "target_peak")
     valid = F.coalesce(F.col("is_valid"), F.lit(False)) & (F.col("resolution") != "UNRESOLVED")
     gate = F.col("headroom") * F.col("move_threshold")

@@ -15,10 +15,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capshift.operators import decide, lineage, peaks, policy, state
+from capshift.operators import decide, lineage, peaks, state
 from capshift.operators.joins import join_small
 from capshift.params import RunParams
-from capshift.session import shared_root
+from capshift.session import scratch_path
 from capshift.plans import actions, logs
 from capshift.sources.events import parse_events
 
@@ -91,17 +91,15 @@ class BalanceRun:
             return self._given["watched"]
         return lineage.watched_reports(self._input("watch_lists"))
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        """Cut lineage at a table many outputs read: a reliable checkpoint in the
-        shared checkpoint folder (survives executor loss; never a local one)."""
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Cut lineage at a table many outputs read: write it once as Parquet under
+        the shared checkpoint folder and read it back (one job; survives executor
+        loss; never a machine-local folder on a cluster)."""
         if not self.materialize:
             return df
-        shared_root(df.sparkSession)
-        # Persist first so that writing the checkpoint does not compute it twice.
-        df = df.persist()
-        kept = df.checkpoint(eager=True)
-        df.unpersist()
-        return kept
+        path = scratch_path(df.sparkSession, f"run-{self.params.run_id}/{name}")
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
 
     # -- measurements -----------------------------------------------------------
     @cached_property
@@ -114,20 +112,12 @@ class BalanceRun:
 
     @cached_property
     def peaks(self) -> DataFrame:
-        return self._keep(self.peak_plan)
+        return self._keep(self.peak_plan, "peaks")
 
     # -- policies -------------------------------------------------------------
-    @cached_property
-    def checks(self) -> DataFrame:
-        return policy.policy_check(self.policies)
-
-    @cached_property
-    def targets(self) -> DataFrame:
-        return policy.resolve_target(self.policies, self.inv.workspaces)
-
     @cached_property
     def context(self) -> DataFrame:
-        return self._keep(decide.policy_context(self.policies, self.checks, self.targets, self.peaks))
+        return self._keep(decide.policy_context(self.policies, self.inv.workspaces, self.peaks), "context")
 
     @cached_property
     def watched_ctx(self) -> DataFrame:
@@ -139,7 +129,7 @@ class BalanceRun:
     @cached_property
     def tick(self) -> DataFrame:
         return self._keep(decide.tick_table(self.watched_ctx, self.state, self.inv.reports, self.inv.datasets,
-                                            self.inv.workspaces, self.peaks))
+                                            self.inv.workspaces, self.peaks), "tick")
 
     @cached_property
     def lookups(self) -> DataFrame:
