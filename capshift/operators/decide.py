@@ -103,6 +103,9 @@ def tick_table(watched_ctx: DataFrame, state: DataFrame, reports: DataFrame, dat
                               F.col("workspace_id").alias("initial_workspace_id"))
     home_ws = workspaces.select(F.col("workspace_id").alias("initial_workspace_id"),
                                 py_strip(F.col("capacity_id")).alias("initial_capacity_id"))
+    if "workspace_id" in watched_ctx.columns:
+        # A watched pair (workspace, report) names the report's workspace itself.
+        watched_ctx = watched_ctx.withColumnRenamed("workspace_id", "given_workspace_id")
     j = (watched_ctx.join(s, "report_id", "left")
          .join(r, "report_id", "left")
          .join(cur_ds, "dataset_id", "left")
@@ -111,6 +114,8 @@ def tick_table(watched_ctx: DataFrame, state: DataFrame, reports: DataFrame, dat
          .join(home_ws, "initial_workspace_id", "left"))
     j = with_peak(j, peaks, "capacity_id", "utilization")
     j = with_peak(j, peaks, "initial_capacity_id", "initial_peak", events_col="initial_events")
+    if "given_workspace_id" in j.columns:
+        j = j.withColumn("report_workspace_id", F.coalesce("given_workspace_id", "report_workspace_id"))
     valid = F.coalesce(F.col("valid"), F.lit(False))
     recover = (valid & F.col("initial_dataset_id").isNotNull() & F.col("initial_capacity_id").isNotNull()
                & (F.col("initial_peak") < F.col("recovery_threshold"))

@@ -44,6 +44,9 @@ WATCHED = T.StructType([
     T.StructField("report_id", T.StringType()),
 ])
 
+# The pair form: the report's workspace is given with it (may be null).
+WATCHED_PAIRS = T.StructType(WATCHED.fields + [T.StructField("workspace_id", T.StringType())])
+
 WORKSPACES = T.StructType([
     T.StructField("workspace_id", T.StringType()),
     T.StructField("name", T.StringType()),

@@ -57,3 +57,11 @@ def test_interactive_share_metric(spark):
     ev = parse_events(spark.createDataFrame([event("A", 0.9)], schemas.CAPACITY_EVENTS))
     params = dataclasses.replace(RunParams(as_of=AS_OF, lookback=LOOKBACK), metric="interactive_share")
     assert [r["peak_utilization"] for r in capacity_peak(ev, params).collect()] == [0.5]
+
+
+def test_watched_pairs_give_the_report_workspace(spark):
+    pairs = spark.createDataFrame([("P", "r1", "wsX"), ("P", "r2", None)], schemas.WATCHED_PAIRS)
+    run = build(spark, events=[event("A", 0.9)], workspaces=WORKSPACES, datasets=DATASETS,
+                reports=REPORT_HOME + [("r2", "wsA", "dsA")], watched=pairs)
+    got = {r["report_id"]: (r["decision"], r["report_workspace_id"]) for r in run.decisions.collect()}
+    assert got == {"r1": ("MOVE", "wsX"), "r2": ("MOVE", "wsA")}

@@ -33,7 +33,8 @@ def build(spark, *, events, workspaces, datasets, reports, watched, state=(), po
     if not hasattr(policies, "columns"):
         policies = spark.createDataFrame(policies, schemas.POLICIES)
     return BalanceRun(RunParams(as_of=AS_OF, lookback=lookback, run_id="t"), policies,
-                      spark.createDataFrame(watched, schemas.WATCHED), st, inv, ev, materialize=materialize)
+                      watched if hasattr(watched, "columns") else spark.createDataFrame(watched, schemas.WATCHED),
+                      st, inv, ev, materialize=materialize)
 
 
 # A source capacity A, a target capacity B, a third capacity C.
