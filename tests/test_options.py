@@ -65,3 +65,20 @@ def test_watched_pairs_give_the_report_workspace(spark):
                 reports=REPORT_HOME + [("r2", "wsA", "dsA")], watched=pairs)
     got = {r["report_id"]: (r["decision"], r["report_workspace_id"]) for r in run.decisions.collect()}
     assert got == {"r1": ("MOVE", "wsX"), "r2": ("MOVE", "wsA")}
+
+
+def test_ingested_events_prune_partitions_and_give_same_peaks(spark, tmp_dir):
+    from capshift.sources.events import ingest_capacity_events, read_typed_events
+    from capshift.sources.fixtures import Fixture
+    fx = Fixture(spark, "/root/testdata/sf0.001")
+    ingest_capacity_events(fx.capacity_events, f"{tmp_dir}/events")
+    ingest_capacity_events(fx.capacity_events, f"{tmp_dir}/events")  # retried ingest: same content
+    typed = read_typed_events(spark, f"{tmp_dir}/events")
+    assert typed.count() == fx.table("events").count()
+    via_json = {r["capacity_id"]: r["peak_utilization"]
+                for r in capacity_peak(parse_events(fx.capacity_events), fx.params).collect()}
+    peaks = capacity_peak(typed, fx.params)
+    assert {r["capacity_id"]: r["peak_utilization"] for r in peaks.collect()} == via_json
+    plan = peaks._jdf.queryExecution().executedPlan().toString()
+    scan = [line for line in plan.split("\n") if "FileScan parquet" in line][0]
+    assert "PartitionFilters: [isnotnull(event_date" in scan and "2024-01-21" in scan
