@@ -40,10 +40,12 @@ def test_policy_context_is_broadcast(spark):
     assert "BroadcastHashJoin [policy_id" in top_join and "BuildRight" in top_join
 
 
-def test_rolling_peak_partitions_by_capacity_and_bucket(spark):
+def test_rolling_peak_never_partitions_by_capacity_alone(spark):
     from capshift.operators.peaks import rolling_peak
     from capshift.sources.events import parse_events
     from capshift.sources.fixtures import Fixture
     fx = Fixture(spark, SF)
     plan = plan_of(rolling_peak(parse_events(fx.capacity_events), fx.params.lookback))
-    assert "hashpartitioning(capacity_id" in plan and "bucket" in plan.split("hashpartitioning(capacity_id")[1][:60]
+    keys = [part.split(")")[0] for part in plan.split("hashpartitioning(")[1:]]
+    # every shuffle of raw events is keyed by capacity plus a time slice (or the probe time)
+    assert keys and all(k.startswith("capacity_id") and "," in k for k in keys), keys
