@@ -2,8 +2,9 @@
 
 Each capacity keeps one value (moved 0/1) in the state store (RocksDB). A
 sample above T marks it moved, one below R marks it home, anything in between
-keeps the state. Within a micro-batch the capacity's rows are ordered by time
-before markers are applied. Rows older than the last applied sample of the
+keeps the state (such samples are filtered out before the stateful step).
+Within a micro-batch the capacity's rows are ordered by time before markers
+are applied. Rows older than the last applied sample of the
 capacity arrive too late and are skipped, so a replay is deterministic. The
 size of a capacity's slice in one micro-batch is bounded by the trigger
 (``maxFilesPerTrigger``), not by the history.
@@ -74,8 +75,12 @@ class Hysteresis(StatefulProcessor):
 
 
 def hysteresis_changes(parsed_stream: DataFrame, move_threshold: float, recovery_threshold: float) -> DataFrame:
+    # Samples between R and T (or without a ratio) never change the state, so
+    # they are dropped in the JVM before rows are handed to Python.
+    u = F.col("utilization")
     ev = (with_metrics(parsed_stream)
-          .where(F.col("time").isNotNull() & F.col("capacity_id").isNotNull())
+          .where(F.col("time").isNotNull() & F.col("capacity_id").isNotNull()
+                 & ((u > move_threshold) | (u < recovery_threshold)))
           .select("capacity_id", micros(F.col("time")).alias("t_us"), "utilization"))
     return ev.groupBy("capacity_id").transformWithStateInPandas(
         statefulProcessor=Hysteresis(move_threshold, recovery_threshold),
