@@ -14,15 +14,16 @@ source capacity differs from it. The state depends only on the report's home
 capacity, so it is computed per capacity (a report's state is its home
 capacity's); rows exist for the ticks whose look-back holds events.
 
-Scale: each event feeds the ticks whose look-back contains it (at most
-lookback/step + 1), the peak per (capacity, tick) is a partial aggregate, and
-the window runs over ticks, never over raw events, so a hot capacity adds no
-more than one row per tick.
+Scale: events are reduced to one max per (capacity, slice) before anything
+fans out; only slice maxima go to the ticks covering them (at most
+lookback/step + 1 each), and the window runs over ticks, never over raw
+events, so a hot capacity adds no more than one row per slice and per tick.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,17 +35,30 @@ from capshift.sources.events import with_metrics
 
 def tick_peaks(parsed: DataFrame, lookback: dt.timedelta, step: dt.timedelta,
                metric: str = "utilization") -> DataFrame:
-    """Peak per (capacity, tick) over ``[tick - lookback, tick]``, ticks every ``step``."""
+    """Peak per (capacity, tick) over ``[tick - lookback, tick]``, ticks every ``step``.
+
+    With slices of width g = gcd(step, lookback), every frame is exactly a run
+    of whole slices ``[tick - lookback, tick)`` plus the instant ``tick``
+    itself. Events are first reduced to one max per (capacity, slice) (a
+    partial aggregate, no per-event fan-out); only those slice maxima are sent
+    to the ticks that cover them (at most lookback/step + 1 each), and events
+    lying exactly on a tick instant go to that tick.
+    """
     look_us = int(lookback.total_seconds() * 1_000_000)
     step_us = int(step.total_seconds() * 1_000_000)
+    g = math.gcd(look_us, step_us)
     ev = (with_metrics(parsed).where(F.col("time").isNotNull() & F.col("capacity_id").isNotNull())
           .select("capacity_id", F.col(metric).alias("value"), micros(F.col("time")).alias("t_us")))
-    # first and last tick whose look-back [tick - lookback, tick] holds the event (exact integer division)
-    k0 = F.expr(f"div(t_us + {step_us - 1}, {step_us})")
-    k1 = F.expr(f"div(t_us + {look_us}, {step_us})")
+    slices = ev.groupBy("capacity_id", F.expr(f"div(t_us, {g})").alias("j")).agg(F.max("value").alias("value"))
+    # slice [j*g, (j+1)*g) lies inside [k*step - L, k*step) for k0 <= k <= k1
+    k0 = F.expr(f"div((j + 1) * {g} + {step_us - 1}, {step_us})")
+    k1 = F.expr(f"div(j * {g} + {look_us}, {step_us})")
     ticks = F.when(k0 <= k1, F.sequence(k0, k1)).otherwise(F.array().cast("array<bigint>"))
-    spread = ev.select("capacity_id", "value", F.explode(ticks).alias("k"))
-    return spread.groupBy("capacity_id", "k").agg(floor_zero(F.max("value")).alias("peak_utilization"))
+    covered = slices.select("capacity_id", "value", F.explode(ticks).alias("k"))
+    instants = ev.where(F.col("t_us") % step_us == 0).select(
+        "capacity_id", "value", F.expr(f"div(t_us, {step_us})").alias("k"))
+    return (covered.unionByName(instants).groupBy("capacity_id", "k")
+            .agg(floor_zero(F.max("value")).alias("peak_utilization")))
 
 
 def hysteresis_replay(parsed: DataFrame, target_capacity_id: str, move_threshold: float,

@@ -6,6 +6,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from capshift.catalog import QUERIES, _event_stream, fixture_run
 from capshift.operators import peaks, replay
@@ -38,7 +39,7 @@ def test_rolling_peak_brute_force(spark):
 
 
 def test_rolling_peak_bucket_edges(spark):
-    # events straddling a bucket boundary (bucket = 4 x look-back) must see each other
+    # events straddling slice and look-back boundaries must see each other
     from capshift import schemas
     look = dt.timedelta(minutes=5)
     b = dt.datetime(1970, 1, 1) + dt.timedelta(minutes=20) * (int(dt.datetime(2024, 1, 1).timestamp()) // 1200 + 1)
@@ -51,15 +52,18 @@ def test_rolling_peak_bucket_edges(spark):
     assert got == [0.9, 0.9, 0.9, 0.2]
 
 
-def test_hysteresis_replay_brute_force(spark):
-    look, step = dt.timedelta(hours=12), dt.timedelta(hours=6)
+@pytest.mark.parametrize("look,step", [(dt.timedelta(hours=12), dt.timedelta(hours=6)),
+                                       (dt.timedelta(minutes=72), dt.timedelta(hours=6)),
+                                       (dt.timedelta(hours=2), dt.timedelta(minutes=50))])
+def test_hysteresis_replay_brute_force(spark, look, step):
     T, R, H, target = 0.5, 0.3, 0.8, "0"
     got = replay.hysteresis_replay(parse_events(Fixture(spark, SF).capacity_events), target, T, R, H, look, step)
     got = got.toPandas().set_index(["capacity_id", "tick"]).sort_index()
     ev = events_pdf(spark)
-    t0 = (ev["time"].min().ceil("6h"))
-    t1 = (ev["time"].max() + look).floor("6h")
-    ticks = pd.date_range(t0, t1, freq="6h")
+    step_ns = int(step.total_seconds() * 1e9)
+    t0 = pd.Timestamp(-(-ev["time"].min().value // step_ns) * step_ns)
+    t1 = pd.Timestamp((ev["time"].max() + look).value // step_ns * step_ns)
+    ticks = pd.date_range(t0, t1, freq=step)
 
     def peak(cap, t):
         g = ev[(ev["capacity_id"] == cap) & (ev["time"] >= t - look) & (ev["time"] <= t)]
