@@ -1,11 +1,12 @@
 """Streaming trailing peak, and T2: the balancing tick per micro-batch.
 
 T1 re-aims the reference's "read the last 5 minutes every run" as a sliding
-event-time window (5 minutes, sliding each minute) with a watermark: late rows
-are dropped once the watermark passes them, and in append mode a window is
-emitted once it is closed. Spark windows are ``[start, end)`` while the batch
-look-back includes its lower bound; they differ only for an event exactly on a
-window boundary.
+event-time window (5 minutes, sliding each minute) with a watermark: rows up to
+the delay late are aggregated, and in append mode a window is emitted once,
+when the watermark passes its end. (Spark does not promise to drop rows later
+than the watermark; one whose windows were never emitted is still counted.)
+Spark windows are ``[start, end)`` while the batch look-back includes its lower
+bound; they differ only for an event exactly on a window boundary.
 """
 
 from __future__ import annotations
