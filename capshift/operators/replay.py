@@ -49,15 +49,20 @@ def tick_peaks(parsed: DataFrame, lookback: dt.timedelta, step: dt.timedelta,
     g = math.gcd(look_us, step_us)
     ev = (with_metrics(parsed).where(F.col("time").isNotNull() & F.col("capacity_id").isNotNull())
           .select("capacity_id", F.col(metric).alias("value"), micros(F.col("time")).alias("t_us")))
-    slices = ev.groupBy("capacity_id", F.expr(f"div(t_us, {g})").alias("j")).agg(F.max("value").alias("value"))
+    # one scan: every event goes to its slice (kind 0, key j); an event exactly on a
+    # tick instant also goes to that tick (kind 1, key k)
+    on_tick = F.col("t_us") % step_us == 0
+    keys = F.when(on_tick, F.array(F.struct(F.lit(0).alias("kind"), F.expr(f"div(t_us, {g})").alias("key")),
+                                   F.struct(F.lit(1).alias("kind"), F.expr(f"div(t_us, {step_us})").alias("key"))))
+    keys = keys.otherwise(F.array(F.struct(F.lit(0).alias("kind"), F.expr(f"div(t_us, {g})").alias("key"))))
+    parts = (ev.select("capacity_id", "value", F.explode(keys).alias("p"))
+             .groupBy("capacity_id", "p.kind", "p.key").agg(F.max("value").alias("value")))
     # slice [j*g, (j+1)*g) lies inside [k*step - L, k*step) for k0 <= k <= k1
-    k0 = F.expr(f"div((j + 1) * {g} + {step_us - 1}, {step_us})")
-    k1 = F.expr(f"div(j * {g} + {look_us}, {step_us})")
-    ticks = F.when(k0 <= k1, F.sequence(k0, k1)).otherwise(F.array().cast("array<bigint>"))
-    covered = slices.select("capacity_id", "value", F.explode(ticks).alias("k"))
-    instants = ev.where(F.col("t_us") % step_us == 0).select(
-        "capacity_id", "value", F.expr(f"div(t_us, {step_us})").alias("k"))
-    return (covered.unionByName(instants).groupBy("capacity_id", "k")
+    k0 = F.expr(f"div((key + 1) * {g} + {step_us - 1}, {step_us})")
+    k1 = F.expr(f"div(key * {g} + {look_us}, {step_us})")
+    ticks = F.when(F.col("kind") == 1, F.array(F.col("key"))) \
+        .when(k0 <= k1, F.sequence(k0, k1)).otherwise(F.array().cast("array<bigint>"))
+    return (parts.select("capacity_id", "value", F.explode(ticks).alias("k")).groupBy("capacity_id", "k")
             .agg(floor_zero(F.max("value")).alias("peak_utilization")))
 
 
