@@ -103,3 +103,22 @@ def test_materialized_run_equals_lazy_run(spark):
     lazy = build(spark, **kw).decisions.collect()
     kept = build(spark, materialize=True, **kw).decisions.collect()
     assert lazy == kept
+
+
+def test_bucketed_state_joins_without_shuffling_the_state(spark, tmp_dir):
+    spark.sql("CREATE DATABASE IF NOT EXISTS capshift_bkt")
+    tables.ensure_tables(spark, "capshift_bkt", location=tmp_dir, state_buckets=4)
+    run = build(spark, events=[event("A", 0.9)], workspaces=WORKSPACES, datasets=DATASETS, reports=REPORT_HOME,
+                watched=[("P", "r1")])
+    tables.write_run_partition(run.next_state, "capshift_bkt.report_repoints", "run-1")
+    state = spark.table("capshift_bkt.report_repoints").where("run_id = 'run-1'")
+    other = spark.createDataFrame([("r1", 1)], "report_id string, n int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = state.join(other, "report_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # only the small side is shuffled
+    assert state.count() == 1
