@@ -104,7 +104,9 @@ class BalanceRun:
     # -- measurements -----------------------------------------------------------
     @cached_property
     def parsed_events(self) -> DataFrame:
-        return parse_events(self.capacity_events)
+        # the raw envelope (time, data JSON) is parsed; an ingested typed table is used as is
+        events = self.capacity_events
+        return parse_events(events) if "data" in events.columns else events
 
     @cached_property
     def peak_plan(self) -> DataFrame:

@@ -82,3 +82,15 @@ def test_ingested_events_prune_partitions_and_give_same_peaks(spark, tmp_dir):
     plan = peaks._jdf.queryExecution().executedPlan().toString()
     scan = [line for line in plan.split("\n") if "FileScan parquet" in line][0]
     assert "PartitionFilters: [isnotnull(event_date" in scan and "2024-01-21" in scan
+
+
+def test_balance_on_ingested_typed_events(spark, tmp_dir):
+    from capshift.catalog import fixture_run
+    from capshift.plans.balance import BalanceRun
+    from capshift.sources.events import ingest_capacity_events, read_typed_events
+    run = fixture_run(spark, "/root/testdata/sf0.001")
+    ingest_capacity_events(run.capacity_events, f"{tmp_dir}/typed")
+    typed_run = BalanceRun(run.params, run.policies, run.watched, run.state, run.inv,
+                           read_typed_events(spark, f"{tmp_dir}/typed"), materialize=False)
+    key = ["policy_id", "report_id"]
+    assert typed_run.decisions.orderBy(key).collect() == run.decisions.orderBy(key).collect()
