@@ -22,9 +22,12 @@ def _metric_col(metric: str) -> str:
     return name
 
 
-def capacity_peak(parsed: DataFrame, params: RunParams) -> DataFrame:
+def capacity_peak(parsed: DataFrame, params: RunParams, capacities: list[str] | None = None) -> DataFrame:
     """A1: peak of the chosen metric per capacity over the look-back.
 
+    ``capacities`` (P3) restricts the result to the named capacities (exact,
+    case-sensitive match); by default every capacity is a group.
+
     ``max`` is computed with a map-side partial aggregate, so a capacity that
     holds a large share of the events still shuffles one row per task.
     Events without a usable ratio are counted (``n_unmeasured``), not peaked.
@@ -32,6 +35,8 @@ def capacity_peak(parsed: DataFrame, params: RunParams) -> DataFrame:
     """
     m = _metric_col(params.metric)
     recent = with_metrics(in_lookback(parsed, params)).where(F.col("capacity_id").isNotNull())
+    if capacities is not None:
+        recent = recent.where(F.col("capacity_id").isin(list(capacities)))
     return recent.groupBy("capacity_id").agg(
         floor_zero(F.max(m)).alias("peak_utilization"),
         F.count(F.lit(1)).alias("n_events"),

@@ -94,3 +94,11 @@ def test_balance_on_ingested_typed_events(spark, tmp_dir):
                            read_typed_events(spark, f"{tmp_dir}/typed"), materialize=False)
     key = ["policy_id", "report_id"]
     assert typed_run.decisions.orderBy(key).collect() == run.decisions.orderBy(key).collect()
+
+
+def test_peak_for_named_capacities_is_case_sensitive(spark):
+    ev = parse_events(spark.createDataFrame([event("A", 0.5), event("a", 0.75), event("B", 0.25)],
+                                            schemas.CAPACITY_EVENTS))
+    params = RunParams(as_of=AS_OF, lookback=LOOKBACK)
+    got = {r["capacity_id"]: r["peak_utilization"] for r in capacity_peak(ev, params, ["A"]).collect()}
+    assert got == {"A": 0.5}
