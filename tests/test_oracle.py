@@ -65,3 +65,8 @@ def test_entry_smoke(spark):
     assert df.columns == ["policy_id", "report_id", "decision", "report_workspace_id", "capacity_id", "utilization",
                           "target_workspace_id", "target_capacity_id"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_every_oracle_runs_in_duckdb(con, name):
+    assert con.execute(oracle_sql()[name]).df().shape[1] > 0
