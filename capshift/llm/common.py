@@ -21,10 +21,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of a few short columns as a broadcast side, or as it is (joined by shuffle) beyond ``rows``."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed public vocabulary file lies (the same package is on every executor)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def held_out(doc_id="doc_id"):
     """Rows kept from label learning: crc32 of the id as text, modulo 3, is 1 (false for a null id)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
