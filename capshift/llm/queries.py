@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from capshift.llm import bpe, minhash_dedup, packing, pii, quality, secret_scan, toxicity, url_filter
+from capshift.llm import ann, bpe, embedding_dedup, minhash_dedup, packing, pii, quality, secret_scan, toxicity, url_filter
 from capshift.llm.common import read_table, tokenizer_path
 
 
@@ -24,6 +24,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.find_secrets(read_table(spark, sf_dir, "documents")))
 
@@ -45,15 +49,21 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
     "op3_packing": op3_packing,
+    "op4_ann": op4_ann,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE: dict[str, str] = {"op2_url_filter": url_filter.ORACLE_SQL}
