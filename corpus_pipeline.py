@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and
+returns a DataFrame; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from capshift.llm import minhash_dedup
-from capshift.llm.common import materialise, read_table
+from capshift.llm import minhash_dedup, packing, pii, quality, toxicity
+from capshift.llm.common import materialise, read_table, tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the model learns from the labelled ones among ``docs``."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted to be of low quality go."""
+    return quality.drop_low_quality(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,12 +29,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash_dedup.keep_one_of_each(docs, width=5, percent=80)
 
 
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by class marks, disclosing terms are removed."""
+    return pii.sanitise(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into windows of 2048 token ids."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_low_quality),
     ("minhash_near_dedup", near_dedup),
+    ("pii", remove_personal_data),
+    ("packing", pack),
 ]
 
-# Trained scores, densified sketches and a fitted packing are not SQL; the tests
-# hold the run against a brute-force version instead.
+# Trained scores, sketches and a fitted packing are not SQL; the tests hold the run
+# against a brute-force version instead.
 ORACLE_SQL: str | None = None
 
 
