@@ -4,13 +4,17 @@ Texts are split into words at single spaces and line ends, where the tokenizer a
 splits too; a word carries the space before it. Per block of documents the words are
 numbered, so a text becomes a short array of word numbers (positions). Then
 
-1. the blocks' distinct words are partitioned by word, and each distinct word is
-   encoded once (a word has at most one row per block, so no word is a hot key),
+1. the blocks' distinct words are partitioned by hash into buckets, and each distinct
+   word is encoded once, in its bucket (a word comes at most once per block, so no word
+   is a hot key; a bucket's table is dropped with the bucket, and the number of buckets
+   follows the number of shuffle partitions),
 2. the ids come back to their block, and every document's ids are put together by
    position (co-grouped by block; a block is bounded by ``BLOCK_CHARS``),
 3. ids are decoded by joining them to the id-to-piece table by position. The table has
    one row per id of the vocabulary (50,257, a fixed bound), so it is held by every task.
 
+Words, numbers and ids travel as compressed columns, one row per block and bucket.
+
 Around runs of three or more white-space characters, or two at the end, a word takes
 the run and its neighbours; a text with a special token's string is one word: there
 the tokenizer's splits depend on what follows.
@@ -30,9 +34,11 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,49 +95,86 @@ def _blocks(batches, special):
         yield block, numbers, docs
 
 
-def _distinct_words(special):
+def _packed(values: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(values if isinstance(values, bytes) else values.tobytes())
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def _pack_numbers(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, low and high halves apart (most high halves are zero)."""
+    return _packed(np.concatenate((numbers & 0xFFFF, numbers >> 16)).astype(np.uint16))
+
+
+def _unpack_numbers(raw: bytes) -> np.ndarray:
+    low, high = np.frombuffer(_unpacked(raw), np.uint16).reshape(2, -1).astype(np.int64)
+    return low | high << 16
+
+
+def _distinct_words(special, buckets):
+    """(bucket, block, numbers, words): a block's words, one row per bucket of their hash."""
     def run(batches):
-        for block, numbers, _ in _blocks(batches, special):
-            words = list(numbers)
-            for at in range(0, len(words), 50_000):
-                part = words[at:at + 50_000]
-                yield pa.record_batch({"block": pa.array(np.full(len(part), block)),
-                                       "number": pa.array(np.arange(at, at + len(part), dtype=np.int32)),
-                                       "word": pa.array(part, pa.string())})
+        for block, known, _ in _blocks(batches, special):
+            words = list(known)
+            raw = [w.encode("utf-8", "surrogatepass") for w in words]
+            bucket = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = [(b, order[x:y]) for b, x, y in zip(range(buckets), ends[:-1], ends[1:]) if y > x]
+            for at in range(0, len(rows), 64):
+                part = rows[at:at + 64]
+                yield pa.record_batch({
+                    "bucket": pa.array([b for b, _ in part], pa.int32()), "block": pa.array(np.full(len(part), block)),
+                    "numbers": pa.array([_pack_numbers(n) for _, n in part], pa.binary()),
+                    "words": pa.array([_packed(b"".join(raw[i] for i in n.tolist())) for _, n in part], pa.binary()),
+                    "lengths": pa.array([_pack_numbers(np.array([len(raw[i]) for i in n.tolist()], np.int64))
+                                         for _, n in part], pa.binary())})
 
     return run
 
 
 def _positions(special):
+    """(block, doc_ids, counts, numbers): the word numbers of some documents of a block, one after another."""
     def run(batches):
         for block, _, docs in _blocks(batches, special):
             for at in range(0, len(docs), 1000):
                 part = docs[at:at + 1000]
-                wide = [bool(len(n)) and int(n.max()) > 0xFFFF for _, n in part]
-                raw = [n.tobytes() if w else n.astype(np.uint16).tobytes() for (_, n), w in zip(part, wide)]
-                yield pa.record_batch({"block": pa.array(np.full(len(part), block)),
-                                       "doc_id": pa.array([d for d, _ in part], pa.int64()),
-                                       "numbers": pa.array(raw, pa.binary()), "wide": pa.array(wide)})
+                yield pa.record_batch({
+                    "block": pa.array([block]), "doc_ids": pa.array([[d for d, _ in part]], pa.list_(pa.int64())),
+                    "counts": pa.array([[len(n) for _, n in part]], pa.list_(pa.int64())),
+                    "numbers": pa.array([_pack_numbers(np.concatenate([n for _, n in part]))], pa.binary())})
 
     return run
 
 
-def _encode_sorted(path):
-    """Ids of sorted words: equal neighbours are encoded once, also across batches."""
+def _encode_bucket(path):
+    """The ids of every word; rows come bucket by bucket, and a word is encoded once in its bucket."""
     def run(batches):
         tokenizer = load(path)
-        small = tokenizer.get_vocab_size() <= 1 << 16
-        last: dict[str, bytes] = {}
-        for part in in_slices(batches, 10_000):
-            words = part.column(2).to_pylist()
-            known = {w: last[w] for w in words[:1] if w in last}
-            new = list(dict.fromkeys(w for w in words if w not in known))
-            found = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u2" if small else "<u4").tobytes()) for w, e in zip(new, found))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([known[w] for w in words], pa.binary())],
-                ["block", "number", "ids"])
-            last = {words[-1]: known[words[-1]]}
+        kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        known: dict[bytes, bytes] = {}
+        here = None
+        for part in batches:
+            for i in range(part.num_rows):
+                bucket, block, numbers, joined, lengths = (c[i].as_py() for c in part.columns)
+                if bucket != here:
+                    here, known = bucket, {}
+                raw, end = _unpacked(joined), np.cumsum(_unpack_numbers(lengths)).tolist()
+                words = [raw[x:y] for x, y in zip([0, *end], end)]
+                new = [w for w in words if w not in known]
+                for at in range(0, len(new), 5000):
+                    some = new[at:at + 5000]
+                    found = tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some],
+                                                        add_special_tokens=False)
+                    known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(some, found))
+                ids = [known[w] for w in words]
+                size = np.dtype(kind).itemsize
+                yield pa.record_batch({
+                    "block": pa.array([block]), "numbers": pa.array([numbers], pa.binary()),
+                    "ids": pa.array([_packed(b"".join(ids))], pa.binary()),
+                    "lengths": pa.array([_pack_numbers(np.array([len(x) // size for x in ids], np.int64))], pa.binary())})
 
     return run
 
@@ -139,9 +182,12 @@ def _encode_sorted(path):
 class Ragged:
     """Rows of different lengths in one flat array; ``take`` puts rows one after another."""
 
-    def __init__(self, flat: np.ndarray, length: np.ndarray):
+    def __init__(self, flat: np.ndarray, length: np.ndarray, start: np.ndarray | None = None):
         self.flat, self.length = flat, length
-        self.start = np.cumsum(length) - length
+        self.start = np.cumsum(length) - length if start is None else start
+
+    def reordered(self, order: np.ndarray) -> Ragged:
+        return Ragged(self.flat, self.length[order], self.start[order])
 
     def take(self, rows: np.ndarray) -> np.ndarray:
         length = self.length[rows]
@@ -182,18 +228,19 @@ def _put_together(path, finish, schema: pa.Schema):
             tokenizer = load(path)
             state.update(pieces=piece_table(tokenizer),
                          kind="<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        order = np.argsort(words.column("number").to_numpy()) if words.num_rows else np.zeros(0, np.int64)
-        if words.num_rows and not np.array_equal(words.column("number").to_numpy()[order], np.arange(len(order))):
+        numbers, lengths = ([_unpack_numbers(v) for v in words.column(c).to_pylist()] for c in ("numbers", "lengths"))
+        numbers, lengths = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (numbers, lengths))
+        flat = np.frombuffer(b"".join(map(_unpacked, words.column("ids").to_pylist())), state["kind"])
+        order = np.argsort(numbers)
+        if not np.array_equal(numbers[order], np.arange(len(order))):
             raise RuntimeError("the words of a block are not numbered 0, 1, 2, ...")
-        rows = words.column("ids").take(pa.array(order)).to_pylist() if words.num_rows else []
-        size = np.dtype(state["kind"]).itemsize
-        table = Ragged(np.frombuffer(b"".join(rows), state["kind"]), np.array([len(r) // size for r in rows], np.int64))
+        table = Ragged(flat, lengths, (np.cumsum(lengths) - lengths)).reordered(order)
         out = []
-        for doc_id, raw, wide in zip(docs.column("doc_id").to_pylist(), docs.column("numbers").to_pylist(),
-                                     docs.column("wide").to_pylist()):
-            numbers = np.frombuffer(raw, np.uint32 if wide else np.uint16).astype(np.int64)
-            ids = table.take(numbers) if len(numbers) else np.zeros(0, state["kind"])
-            out.append((doc_id, *finish(ids, state["pieces"])))
+        for doc_ids, counts, raw in zip(*(docs.column(c).to_pylist() for c in ("doc_ids", "counts", "numbers"))):
+            at, places = 0, _unpack_numbers(raw)
+            for doc_id, n in zip(doc_ids, counts):
+                out.append((doc_id, *finish(table.take(places[at:at + n]), state["pieces"])))
+                at += n
         columns = list(zip(*out)) if out else [[] for _ in schema]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -203,10 +250,12 @@ def _put_together(path, finish, schema: pa.Schema):
 def _apply(docs: DataFrame, path: str, finish, schema: pa.Schema, ddl: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     special = special_strings(load(path))
-    words = rows.mapInArrow(_distinct_words(special), "block long, number int, word string")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(
-        _encode_sorted(path), "block long, number int, ids binary")
-    positions = rows.mapInArrow(_positions(special), "block long, doc_id long, numbers binary, wide boolean")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = rows.mapInArrow(_distinct_words(special, buckets),
+                            "bucket int, block long, numbers binary, words binary, lengths binary")
+    ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _encode_bucket(path), "block long, numbers binary, ids binary, lengths binary")
+    positions = rows.mapInArrow(_positions(special), "block long, doc_ids array<long>, counts array<long>, numbers binary")
     return (positions.groupBy("block").cogroup(ids.groupBy("block"))
             .applyInArrow(_put_together(path, finish, schema), ddl))
 
