@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from capshift.functions.ids import py_strip
 from capshift.functions.metrics import floor_zero
+from capshift.operators.lineage import one_dataset, one_report, one_workspace
 from capshift.operators.policy import with_checks, with_target
+from capshift.params import DEFAULT_HEADROOM
 
 # Decision kinds in precedence order.
 DECISION_KINDS = ("INVALID_POLICY", "RECOVER", "TARGET_OVERLOADED", "UNRESOLVED", "SAME_CAPACITY",
@@ -60,7 +62,7 @@ def with_peak(df: DataFrame, peaks: DataFrame, cap_col: str, out_col: str,
 #               is decided (0: silence reads as 0 and counts as recovered)
 #   alert_requires_source_over: alert only when some remaining report's own
 #               capacity is above T as well (the README's wording, D1)
-OPTIONAL_POLICY_COLUMNS = {"min_events": 0, "alert_requires_source_over": False}
+OPTIONAL_POLICY_COLUMNS = {"min_events": 0, "alert_requires_source_over": False, "headroom": DEFAULT_HEADROOM}
 
 
 def _option(df: DataFrame, name: str) -> F.Column:
@@ -77,7 +79,7 @@ def policy_context(policies: DataFrame, workspaces: DataFrame, peaks: DataFrame)
     valid = F.coalesce(F.col("is_valid"), F.lit(False)) & (F.col("resolution") != "UNRESOLVED")
     gate = F.col("headroom") * F.col("move_threshold")
     return ctx.select(
-        "policy_id", "move_threshold", "recovery_threshold", "headroom", "target_workspace_id",
+        "policy_id", "move_threshold", "recovery_threshold", "target_workspace_id",
         "target_capacity_id", "resolution", valid.alias("valid"), "target_peak", gate.alias("gate_threshold"),
         F.coalesce(F.col("target_peak") > gate, F.lit(False)).alias("overloaded"),
         *OPTIONAL_POLICY_COLUMNS)
@@ -94,15 +96,15 @@ def tick_table(watched_ctx: DataFrame, state: DataFrame, reports: DataFrame, dat
     """
     s = state.select("report_id", "initial_dataset_id", "target_dataset_id",
                      F.col("target_workspace_id").alias("state_target_workspace_id"))
-    r = reports.select("report_id", F.col("workspace_id").alias("report_workspace_id"), "dataset_id")
-    cur_ds = datasets.select("dataset_id", F.col("name").alias("dataset_name"),
-                             F.col("workspace_id").alias("dataset_workspace_id"))
-    cur_ws = workspaces.select(F.col("workspace_id").alias("dataset_workspace_id"),
-                               py_strip(F.col("capacity_id")).alias("capacity_id"))
-    home_ds = datasets.select(F.col("dataset_id").alias("initial_dataset_id"),
-                              F.col("workspace_id").alias("initial_workspace_id"))
-    home_ws = workspaces.select(F.col("workspace_id").alias("initial_workspace_id"),
-                                py_strip(F.col("capacity_id")).alias("initial_capacity_id"))
+    r = one_report(reports).withColumnRenamed("workspace_id", "report_workspace_id")
+    d, w = one_dataset(datasets), one_workspace(workspaces)
+    cur_ds = d.select("dataset_id", F.col("name").alias("dataset_name"),
+                      F.col("workspace_id").alias("dataset_workspace_id"))
+    cur_ws = w.select(F.col("workspace_id").alias("dataset_workspace_id"), "capacity_id")
+    home_ds = d.select(F.col("dataset_id").alias("initial_dataset_id"),
+                       F.col("workspace_id").alias("initial_workspace_id"))
+    home_ws = w.select(F.col("workspace_id").alias("initial_workspace_id"),
+                       F.col("capacity_id").alias("initial_capacity_id"))
     if "workspace_id" in watched_ctx.columns:
         # A watched pair (workspace, report) names the report's workspace itself.
         watched_ctx = watched_ctx.withColumnRenamed("workspace_id", "given_workspace_id")

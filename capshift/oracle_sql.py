@@ -3,7 +3,7 @@
 Written independently of the Spark code: typed columns are computed directly
 (no JSON round trip), lookups are plain joins, and the replay is a brute-force
 grid of every capacity and tick. Parameters are those of the fixture at
-sf0.01 (look-back 12 h).
+any scale (look-back 12 h).
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ reports AS (
            AS dataset_id
   FROM orders),
 watched AS (
-  SELECT '{policy}' AS policy_id, CAST(o_orderkey AS VARCHAR) AS report_id FROM orders WHERE o_orderkey % 7 = 0
+  SELECT '{policy}' AS policy_id, CAST(o_orderkey AS VARCHAR) AS report_id FROM orders
   UNION ALL
   SELECT '{policy}', CAST(o_orderkey + 2000000000 AS VARCHAR) FROM orders WHERE o_orderkey % 700 = 0),
 state AS (
@@ -291,8 +291,8 @@ SELECT m.policy_id, m.source_dataset_id, m.target_workspace_id, m.target_dataset
                 'connectionDetails', json_object('path', c.path, 'type', c.type), 'gatewayId', c.gateway_id))
        END::VARCHAR AS payload
 FROM moved m
-JOIN (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS dataset_id, CAST(l_suppkey AS VARCHAR) AS datasource_id
-      FROM lineitem WHERE l_orderkey % 3 = 0) ds ON ds.dataset_id = m.source_dataset_id
+JOIN (SELECT DISTINCT CAST(l_orderkey - l_orderkey % 3 AS VARCHAR) AS dataset_id, CAST(l_suppkey AS VARCHAR) AS datasource_id
+      FROM lineitem) ds ON ds.dataset_id = m.source_dataset_id
 LEFT JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS datasource_id,
                   CASE WHEN s_nationkey % 5 = 0 THEN 'Cloud' ELSE 'Gateway' END
                     AS connectivity_type,

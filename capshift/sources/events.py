@@ -79,23 +79,24 @@ def in_lookback(parsed: DataFrame, params: RunParams) -> DataFrame:
     return parsed.where(cond)
 
 
-def ingest_capacity_events(envelope: DataFrame, path: str) -> None:
-    """Parse each payload once and store typed events partitioned by event date.
+def ingest_capacity_events(envelope: DataFrame, path: str, batch_id: str) -> None:
+    """Parse each payload once and add typed events, partitioned by event date and ingest batch.
 
     Downstream jobs then read columns instead of JSON, and a look-back touches
-    only the partitions of its dates. Rewriting a date replaces only that
-    date's partition (dynamic overwrite), so a retried ingest is idempotent.
+    only the partitions of its dates. An increment or a late row adds a
+    partition beside those already stored for its day; only a retry of the
+    same ``batch_id`` replaces what that batch wrote.
     """
-    typed = parse_events(envelope).withColumn("event_date", F.to_date("time"))
-    envelope.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    typed = parse_events(envelope).withColumns({"event_date": F.to_date("time"), "ingest_batch": F.lit(batch_id)})
     # Written straight from the input partitions: no shuffle, so a hot capacity
     # or a busy day never lands in one task.
-    typed.write.mode("overwrite").partitionBy("event_date").parquet(path)
+    (typed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("event_date", "ingest_batch").parquet(path))
 
 
 def read_typed_events(spark: SparkSession, path: str) -> DataFrame:
     """The ingested event table: parsed columns plus the ``event_date`` partition."""
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("ingest_batch")
 
 
 def anchor_on_newest_event(parsed: DataFrame, params: RunParams) -> RunParams:

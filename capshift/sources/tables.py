@@ -8,6 +8,8 @@ retried run rewrites the same files instead of appending twice.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,20 +48,33 @@ def ensure_tables(spark: SparkSession, database: str | None = None, location: st
     return names
 
 
+def _partition(run_id: str) -> str:
+    return "PARTITION (run_id='" + run_id.replace("\\", "\\\\").replace("'", "\\'") + "')"
+
+
 def write_run_partition(df: DataFrame, table: str, run_id: str) -> None:
-    """K4/K5: append one run's rows; re-running the same run replaces its partition only."""
+    """K4/K5: append one run's rows; re-running the same run replaces its partition only.
+
+    The partition is dropped first and exists afterwards even without rows, so
+    a rerun leaves nothing stale and an empty result is the newest snapshot.
+    """
     spark = df.sparkSession
     cols = [f.name for f in spark.table(table).schema.fields if f.name != "run_id"]
     out = df.select(*[F.col(c) for c in cols], F.lit(run_id).alias("run_id"))
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    out.write.mode("overwrite").insertInto(table)
+    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {_partition(run_id)}")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+    spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {_partition(run_id)}")
 
 
 def latest_snapshot(spark: SparkSession, table: str) -> DataFrame:
-    """The newest ``run_id`` partition of a snapshot table (run ids sort by time)."""
-    t = spark.table(table)
-    newest = t.agg(F.max("run_id").alias("run_id"))
-    return t.join(newest, "run_id", "left_semi").drop("run_id")
+    """The newest ``run_id`` partition of a snapshot table (run ids sort by time).
+
+    The newest id comes from the partition listing, so only its files are read.
+    """
+    ids = spark.sql(f"SHOW PARTITIONS {table}").select(F.expr("substring(partition, length('run_id=') + 1)").alias("id"))
+    newest = ids.agg(F.max("id").alias("id")).first()["id"]
+    rows = spark.table(table)
+    return (rows.where(F.lit(False)) if newest is None else rows.where(F.col("run_id") == unquote(newest))).drop("run_id")
 
 
 def write_alerts_csv(alerts: DataFrame, path: str) -> None:

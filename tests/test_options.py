@@ -9,6 +9,7 @@ from capshift import schemas
 from capshift.operators.peaks import capacity_peak
 from capshift.params import RunParams
 from capshift.sources.events import anchor_on_newest_event, parse_events
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from world import (AS_OF, DATASETS, LOOKBACK, REPORT_HOME, REPORT_MOVED, STATE_MOVED, WORKSPACES, build,
@@ -71,8 +72,10 @@ def test_ingested_events_prune_partitions_and_give_same_peaks(spark, tmp_dir):
     from capshift.sources.events import ingest_capacity_events, read_typed_events
     from capshift.sources.fixtures import Fixture
     fx = Fixture(spark, "/root/testdata/sf0.001")
-    ingest_capacity_events(fx.capacity_events, f"{tmp_dir}/events")
-    ingest_capacity_events(fx.capacity_events, f"{tmp_dir}/events")  # retried ingest: same content
+    halves = [fx.capacity_events.where(F.hash("data") % 2 == k) for k in (0, 1)]
+    halves[1] = fx.capacity_events.exceptAll(halves[0])
+    for batch, half in (("b0", halves[0]), ("b1", halves[1]), ("b0", halves[0])):  # two increments, one retried
+        ingest_capacity_events(half, f"{tmp_dir}/events", batch)
     typed = read_typed_events(spark, f"{tmp_dir}/events")
     assert typed.count() == fx.table("events").count()
     via_json = {r["capacity_id"]: r["peak_utilization"]
@@ -89,7 +92,7 @@ def test_balance_on_ingested_typed_events(spark, tmp_dir):
     from capshift.plans.balance import BalanceRun
     from capshift.sources.events import ingest_capacity_events, read_typed_events
     run = fixture_run(spark, "/root/testdata/sf0.001")
-    ingest_capacity_events(run.capacity_events, f"{tmp_dir}/typed")
+    ingest_capacity_events(run.capacity_events, f"{tmp_dir}/typed", "b0")
     typed_run = BalanceRun(run.params, run.policies, run.watched, run.state, run.inv,
                            read_typed_events(spark, f"{tmp_dir}/typed"), materialize=False)
     key = ["policy_id", "report_id"]

@@ -29,7 +29,10 @@ def test_ddl_partition_append_is_idempotent(spark, tmp_dir):
     assert spark.table("capshift_test.decision_log").count() == run.log.count()
     tables.write_run_partition(run.next_state.limit(0), "capshift_test.report_repoints", "run-2")
     snap = tables.latest_snapshot(spark, "capshift_test.report_repoints")
-    assert snap.count() == 1  # run-2 wrote no rows: the newest non-empty partition is still run-1
+    assert snap.count() == 0  # run-2 wrote no rows: the newest state is empty
+    tables.write_run_partition(run.log.select(*[f.name for f in schemas.DECISION_LOG.fields]).limit(0),
+                               "capshift_test.decision_log", "run-1")
+    assert spark.table("capshift_test.decision_log").count() == 0  # a rerun leaves no stale rows
 
 
 def test_alert_csv_round_trip(spark, tmp_dir):
