@@ -88,23 +88,24 @@ def workspace_by_name(names: DataFrame, workspaces: DataFrame, name_col: str = "
     return names.join(by_name, names[name_col] == by_name["name"], "left").drop("name")
 
 
-def copy_lookup(moves: DataFrame, datasets: DataFrame) -> DataFrame:
+def copy_lookup(moves: DataFrame, datasets: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """J10/F8/D-C: copy plan per moved report.
 
     The copy is named ``<dataset name>_LB`` in the target workspace. An existing
     dataset of that name there (first match) is overwritten by the copy, so its
     id is the copy's id; otherwise the id is null until the copy exists.
     Datasets are first reduced to the (workspace, name) pairs the moves need.
+    ``carry`` names columns of ``moves`` to keep.
     """
     plan = moves.select(
         "policy_id", "report_id", F.col("dataset_id").alias("source_dataset_id"),
         F.col("dataset_workspace_id").alias("source_workspace_id"),
         F.concat(F.col("dataset_name"), F.lit(COPY_SUFFIX)).alias("target_dataset_name"),
-        "target_workspace_id")
+        "target_workspace_id", *carry)
     wanted = plan.select("target_workspace_id", "target_dataset_name").distinct()
     cand = datasets.join(wanted, (datasets["workspace_id"] == wanted["target_workspace_id"])
                          & (datasets["name"] == wanted["target_dataset_name"]), "inner")
     found = first_match(cand, ["target_workspace_id", "target_dataset_name"], "dataset_id", "existing_copy_id")
     return plan.join(found, ["target_workspace_id", "target_dataset_name"], "left").select(
         "policy_id", "report_id", "source_dataset_id", "source_workspace_id", "target_dataset_name",
-        "target_workspace_id", "existing_copy_id")
+        "target_workspace_id", "existing_copy_id", *carry)

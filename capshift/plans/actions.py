@@ -14,8 +14,11 @@ ACTION_COLUMNS = ["policy_id", "action", "report_id", "report_workspace_id", "so
                   "target_dataset_name", "target_dataset_id", "target_workspace_id", "utilization"]
 
 
-def action_table(recovered: DataFrame, copies: DataFrame, moves: DataFrame) -> DataFrame:
-    """U1/D-A: report rebinds. Recover -> back to the initial dataset; move -> to the copy."""
+def action_table(recovered: DataFrame, copies: DataFrame) -> DataFrame:
+    """U1/D-A: report rebinds. Recover -> back to the initial dataset; move -> to the copy.
+
+    ``copies`` carries the moved reports' workspace and utilization, so no join is needed.
+    """
     back = recovered.select(
         "policy_id", F.lit("RECOVER").alias("action"), "report_id", "report_workspace_id",
         F.col("target_dataset_id").alias("source_dataset_id"),
@@ -23,8 +26,7 @@ def action_table(recovered: DataFrame, copies: DataFrame, moves: DataFrame) -> D
         F.col("initial_dataset_id").alias("target_dataset_id"),
         F.col("initial_workspace_id").alias("target_workspace_id"),
         F.col("initial_peak").alias("utilization"))
-    m = moves.where(F.col("decision") == "MOVE").select("policy_id", "report_id", "report_workspace_id", "utilization")
-    fwd = m.join(copies, ["policy_id", "report_id"], "inner").select(
+    fwd = copies.select(
         "policy_id", F.lit("MOVE").alias("action"), "report_id", "report_workspace_id", "source_dataset_id",
         "target_dataset_name", F.col("existing_copy_id").alias("target_dataset_id"), "target_workspace_id",
         "utilization")

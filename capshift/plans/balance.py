@@ -158,13 +158,19 @@ class BalanceRun:
         return decide.all_decisions(self.tick)
 
     # -- plans and outputs --------------------------------------------------------
+    @cached_property
+    def copy_plan(self) -> DataFrame:
+        # Read by the actions, the state, the log and both plans: written once.
+        moved = self.moves.where(F.col("decision") == "MOVE")
+        return self._keep(lineage.copy_lookup(moved, self.inv.datasets, ("report_workspace_id", "utilization")), "copies")
+
     @cached_property
     def copies(self) -> DataFrame:
-        return lineage.copy_lookup(self.moves.where(F.col("decision") == "MOVE"), self.inv.datasets)
+        return self.copy_plan.drop("report_workspace_id", "utilization")
 
     @cached_property
     def actions(self) -> DataFrame:
-        return actions.action_table(self.recovered, self.copies, self.moves)
+        return actions.action_table(self.recovered, self.copy_plan)
 
     @cached_property
     def moved_datasets(self) -> DataFrame:
@@ -204,6 +210,7 @@ class BalanceRun:
             "report_repoints": f"{root}/report_repoints/run_id={rid}",
             "decisions": f"{root}/decisions/run_id={rid}",
             "actions": f"{root}/actions/run_id={rid}",
+            "copies": f"{root}/copies/run_id={rid}",
             "connection_bindings": f"{root}/connection_bindings/run_id={rid}",
             "refresh_plan": f"{root}/refresh_plan/run_id={rid}",
             "decision_log": f"{root}/decision_log/run_id={rid}",
@@ -212,6 +219,7 @@ class BalanceRun:
         self.next_state.write.mode("overwrite").parquet(out["report_repoints"])
         self.decisions.write.mode("overwrite").parquet(out["decisions"])
         actions.with_rebind_payload(self.actions).write.mode("overwrite").parquet(out["actions"])
+        self.copies.write.mode("overwrite").parquet(out["copies"])
         if self.inv.datasources is not None and self.inv.connections is not None:
             self.connection_bindings.write.mode("overwrite").parquet(out["connection_bindings"])
         if self.inv.refresh_schedules is not None:
