@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +12,32 @@ from pyspark.sql import functions as F
 from capshift.session import scratch_path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Tables written inside are deleted at the end, but those written with ``keep`` (they pass to the scope around)."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for path in _scopes.pop():
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to a fresh folder of the shared checkpoint root and read it back.
 
     Cuts the lineage with files every executor can read, so a lost executor costs
     neither the table nor a recomputation of what lies before it.
     """
     path = scratch_path(df.sparkSession, name)
+    at = len(_scopes) - 1 - keep
+    if at >= 0:
+        _scopes[at].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -56,15 +77,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     share = F.lit(0.0)
     for y, n in counts.items():
         share = F.when(F.col("y") == y, F.lit(min(1.0, per_class / n))).otherwise(share)
-    picked = rows.where(spread <= share)
+    picked = F.broadcast(rows.where(spread <= share))  # about 2 x per_class rows of two numbers
     return docs.select("doc_id", "text").join(picked, "doc_id").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
 def collect_training(sample: DataFrame) -> tuple[list[str], np.ndarray]:
     """The bounded sample on the driver, in a fixed order."""
-    table = sample.orderBy("doc_id", F.md5("text")).select("text", "y").toArrow()
-    return table.column("text").to_pylist(), np.asarray(table.column("y").to_pylist(), np.float64)
+    table = sample.toArrow()
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "y"))))
+    return [r[1] for r in rows], np.array([r[2] for r in rows], np.float64)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
