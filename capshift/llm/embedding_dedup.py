@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capshift.llm.common import broadcast_if_small, in_slices, materialise
+from capshift.llm.common import broadcast_if_small, in_slices, materialise, scratch_scope
 from capshift.llm.components import connected_components
 from capshift.llm.vectors import matrix, unit, usable
 
@@ -226,6 +226,11 @@ def near_links(vectors: DataFrame, least: float, passes: int) -> DataFrame:
 
 def near_duplicate_vectors(table: DataFrame, least: float = 0.9, passes: int = PASSES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``table`` (vec_id, embedding)."""
+    with scratch_scope(table.sparkSession):
+        return materialise(_linked(table, least, passes), "vector-groups", keep=True)
+
+
+def _linked(table: DataFrame, least: float, passes: int) -> DataFrame:
     vectors = usable(table)
     labels = materialise(connected_components(near_links(vectors, least, passes)), "vector-components")
     counts = _links_inside(vectors, labels, least)
