@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capshift.llm.common import materialise
+from capshift.llm.common import broadcast_if_small, materialise
 
 MAX_ROUNDS = 60
 
@@ -19,15 +19,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     An empty edge table gives an empty result; self-loops and repeats are harmless.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialise(both.where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct(), "cc-edges")
+    both = materialise(both.where(F.col("a").isNotNull() & F.col("b").isNotNull()), "cc-edges")
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m"))
                          .select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "cc-labels")
     for _ in range(MAX_ROUNDS):
-        near = (both.join(labels.withColumnRenamed("node", "b"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near")))
-        hop = labels.select(F.col("node").alias("component"), F.col("component").alias("hop"))
-        new = (labels.join(near, "node", "left").join(hop, "component", "left")
-               .select("node", F.col("component").alias("old"), F.least("component", "near", "hop").alias("component")))
+        known = broadcast_if_small(labels)
+        hop = known.select(F.col("node").alias("component"), F.col("component").alias("hop"))
+        near = (both.join(known.withColumnRenamed("node", "b"), "b").join(hop, "component")
+                .groupBy(F.col("a").alias("node")).agg(F.min("hop").alias("near")))
+        new = (near.join(known, "node").join(hop, "component")
+               .select("node", F.col("component").alias("old"), F.least("near", "hop").alias("component")))
         new = materialise(new, "cc-labels")
         labels = new.select("node", "component")
         if new.where(F.col("old") != F.col("component")).isEmpty():

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capshift.llm.common import in_slices, materialise, texts
+from capshift.llm.common import broadcast_if_small, in_slices, materialise, scratch_scope, texts
 from capshift.llm.components import connected_components
 from capshift.llm.hashing import mix, shingle_set, word_hashes
 
@@ -50,7 +50,6 @@ BINS, ROWS = 240, 6
 BANDS = BINS // ROWS
 BLOCK = 200
 COLUMNS = 4096
-BROADCAST_ROWS = 1_000_000
 
 _ORDER = np.argsort(np.random.default_rng(9).random((BINS, BINS)), axis=1).argsort(axis=1).astype(np.int16)
 
@@ -104,9 +103,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of the classes in ``wanted`` (node, digest, first_id), from the texts of their first ids."""
-    ids = wanted.select(F.col("first_id").alias("wanted_id")).distinct()
-    if ids.count() <= BROADCAST_ROWS:  # 8 bytes a row; beyond it the texts are shuffled by id
-        ids = F.broadcast(ids)
+    ids = broadcast_if_small(wanted.select(F.col("first_id").alias("wanted_id")))  # else the texts are shuffled by id
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
 
@@ -117,7 +114,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                                    "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     sets = picked.mapInArrow(run, "digest binary, shingles binary")
-    return sets.join(wanted.select("node", "digest"), "digest").select("node", "shingles").dropDuplicates(["node"])
+    return sets.join(broadcast_if_small(wanted).select("node", "digest"), "digest").select("node", "shingles").dropDuplicates(["node"])
 
 
 def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -155,7 +152,7 @@ def _star_edges(rows: DataFrame, percent: int) -> DataFrame:
 
 def _relabel(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Rows with the components that all links so far give."""
-    labels = connected_components(links)
+    labels = broadcast_if_small(connected_components(links))
     return (rows.join(labels.withColumnRenamed("component", "label"), "node", "left")
             .withColumn("component", F.coalesce("label", "node")).drop("label"))
 
@@ -203,9 +200,12 @@ def _compare_blocks(percent: int):
 
 def _cluster_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of different components in the clusters of ``mixed`` (key, node, component)."""
-    hub = mixed.groupBy("key").agg(F.min("node").alias("b"))
-    clusters = connected_components(mixed.join(hub, "key").select(F.col("node").alias("a"), "b"))
-    members = mixed.select("node", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "node")
+    # Components that share a bucket are one cluster; an edge to the bucket's smallest says so.
+    hub = mixed.groupBy("key").agg(F.min("component").alias("b"))
+    edges = mixed.select("key", F.col("component").alias("a")).distinct().join(hub, "key").where("a <> b")
+    clusters = broadcast_if_small(connected_components(edges.select("a", "b").distinct()))
+    members = mixed.select("node", "component").distinct().join(
+        clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component")
     parts = members.groupBy("cluster", F.col("component").alias("main")).agg(F.count("*").alias("n"))
     shape = parts.groupBy("cluster").agg(F.max_by("main", F.struct("n", "main")).alias("main"),
                                          F.sum("n").alias("all"), F.max("n").alias("inside"))
@@ -234,10 +234,12 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, width: int, percent: in
     shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     rows = materialise(rows.join(shared, "key"), "near-buckets")
     support = rows.groupBy("node").agg(F.sum("members").alias("support"))
-    wanted = classes.join(support.select("node"), "node", "left_semi").select("node", "digest", "first_id")
+    support = materialise(support, "near-support")
+    wanted = materialise(classes.join(broadcast_if_small(support), "node", "left_semi")
+                         .select("node", "digest", "first_id"), "near-wanted")
     sets = materialise(_full_sets(docs, wanted, width), "near-sets")
 
-    edges = _star_edges(rows.join(support, "node"), percent)
+    edges = _star_edges(rows.join(broadcast_if_small(support), "node"), percent)
     links = materialise(_confirm(edges, sets, percent), "near-links")
     rows = _relabel(rows.select("key", "node"), links)
     spread = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -249,13 +251,18 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, width: int, percent: in
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text)."""
+    with scratch_scope(docs.sparkSession):
+        return materialise(_groups(docs, width, percent), "near-groups", keep=True)
+
+
+def _groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sketches = materialise(sketch(docs, width), "near-sketch")
     filled = sketches.where(F.col("digest").isNotNull())
     classes = materialise(
         filled.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"),
                                      F.first("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    labels = connected_components(confirmed_links(docs, classes, width, percent))
+    labels = broadcast_if_small(connected_components(confirmed_links(docs, classes, width, percent)))
     member = classes.select("digest", "node", "first_id").join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     smallest = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -269,8 +276,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that are not the first of their group; columns unchanged.
 
-    Rows equal in every column count as one document.
+    Rows equal in every column count as one document. Only rows that share their id
+    with another kept row are compared for that.
     """
-    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("kept_id"))
-    first = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return first.dropDuplicates()
+    kept = near_duplicates(docs, width, percent).where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(
+        F.count("*").alias("rows"))
+    kept = materialise(kept, "near-kept")
+
+    def of(ids: DataFrame) -> DataFrame:
+        ids = broadcast_if_small(ids.select("kept_id"))
+        return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+
+    once, again = of(kept.where("rows = 1")), kept.where("rows > 1")
+    return once if again.isEmpty() else once.union(of(again).dropDuplicates())
