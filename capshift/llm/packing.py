@@ -43,7 +43,7 @@ from capshift.llm.common import in_slices, texts
 WINDOW, UNIT, END = 2048, 8, 1
 BLOCK_TOKENS = 6_000_000
 MOST_FREE = 32  # ids of a sequence of remainders that may stay free without cutting
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long")
@@ -80,23 +80,28 @@ class WordEncoder:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.young) > KEPT_WORDS:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = words.difference(young)
-        for w in new.intersection(old):
-            young[w] = old[w]
-        new = list(new.difference(old))
+        """Make the young generation hold ``words``, which it does not yet."""
+        known = words.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in known)
+        new = list(words.difference(known))
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
-            young.update(zip(part, self._encode(part)))
+            self.young.update(zip(part, self._encode(part)))
 
     def __call__(self, sample: list[str]) -> list[bytes]:
+        if len(self.young) > KEPT_WORDS:
+            self.young, self.old = {}, self.young
         apart = {i for i, t in enumerate(sample) if SEPARATORS.search(t) or any(s in t for s in self.special)}
         split = [[] if i in apart else t.split() for i, t in enumerate(sample)]
-        self._learn(set().union(*split))
-        look = self.young.__getitem__
-        out = [b"".join(map(look, words)) for words in split]
+        found = [list(map(self.young.get, words)) for words in split]
+        new = set()
+        for words, ids in zip(split, found):
+            if None in ids:
+                new.update([w for w, x in zip(words, ids) if x is None])
+        self._learn(new)
+        look = self.young
+        out = [b"".join([look[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids)
+               for words, ids in zip(split, found)]
         for i in apart:
             out[i] = np.array(self.tokenizer.encode(sample[i], add_special_tokens=False).ids, "<u4").tobytes()
         return out
@@ -121,40 +126,63 @@ _COMBINATIONS = combinations(WINDOW // UNIT)
 
 
 def solve_repeats(histogram: np.ndarray, ways: np.ndarray) -> np.ndarray:
-    """Non-negative repeat counts x with sum_ways x * (lengths of the way) near the histogram (Lawson-Hanson)."""
+    """Non-negative repeat counts x with sum_ways x * (lengths of the way) near the histogram.
+
+    An active-set method (Lawson-Hanson): ways of largest gradient, sharing no length,
+    enter together; it ends when no way would be used half a time more.
+    """
     size = len(histogram)
-    a = np.zeros((size, len(ways)))
-    for place in range(ways.shape[1]):
-        np.add.at(a, (ways[:, place], np.arange(len(ways))), 1.0)
-    a[0] = 0
     # A way with a length that nothing has would only be left unfilled.
-    usable = (np.where(a > 0, histogram[:, None] > 0, True)).all(axis=0)
+    usable = ((ways == 0) | (histogram[ways] > 0)).all(axis=1)
+    ways_of = np.flatnonzero(usable)
     x, passive = np.zeros(len(ways)), np.zeros(len(ways), bool)
-    for _ in range(3 * size):
-        gradient = a.T @ (histogram - a @ x)
+    if not len(ways_of):
+        return x
+
+    def columns(on):
+        a = np.zeros((size, len(on)))
+        for place in range(ways.shape[1]):
+            np.add.at(a, (ways[on, place], np.arange(len(on))), 1.0)
+        a[0] = 0
+        return a
+
+    residual = histogram.astype(float).copy()
+    residual[0] = 0
+    for _ in range(size):
+        gradient = residual[ways].sum(axis=1)
         gradient[passive | ~usable] = -np.inf
-        best = int(gradient.argmax())
-        if gradient[best] <= 1e-6 * max(1.0, histogram.max()):
+        entered, used = 0, np.zeros(size, bool)
+        for way in np.argsort(-gradient)[:64].tolist():
+            lengths = [p for p in ways[way].tolist() if p]
+            if gradient[way] <= 0.5 or entered == 16:
+                break
+            if not used[lengths].any():
+                used[lengths] = True
+                passive[way] = True
+                entered += 1
+        if not entered:
             break
-        passive[best] = True
         while True:
             on = np.flatnonzero(passive)
-            held = a[:, on]
+            held = columns(on)
             gram = held.T @ held
-            gram[np.diag_indices(len(on))] += 1e-9
+            gram[np.diag_indices(len(on))] += 1e-6
             z = np.linalg.solve(gram, held.T @ histogram)
-            if (z > 1e-9).all():
+            low = z <= 1e-9
+            if not low.any():
                 x[:] = 0
                 x[on] = z
                 break
-            low = z <= 1e-9
-            step = min(1.0, float((x[on][low] / np.maximum(x[on][low] - z[low], 1e-12)).min()))
+            step = float(np.clip(x[on][low] / np.maximum(x[on][low] - z[low], 1e-12), 0, 1).min())
             x[on] += step * (z - x[on])
-            gone = on[(x[on] <= 1e-9)]
+            gone = on[(x[on] <= 1e-9) & low]
             x[gone] = 0
             passive[gone] = False
             if not len(gone):
                 break
+        on = np.flatnonzero(passive)
+        residual = histogram - columns(on) @ x[on]
+        residual[0] = 0
     return x
 
 
