@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from contextlib import contextmanager
 
 import numpy as np
@@ -94,9 +96,20 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t if t is not None else "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker serves many tasks and would keep the most it ever held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def in_slices(batches, rows: int = 512):
     """Arrow batches cut into slices of at most ``rows`` rows, so that what Python holds at once stays small."""
+    release_memory()
     for batch in batches:
-        for at in range(0, max(batch.num_rows, 1), rows):
-            if batch.num_rows:
-                yield batch.slice(at, rows)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+    release_memory()

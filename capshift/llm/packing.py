@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 from capshift.llm.common import in_slices, texts
 
 WINDOW, UNIT, END = 2048, 8, 1
-BLOCK_TOKENS = 6_000_000
+BLOCK_TOKENS = 4_000_000
 MOST_FREE = 32  # ids of a sequence of remainders that may stay free without cutting
-KEPT_WORDS = 800_000
+KEPT_WORDS = 400_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long")

@@ -33,7 +33,7 @@ PER_CLASS = 2500
 BUCKETS, RANK = 1 << 14, 6
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.1, 1e-5
 THRESHOLD = 0.5
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 
 # Byte classes: 0 other, 1 lower-case letter or any non-ASCII byte, 2 capital, 3 digit, 4 space, 5 usual
 # punctuation, 6 symbol.

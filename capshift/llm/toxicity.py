@@ -35,7 +35,7 @@ ROUNDS, RATE, DECAY = 80, 0.05, 2e-4
 THRESHOLD = 0.7
 LEAST_SHARE, LEAST_MOST = 1 / 200, 20  # documents of the sample a word must occur in to be trained
 CALM = 20  # words without a say in every mean, so that a few words alone decide little
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,8 +147,8 @@ class Scorer:
         if len(self.known) > KEPT_WORDS:
             self.known = {}
         new = list({w for words in split for w in words}.difference(self.known))
-        for at in range(0, len(new), 50_000):
-            part = new[at:at + 50_000]
+        for at in range(0, len(new), 20_000):
+            part = new[at:at + 20_000]
             self.known.update(zip(part, self.model.word_margins(part).tolist()))
         look = self.known.__getitem__
         mean = np.array([sum(map(look, words)) / (len(words) + CALM) for words in split])
