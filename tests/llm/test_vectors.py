@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from capshift.llm import ann, embedding_dedup, queries
@@ -70,6 +72,36 @@ def test_links_defined_cases(make_vectors):
     assert embedding_dedup.near_duplicate_vectors(make_vectors([])).count() == 0
 
 
+def lost_pairs(spark, folder, x, copies):
+    """Planted pairs (rows 2i, 2i + 1 of ``x``, each ``copies`` times) whose vectors end in different components."""
+    ids = np.arange(len(x) * copies)
+    flat = pa.array(np.repeat(x, copies, axis=0).astype(np.float32).ravel())
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * x.shape[1]), flat)
+    pq.write_table(pa.table({"vec_id": ids, "embedding": lists}), f"{folder}/v.parquet", row_group_size=20_000)
+    got = embedding_dedup.near_duplicate_vectors(spark.read.parquet(f"{folder}/v.parquet")).toPandas().set_index("vec_id")
+    assert len(got) == len(ids) and (got.n_links >= copies - 1).all()
+    component = got.component_id.sort_index().to_numpy()[::copies]
+    return component[0::2] != component[1::2]
+
+
+def planted(rng, pairs, dim, cosine=0.902):
+    a, b = rng.normal(size=(2, pairs, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return np.stack((a, cosine * a + (1 - cosine ** 2) ** 0.5 * b), axis=1).reshape(2 * pairs, dim)
+
+
+def test_passes_keep_the_loss_at_the_threshold_under_the_bound(spark, tmp_path):
+    x = planted(np.random.default_rng(11), 100_000, 32)
+    assert lost_pairs(spark, tmp_path, x, 1).sum() <= 1.2 * embedding_dedup.MISS * 100_000  # by the model 16 passes lose about 1,700
+
+
+def test_copies_do_not_eat_the_windows(spark, tmp_path):
+    x = planted(np.random.default_rng(12), 1000, 32)
+    assert lost_pairs(spark, tmp_path, x, 130).sum() <= 4  # by the model 16 passes over all copies lose about 22
+
+
 def plain_search(rows, every, k):
     out = []
     for at, (i, v) in enumerate(rows):
