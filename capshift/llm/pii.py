@@ -1,18 +1,20 @@
 """Operator 7: personal data, and terms that give it away.
 
 Base kinds (email, ip, card, phone) are found in each whole text. The method adds
-terms: for a protected value e and a term t near it, the corpus gives
+terms: for a protected value e and a term t of the same document, the corpus gives
 
     disclosure(t, e) = PMI(t, e) / IC(e) = log(p(t, e) / (p(t) p(e))) / -log p(e)
 
 with p over documents. It is 1 when every document with t also holds e. A term
-reaching ``DISCLOSURE``, seen with e in at least ``SUPPORT`` different contexts (copies
-of one context count once), is a span of kind ``term``. ``sanitise`` replaces base
-spans by a class mark (generalised) and removes disclosing terms.
+reaching ``DISCLOSURE`` in at least ``SUPPORT`` different documents with e (copies of a
+whole text count once, as do repeats inside one) is disclosing: every occurrence of it
+outside base spans, anywhere in a document that holds e, is a span of kind ``term``.
+``sanitise`` replaces base spans by a class mark (generalised) and removes disclosing
+terms.
 
-Counts: contexts come only from documents with protected values; document frequencies
-of their terms are counted over all documents, summed in the task before the shuffle.
-Protected values join their own contexts only, by hash.
+Counts: only values of at least ``SUPPORT`` documents can disclose, so only their
+documents' distinct terms are counted with them; those counts, and the document
+frequencies of terms over all documents, are summed in the task before the shuffle.
 
 Defined cases: a null or empty text has no spans (and stays null or empty when
 sanitised); rows that repeat a doc_id are separate rows; matches of different kinds
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capshift.llm.common import in_slices, materialise, texts
+from capshift.llm.common import broadcast_if_small, in_slices, materialise, texts
 
 # Fixed values of the contract: the base kinds, in their order, and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
@@ -45,13 +47,11 @@ DIGIT = re.compile(r"[0-9]")
 MARKS = ["<EMAIL>", "<IP>", "<CARD>", "<PHONE>", ""]
 
 TERM = re.compile(r"[^\W\d_]{3,}")
-WINDOW = 80  # characters of context on either side of a protected value
-SUPPORT = 3
+SUPPORT = 3  # documents
 DISCLOSURE = 0.8
 BROADCAST_ROWS = 200_000
 FLUSH_WORDS = 200_000
 SPANS = "array<struct<kind:int,start:int,end:int>>"
-CONTEXTS = "array<struct<entity:binary,context:binary,terms:array<struct<term:string,start:int,end:int>>>>"
 
 
 def _emails(text: str):
@@ -94,60 +94,102 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _hash(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _hash(text: str, size: int = 16) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=size).digest()
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """The protected values of a text with the terms around them."""
-    out, begins, ends = [], [], []
-    for start, end in sorted((s, e) for _, s, e in spans):  # merged, for the test below
+def _digest(text: str) -> int:
+    """64 bits that tell whole texts apart."""
+    return int.from_bytes(_hash(text, 8), "little", signed=True)
+
+
+def entities(text: str, spans: list[tuple[int, int, int]]) -> list[bytes]:
+    """The distinct protected values of a text, hashed."""
+    return sorted({_hash(f"{kind}:{text[start:end].lower()}") for kind, start, end in spans})
+
+
+def terms_outside(text: str, spans: list[tuple[int, int]]):
+    """(term, start, end) of every term of a text that overlaps no base span (start, end)."""
+    begins, ends = [], []
+    for start, end in sorted(spans):  # merged
         if ends and start < ends[-1]:
             ends[-1] = max(ends[-1], end)
         else:
             begins.append(start)
             ends.append(end)
-
-    def outside(start: int, end: int) -> bool:
-        i = bisect_left(begins, end)
-        return i == 0 or ends[i - 1] <= start
-
-    for kind, start, end in spans:
-        lo, hi = max(0, start - WINDOW), min(len(text), end + WINDOW)
-        before, after = text[lo:start], text[end:hi]
-        terms = [{"term": m[0].lower(), "start": at + m.start(), "end": at + m.end()}
-                 for at, part in ((lo, before), (end, after)) for m in TERM.finditer(part)
-                 if outside(at + m.start(), at + m.end())]
-        out.append({"entity": _hash(f"{kind}:{text[start:end].lower()}"), "context": _hash(before + "\0" + after),
-                    "terms": terms})
-    return out
+    for m in TERM.finditer(text):
+        i = bisect_left(begins, m.end())
+        if i == 0 or ends[i - 1] <= m.start():
+            yield m[0].lower(), m.start(), m.end()
 
 
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-_CONTEXT_TYPE = pa.list_(pa.struct([
-    ("entity", pa.binary()), ("context", pa.binary()),
-    ("terms", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))]))
+_SCANNED = ["base", "entities", "digest"]
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with two more columns, the last two: base spans and contexts of protected values."""
+    """``docs`` as c0, c1, ... with three more columns: base spans, protected values and the digest of the text."""
     schema = docs.schema
     column = schema.fieldNames().index("text")
+    n = len(schema)
+    names = [*[f"c{i}" for i in range(n)], *_SCANNED]
 
     def run(batches):
         for part in in_slices(batches):
             values = [t if t is not None else "" for t in part.column(column).to_pylist()]
             spans = [find_spans(t) for t in values]
             base = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans]
-            near = [contexts(t, x) for t, x in zip(values, spans)]
+            held = [entities(t, x) for t, x in zip(values, spans)]
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(base, _SPAN_TYPE), pa.array(near, _CONTEXT_TYPE)],
-                [f"c{i}" for i in range(part.num_columns + 2)])
+                [*part.columns, pa.array(base, _SPAN_TYPE), pa.array(held, pa.list_(pa.binary())),
+                 pa.array([_digest(t) for t in values], pa.int64())], names)
 
     inner = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(schema))
-    n = len(schema)
-    plain = docs.toDF(*[f"c{i}" for i in range(n)])
-    return plain.mapInArrow(run, f"{inner}, c{n} {SPANS}, c{n + 1} {CONTEXTS}")
+    plain = docs.toDF(*names[:n])
+    return plain.mapInArrow(run, f"{inner}, base {SPANS}, entities array<binary>, digest long")
+
+
+def _documents_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, text, base, entities) of the rows that hold entities of ``wanted``, and these entities."""
+    each = rows.select("row", F.explode("entities").alias("entity")).join(broadcast_if_small(wanted, BROADCAST_ROWS), "entity")
+    some = each.groupBy("row").agg(F.collect_list("entity").alias("entities"))
+    return rows.select("row", "text", "base").join(broadcast_if_small(some, BROADCAST_ROWS), "row").select(
+        "row", "text", "base", "entities")
+
+
+def _each_document(part):
+    for row, text, base, held in zip(*(part.column(i).to_pylist() for i in range(4))):
+        yield row, held, terms_outside(text, [(s["start"], s["end"]) for s in base])
+
+
+def _count_pairs(batches):
+    """(entity, term, n): documents of both, each counted once; summed in the task."""
+    counts: Counter[tuple[bytes, str]] = Counter()
+
+    def flush():
+        batch = pa.record_batch({"entity": pa.array([e for e, _ in counts], pa.binary()),
+                                 "term": pa.array([t for _, t in counts], pa.string()),
+                                 "n": pa.array(list(counts.values()), pa.int64())})
+        counts.clear()
+        return batch
+
+    for part in in_slices(batches):
+        for _, held, found in _each_document(part):
+            terms = {t for t, _, _ in found}
+            for entity in held:
+                counts.update((entity, t) for t in terms)
+                if len(counts) >= FLUSH_WORDS:
+                    yield flush()
+    yield flush()
+
+
+def _occurrences(batches):
+    """(row, entity, term, start, end): every term outside base spans with every entity of its document."""
+    names = ["row", "entity", "term", "start", "end"]
+    types = [pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.int32()]
+    for part in in_slices(batches, 64):
+        out = [(row, entity, *t) for row, held, found in _each_document(part) for t in list(found) for entity in held]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -167,7 +209,7 @@ def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
         for part in in_slices(batches):
             for t in texts(part):
-                words = set(TERM.findall(t.lower()))
+                words = {w.lower() for w in set(TERM.findall(t))}
                 counts.update(words if known is None else words & known.value)
                 if len(counts) >= FLUSH_WORDS:
                     yield flush()
@@ -178,31 +220,30 @@ def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.join(terms, "term", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(entity, term) pairs over the disclosure threshold; scanned: (row, contexts)."""
-    near = scanned.where(F.size("contexts") > 0).select("row", F.explode("contexts").alias("c"))
-    pairs = near.select("row", "c.entity", "c.context", F.explode(
-        F.array_distinct(F.transform("c.terms", lambda t: t["term"]))).alias("term"))
-    # Copies of a context first become one row with their number of documents.
-    once = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("rows"))
-    joint = materialise(once.groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("rows").alias("both"))
-                        .where(F.col("support") >= SUPPORT), "pii-joint")
-    held = near.select("row", "c.entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    frequency = document_frequency(docs, joint.select("term").distinct())
+def disclosing_terms(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(entity, term) pairs over the disclosure threshold; rows: (row, text, base, entities, digest)."""
+    holding = rows.where(F.size("entities") > 0)
+    once = holding.groupBy("digest").agg(F.min("row").alias("row")).select("row")  # one of each whole text
+    first = holding.join(broadcast_if_small(once, BROADCAST_ROWS), "row")
     total = docs.count()
+    held = materialise(first.select(F.explode("entities").alias("entity")).groupBy("entity").agg(
+        F.count("*").alias("with_entity")).where(F.col("with_entity").between(SUPPORT, total - 1)), "pii-held")
+    counted = _documents_of(first, held.select("entity")).mapInArrow(_count_pairs, "entity binary, term string, n long")
+    joint = materialise(counted.groupBy("entity", "term").agg(F.sum("n").alias("both"))
+                        .where(F.col("both") >= SUPPORT), "pii-joint")
+    frequency = document_frequency(docs, joint.select("term").distinct())
     p = {"e": F.col("with_entity") / F.lit(float(total)), "t": F.col("documents") / F.lit(float(total)),
-         "et": F.least("both", "with_entity", "documents") / F.lit(float(total))}
+         "et": F.col("both") / F.lit(float(total))}
     ratio = F.log(p["et"] / (p["t"] * p["e"])) / -F.log(p["e"])
-    return (joint.join(held, "entity").join(frequency, "term").where(F.col("with_entity") < total)
-            .where(ratio >= DISCLOSURE).select("entity", "term"))
+    return joint.join(held, "entity").join(frequency, "term").where(ratio >= DISCLOSURE).select("entity", "term")
 
 
 def _added(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(row, terms): the spans of disclosing terms; rows: (row, contexts)."""
-    flagged = disclosing_terms(docs, rows)
-    each = (rows.where(F.size("contexts") > 0).select("row", F.explode("contexts").alias("c"))
-            .select("row", "c.entity", F.explode("c.terms").alias("t")).select("row", "entity", "t.*"))
-    hit = each.join(flagged, ["entity", "term"]).select(
+    """(row, terms): the spans of disclosing terms; rows: (row, text, base, entities, digest)."""
+    flagged = materialise(disclosing_terms(docs, rows), "pii-flagged")
+    each = _documents_of(rows.where(F.size("entities") > 0), flagged.select("entity").distinct()).mapInArrow(
+        _occurrences, "row long, entity binary, term string, start int, end int")
+    hit = each.join(broadcast_if_small(flagged, BROADCAST_ROWS), ["entity", "term"]).select(
         "row", F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end").alias("s")).distinct()
     return hit.groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("terms"))
 
@@ -215,8 +256,9 @@ def _spans():
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) per document: structs (kind, start, end) by kind, then start; kind 4 is a term."""
     found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = materialise(found.select(F.col("c0").alias("doc_id"), F.col("c2").alias("base"), F.col("c3").alias("contexts"),
-                                    F.monotonically_increasing_id().alias("row")), "pii-scan")
+    # Only texts with protected values are kept, for their terms.
+    rows = materialise(found.select(F.col("c0").alias("doc_id"), F.when(F.size("base") > 0, F.col("c1")).alias("text"),
+                                    *_SCANNED, F.monotonically_increasing_id().alias("row")), "pii-scan")
     return rows.join(_added(docs, rows), "row", "left").select("doc_id", _spans().alias("spans"))
 
 
@@ -251,9 +293,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with the text sanitised; rows and columns stay."""
     schema, n = docs.schema, len(docs.schema)
     column = schema.fieldNames().index("text")
-    rows = materialise(scan(docs).withColumn("row", F.monotonically_increasing_id())
-                       .withColumnRenamed(f"c{n}", "base").withColumnRenamed(f"c{n + 1}", "contexts"), "pii-rows")
-    added = materialise(_added(docs, rows.select("row", "contexts")), "pii-terms")
+    rows = materialise(scan(docs).withColumn("row", F.monotonically_increasing_id()), "pii-rows")
+    added = materialise(_added(docs, rows.select("row", F.col(f"c{column}").alias("text"), *_SCANNED)), "pii-terms")
     if added.count() <= BROADCAST_ROWS:  # spans of the few documents with terms; else the texts are shuffled by row
         added = F.broadcast(added)
     found = rows.join(added, "row", "left").select(*[f"c{i}" for i in range(n)], _spans().alias("spans"))

@@ -120,6 +120,20 @@ def test_copies_of_one_context_disclose_nothing(make_docs):
     assert all("term" not in r["spans"] for r in pii.report(pii.find_personal_data(docs)).collect())
 
 
+def test_terms_far_from_the_value_are_found_and_marked_everywhere(make_docs):
+    fill = [" ".join(f"{a}{b}word" for b in "abcdefghijkl") for a in "pqrst"]  # over 80 characters, in every document
+    near = [(i, f"Zorblax headline {fill[i % 5]} body {i} {fill[0]} bob{i // 3}@example.com {fill[1]} zorblax end") for i in range(3)]
+    other = [(100 + i, f"headline {' '.join(fill)} body end {i}") for i in range(60)]
+    docs = make_docs(near + other)
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(pii.find_personal_data(docs)).collect()}
+    for i, t in near:
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer("zorblax", t, re.I)]
+        assert len(want) == 2 and spans[i].split(",")[1:] == want
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all("zorblax" not in clean[i].lower() and "<EMAIL>" in clean[i] for i, _ in near)
+    assert all(spans[i] == "" and clean[i] == t for i, t in other)
+
+
 def test_pii_defined_cases(make_docs, odd_rows):
     docs = make_docs(odd_rows, clash=True)
     assert pii.find_personal_data(docs).count() == len(odd_rows)
