@@ -5,16 +5,17 @@ terms: for a protected value e and a term t of the same document, the corpus giv
 
     disclosure(t, e) = PMI(t, e) / IC(e) = log(p(t, e) / (p(t) p(e))) / -log p(e)
 
-with p over documents. It is 1 when every document with t also holds e. A term
-reaching ``DISCLOSURE`` in at least ``SUPPORT`` different documents with e (copies of a
-whole text count once, as do repeats inside one) is disclosing: every occurrence of it
-outside base spans, anywhere in a document that holds e, is a span of kind ``term``.
-``sanitise`` replaces base spans by a class mark (generalised) and removes disclosing
-terms.
+with p over different documents (copies of a whole text are one). It is 1 when every
+document with t also holds e. A term reaching ``DISCLOSURE`` in at least ``SUPPORT`` of
+them with e is disclosing: every occurrence of it outside base spans, anywhere in a
+document that holds e, is a span of kind ``term``. ``sanitise`` replaces base spans by a
+class mark (generalised) and removes disclosing terms.
 
 Counts: only values of at least ``SUPPORT`` documents can disclose, so only their
 documents' distinct terms are counted with them; those counts, and the document
 frequencies of terms over all documents, are summed in the task before the shuffle.
+Each of m copies of a text adds 1/m there, so no text is shuffled to find them (up to
+``REPEATED`` repeated texts; beyond, texts are joined with their number of copies).
 
 Defined cases: a null or empty text has no spans (and stays null or empty when
 sanitised); rows that repeat a doc_id are separate rows; matches of different kinds
@@ -27,8 +28,9 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,7 @@ TERM = re.compile(r"[^\W\d_]{3,}")
 SUPPORT = 3  # documents
 DISCLOSURE = 0.8
 BROADCAST_ROWS = 200_000
+REPEATED = 2_000_000
 FLUSH_WORDS = 200_000
 SPANS = "array<struct<kind:int,start:int,end:int>>"
 
@@ -192,31 +195,60 @@ def _occurrences(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
 
 
-def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, documents) over all of ``docs`` for the terms of ``terms``; counted in the task before the shuffle."""
+def _with_copies(docs: DataFrame, repeated: DataFrame):
+    """(texts with a column more, copies of a text of a batch): ``repeated`` as a lookup in the task, or joined if large."""
+    if repeated.count() <= REPEATED:
+        found = repeated.orderBy("digest").toArrow()
+        known = docs.sparkSession.sparkContext.broadcast(
+            (found.column("digest").to_numpy(), found.column("copies").to_numpy()))
+
+        def copies(part):
+            digests, numbers = known.value
+            own = np.array([_digest(t) for t in texts(part)], np.int64)
+            if not len(digests):
+                return np.ones(len(own))
+            at = np.minimum(np.searchsorted(digests, own), len(digests) - 1)
+            return np.where(digests[at] == own, numbers[at], 1)
+
+        return docs.select("text", F.lit(1).cast("long").alias("copies")), copies
+
+    def digest(batches):
+        for part in in_slices(batches):
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([_digest(t) for t in texts(part)], pa.int64())], ["text", "digest"])
+
+    joined = docs.select("text").mapInArrow(digest, "text string, digest long").join(repeated, "digest", "left")
+    return joined.select("text", F.coalesce("copies", F.lit(1)).alias("copies")), lambda part: part.column(1).to_numpy()
+
+
+def document_frequency(docs: DataFrame, terms: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(term, documents) over the different texts of ``docs`` for the terms of ``terms``; counted in the task before
+    the shuffle. repeated: (digest, copies) of the texts that occur more than once."""
     known = None
     if terms.count() <= BROADCAST_ROWS:  # else every word is counted and the terms are joined afterwards
         known = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))
+    source, copies = _with_copies(docs, repeated)
 
     def run(batches):
-        counts: Counter[str] = Counter()
+        counts: defaultdict[str, float] = defaultdict(float)
 
         def flush():
             batch = pa.record_batch({"term": pa.array(list(counts), pa.string()),
-                                     "n": pa.array(list(counts.values()), pa.int64())})
+                                     "n": pa.array(list(counts.values()), pa.float64())})
             counts.clear()
             return batch
 
         for part in in_slices(batches):
-            for t in texts(part):
+            for t, n in zip(texts(part), copies(part).tolist()):
                 words = {w.lower() for w in set(TERM.findall(t))}
-                counts.update(words if known is None else words & known.value)
+                for w in words if known is None else words & known.value:
+                    counts[w] += 1 / n
                 if len(counts) >= FLUSH_WORDS:
                     yield flush()
         yield flush()
 
-    counted = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(
-        F.sum("n").alias("documents"))
+    counted = source.mapInArrow(run, "term string, n double").groupBy("term").agg(
+        F.round(F.sum("n")).cast("long").alias("documents"))
     return counted.join(terms, "term", "left_semi")
 
 
@@ -225,13 +257,14 @@ def disclosing_terms(docs: DataFrame, rows: DataFrame) -> DataFrame:
     holding = rows.where(F.size("entities") > 0)
     once = holding.groupBy("digest").agg(F.min("row").alias("row")).select("row")  # one of each whole text
     first = holding.join(broadcast_if_small(once, BROADCAST_ROWS), "row")
-    total = docs.count()
+    texts_once = materialise(rows.groupBy("digest").agg(F.count("*").alias("copies")), "pii-texts")
+    total = texts_once.count()
     held = materialise(first.select(F.explode("entities").alias("entity")).groupBy("entity").agg(
         F.count("*").alias("with_entity")).where(F.col("with_entity").between(SUPPORT, total - 1)), "pii-held")
     counted = _documents_of(first, held.select("entity")).mapInArrow(_count_pairs, "entity binary, term string, n long")
     joint = materialise(counted.groupBy("entity", "term").agg(F.sum("n").alias("both"))
                         .where(F.col("both") >= SUPPORT), "pii-joint")
-    frequency = document_frequency(docs, joint.select("term").distinct())
+    frequency = document_frequency(docs, joint.select("term").distinct(), texts_once.where("copies > 1"))
     p = {"e": F.col("with_entity") / F.lit(float(total)), "t": F.col("documents") / F.lit(float(total)),
          "et": F.col("both") / F.lit(float(total))}
     ratio = F.log(p["et"] / (p["t"] * p["e"])) / -F.log(p["e"])

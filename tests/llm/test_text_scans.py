@@ -134,6 +134,22 @@ def test_terms_far_from_the_value_are_found_and_marked_everywhere(make_docs):
     assert all(spans[i] == "" and clean[i] == t for i, t in other)
 
 
+def test_a_shared_signature_counts_once_per_different_document(make_docs, monkeypatch):
+    signature = " -- regards zorblax bob@example.com" + " " * 90
+    signed = [(i, f"letter about {'abcdefgh'[i] * 100}{signature}") for i in range(8)]  # one 80-character context
+    within = [(50, " ".join(f"{c * 4} quuxley {c * 90} amy@example.org" for c in "abc"))]  # three contexts, one document
+    plain = [(100 + i, f"letter about regards {'ij'[i % 2] * (3 + i)}") for i in range(60)]
+    copies = [(200 + i, "zorblax once more") for i in range(40)]  # one text: p(zorblax) is 9 texts, not 48 documents
+    docs = make_docs(signed + within + plain + copies)
+    for most in (pii.REPEATED, 0):  # repeated texts looked up, or joined
+        monkeypatch.setattr(pii, "REPEATED", most)
+        spans = {r["doc_id"]: r["spans"] for r in pii.report(pii.find_personal_data(docs)).collect()}
+        for i, t in signed:
+            at = t.index("zorblax")
+            assert f"term:{at}:{at + 7}" in spans[i].split(",") and spans[i].count("term:") == 1
+        assert "term" not in spans[50] and all(spans[i] == "" for i, _ in plain + copies)
+
+
 def test_pii_defined_cases(make_docs, odd_rows):
     docs = make_docs(odd_rows, clash=True)
     assert pii.find_personal_data(docs).count() == len(odd_rows)
