@@ -1,8 +1,9 @@
 """Operator 5: secrets, with corpus-wide ownership of their values.
 
 ``scan`` finds the base kinds (assign, access, hex) and further candidates (service
-tokens, signed web tokens, private-key headers, long random-looking strings) in each
-whole text. Every candidate value is hashed; the hashes are counted over the corpus by
+tokens, signed web tokens, private keys from header to END line, long random-looking
+strings) in each whole text. A private key's value is its whole body without white
+space. Every candidate value is hashed; the hashes are counted over the corpus by
 the distinct documents ("repositories") and distinct sources ("owners") they occur
 in. A value of ``WIDE`` owners or more is a copied example; a random-looking value of
 fewer owners looks live. Further candidates become spans only when they look live;
@@ -44,6 +45,10 @@ SERVICE = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-
                      r"|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{20,})")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+BREAK = r"(?:\s|\\[nr])"  # also line ends as strings of source code have them
+# A key without its END line: header fields, long lines of base64 and a shorter last one on a line of its own.
+BODY = re.compile(rf"(?:\s*[A-Z][A-Za-z-]+:\x20[^\n]*\n)*+(?:{BREAK}*+[A-Za-z0-9+/=]{{40,}}+)+(?:{BREAK}++[A-Za-z0-9+/]+={{0,2}}(?=\s*?\n|\s*\Z))?"
+                  rf"|{BREAK}*+[A-Za-z0-9+/=]+")
 LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}")
 ENTROPY = 3.5  # bits a character
 WIDE = 3  # owners
@@ -60,6 +65,20 @@ def looks_random(value: str) -> bool:
             and entropy(value) >= min(ENTROPY, math.log2(len(value)) - 1))
 
 
+def key_block(text: str, begin: re.Match) -> tuple[int, str]:
+    """(end, value) of the private key whose BEGIN line is ``begin``: to its END line, or to the end of its base64."""
+    after = text.find("-----BEGIN ", begin.end())
+    after = len(text) if after < 0 else after
+    last = begin[0].replace("BEGIN", "END", 1)
+    at = text.find(last, begin.end(), after)
+    if at >= 0:
+        body, end = text[begin.end():at], at + len(last)
+    else:
+        m = BODY.match(text, begin.end(), after)
+        body, end = (m[0], m.end()) if m else ("", begin.end())
+    return end, re.sub(BREAK, "", body)
+
+
 def find_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, value) of all candidates, by start, then kind."""
     found = []
@@ -78,7 +97,7 @@ def find_spans(text: str) -> list[tuple[int, int, int, str]]:
     if "eyJ" in text:
         found += [(4, m.start(), m.end(), m[0]) for m in JWT.finditer(text)]
     if "PRIVATE KEY-----" in text:
-        found += [(5, m.start(), m.end(), text[m.end():m.end() + 64]) for m in PEM.finditer(text)]
+        found += [(5, m.start(), *key_block(text, m)) for m in PEM.finditer(text)]
     return sorted(found, key=lambda s: (s[1], s[0]))
 
 
