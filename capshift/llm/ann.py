@@ -7,7 +7,8 @@
    neighbours in each part.
 3. The classifier places every row of the table in its most probable part. A query goes
    to its several most probable parts - as many as bring the recall measured on the
-   sample to ``TARGET`` - and is compared there with every row, exactly.
+   sample to ``TARGET``, and on until they hold ``k`` rows besides the query - and is
+   compared there with every row, exactly.
 
 Parts are cut into blocks of rows and of queries, so neither a hot part nor a table of
 any size meets in one task; a block pair returns its best ``k`` per query (more on
@@ -136,24 +137,40 @@ def fit(sample: np.ndarray, rows: int, k: int, seed: int = 4) -> Router:
     return router
 
 
-def _route(shared):
-    """(part, rank) rows: every vector in its part as a candidate (rank 0), queries in their parts as well (1..)."""
+_NAMES = ["row", "vec_id", "asks", "raw", "part"]
+_PARTS = "row long, vec_id long, asks boolean, raw binary, part int"
+
+
+def _order(router: Router, column) -> np.ndarray:
+    return np.argsort(-router(matrix(column)), axis=1, kind="stable")
+
+
+def _place(shared):
+    """Every vector in its most probable part."""
+    def run(batches):
+        for part in in_slices(batches, 2048):
+            first = _order(shared.value, part.column(3))[:, 0]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(first.astype(np.int32))], _NAMES)
+
+    return run
+
+
+def visits(order: np.ndarray, held: np.ndarray, probes: int, k: int) -> np.ndarray:
+    """How many parts of its ``order`` each query visits: ``probes``, or more until they hold ``k`` rows besides itself."""
+    short = (np.cumsum(held[order], axis=1) < k + 1).sum(axis=1) + 1
+    return np.minimum(np.maximum(short, probes), order.shape[1])
+
+
+def _ask(shared, held: np.ndarray, k: int):
+    """Every query in each part it visits."""
     def run(batches):
-        router = shared.value
         for part in in_slices(batches, 2048):
-            logits = router(matrix(part.column(3)))
-            order = np.argsort(-logits, axis=1, kind="stable")
-            asks = part.column(2).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(np.zeros(part.num_rows, bool)), part.column(3),
-                 pa.array(order[:, 0].astype(np.int32))], ["row", "vec_id", "asks", "raw", "part"])
-            asking = np.flatnonzero(asks)
-            if len(asking):
-                some = part.take(pa.array(asking))
-                for t in range(router.probes):
-                    yield pa.RecordBatch.from_arrays(
-                        [some.column(0), some.column(1), some.column(2), some.column(3),
-                         pa.array(order[asking, t].astype(np.int32))], ["row", "vec_id", "asks", "raw", "part"])
+            order = _order(shared.value, part.column(3))
+            needed = visits(order, held, shared.value.probes, k)
+            for t in range(int(needed.max(initial=0))):
+                some = np.flatnonzero(needed > t)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.take(pa.array(some)).columns, pa.array(order[some, t].astype(np.int32))], _NAMES)
 
     return run
 
@@ -210,9 +227,13 @@ def search(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     if router is None:
         router = Router(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     shared = table.sparkSession.sparkContext.broadcast(router)
-    routed = materialise(
-        vectors.select("row", "vec_id", (F.col("vec_id") % every == 0).alias("asks"), "raw").mapInArrow(
-            _route(shared), "row long, vec_id long, asks boolean, raw binary, part int"), "ann-parts")
+    rows = vectors.select("row", "vec_id", F.lit(False).alias("asks"), "raw")
+    placed = materialise(rows.mapInArrow(_place(shared), _PARTS), "ann-parts")
+    held = np.zeros(router.parts, np.int64)
+    for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect():  # at most MOST_PARTS rows
+        held[r["part"]] = r["n"]
+    asking = rows.where(F.col("vec_id") % every == 0).withColumn("asks", F.lit(True))
+    routed = placed.union(materialise(asking.mapInArrow(_ask(shared, held, k), _PARTS), "ann-queries"))
     # At most MOST_PARTS rows: the blocks that rows and queries of each part are cut into.
     shape = routed.groupBy("part").agg(
         F.ceil(F.count_if(~F.col("asks")) / ROW_BLOCK).cast("int").alias("row_blocks"),

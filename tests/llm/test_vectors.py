@@ -133,6 +133,20 @@ def test_partitions_are_learned_and_recall_holds():
     assert (np.take_along_axis(rank, logits.argmax(axis=1)[near], axis=1) < router.probes).mean() >= 0.9
 
 
+def test_queries_visit_parts_until_they_hold_k_rows(make_vectors, monkeypatch):
+    order = np.array([[0, 1, 2], [2, 0, 1], [1, 2, 0]])
+    assert ann.visits(order, np.array([21, 3, 17]), 1, 20).tolist() == [1, 2, 3]
+    assert ann.visits(order, np.array([1, 1, 1]), 1, 20).tolist() == [3, 3, 3]
+    assert ann.visits(order, np.array([21, 3, 17]), 2, 20).tolist() == [2, 2, 3]
+    # A few vectors with many copies each, and single rows that fall to parts of their own.
+    rng = np.random.default_rng(5)
+    few = rng.normal(size=(4, 8))
+    rows = [(20 * i + 1, few[i % 4]) for i in range(3000)] + [(20 * i, x) for i, x in enumerate(rng.normal(size=(60, 8)))]
+    monkeypatch.setattr(ann, "ROWS_PER_PART", 100)
+    got = ann.search(make_vectors(rows), every=20, k=20).toPandas()
+    assert got.groupby("query_id").size().tolist() == [20] * 60
+
+
 def test_ties_and_defined_cases(make_vectors):
     rows = [(i, [1.0, 2.0]) for i in range(30)] + [(100, [5.0, 5.0])]
     odd = [(40, None), (60, [0, 0]), (80, [NAN, 1]), (120, [1, None]), (None, [9, 9]), (140, [1, 1, 1])]
