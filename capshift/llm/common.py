@@ -49,6 +49,22 @@ def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "left",
+                small: int = 300_000) -> DataFrame:
+    """``rows`` joined with the written table ``groups``, which has one short row per ``key`` and its rows in ``size``.
+
+    Up to ``small`` groups are broadcast. Beyond that, groups that hold a thousandth of
+    the ``total`` rows or more (a thousand at most) are still broadcast, so no hot key is
+    shuffled; only the other rows are.
+    """
+    if groups.count() <= small:
+        return rows.join(F.broadcast(groups), key, how)
+    least = max(total / 1000, 1)
+    hot = F.broadcast(groups.where(F.col(size) >= least))
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(size) < least), key, how)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from capshift.llm import ann, bpe, embedding_dedup, minhash_dedup, packing, pii, quality, secret_scan, toxicity, url_filter
+from capshift.llm import ann, bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, pii, quality, secret_scan, toxicity, url_filter
 from capshift.llm.common import read_table, tokenizer_path
 
 
@@ -53,6 +53,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
@@ -64,6 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
-ORACLE: dict[str, str] = {"op2_url_filter": url_filter.ORACLE_SQL}
+ORACLE: dict[str, str] = {
+    "op2_url_filter": url_filter.ORACLE_SQL,
+    "op13_exact_dedup": exact_dedup.ORACLE_SQL,
+}
