@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from capshift.llm import (ann, bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, pii, prefix_trie, quality,
-                          secret_scan, toxicity, url_filter)
+from capshift.llm import (ann, bpe, conversation_repair, embedding_dedup, exact_dedup, minhash_dedup, packing, pii,
+                          prefix_trie, quality, secret_scan, toxicity, url_filter)
 from capshift.llm.common import read_table, tokenizer_path
 
 
@@ -54,6 +54,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(conversation_repair.damage(read_table(spark, sf_dir, "conversations")))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
 
@@ -73,12 +77,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op2_url_filter": url_filter.ORACLE_SQL,
+    "op11_conversation_repair": conversation_repair.ORACLE_SQL,
     "op12_prefix_trie": prefix_trie.ORACLE_SQL,
     "op13_exact_dedup": exact_dedup.ORACLE_SQL,
 }
