@@ -10,7 +10,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from capshift.catalog import QUERIES
+from capshift.oracle_sql import ORACLE
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["customer", "supplier", "orders", "lineitem", "events"]
@@ -48,13 +50,13 @@ def _rows(pdf):
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", FAST)
 def test_query_matches_oracle(spark, con, name):
-    got = _rows(queries()[name](spark, SF).toPandas())
-    exp = _rows(con.execute(oracle_sql()[name]).df())
+    got = _rows(QUERIES[name](spark, SF).toPandas())
+    exp = _rows(con.execute(ORACLE[name]).df())
     assert got[0] == exp[0]
     assert len(got[1]) == len(exp[1])
     assert got[1] == exp[1]
@@ -67,6 +69,6 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_every_oracle_runs_in_duckdb(con, name):
-    assert con.execute(oracle_sql()[name]).df().shape[1] > 0
+    assert con.execute(ORACLE[name]).df().shape[1] > 0
