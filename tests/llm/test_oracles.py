@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 
 from capshift.llm.queries import ORACLE, QUERIES
@@ -21,6 +22,6 @@ def test_query_matches_its_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
 
     def rows(pdf):
-        return sorted((tuple(None if v is None or v != v else v for v in r) for r in pdf[sorted(pdf.columns)].itertuples(index=False)), key=str)
+        return sorted((tuple(None if pd.isna(v) else v for v in r) for r in pdf[sorted(pdf.columns)].itertuples(index=False)), key=str)
 
     assert rows(got) == rows(want)
