@@ -41,19 +41,28 @@ def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple((t[:, None] * row[None, :]).ravel()[:n] for t, row in zip(tall, (_UP, _DOWN)))
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of the maximal runs without white space (0x20, 0x09-0x0D), in order, A-Z folded."""
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs without white space (0x20, 0x09-0x0D), in order."""
     space = _SPACE[data]
     edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
-    start, end = edges[::2], edges[1::2]
+    return edges[::2], edges[1::2]
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Hashes of the given stretches; ``fold``: A-Z hash like a-z."""
     if not len(start):
         return np.zeros(0, np.uint64)
     up, down = power_table(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_FOLDED[data] * up, out=total[1:])
+    np.cumsum((_FOLDED if fold else _BYTE)[data] * up, out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of ``word_spans``, A-Z folded."""
+    return span_hashes(data, *word_spans(data))
+
+
 _SHINGLE = _RNG.integers(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 

@@ -15,10 +15,10 @@ A block is up to ``BLOCK_TOKENS`` ids of consecutive documents of one partition,
 memory is bounded, nothing is shuffled, no group of equal lengths meets in one task,
 and a lost task is simply run again. Sequence ids are unique over the whole result.
 
-Words are encoded through a table of recent words per task: the tokenizer never looks
-across white space, so a word's ids do not depend on its neighbours (texts with a
-special token's string or with the separators 0x1C-0x1F, on which Python and the
-tokenizer differ, are encoded whole).
+Words are encoded through a table of recent words: the tokenizer never looks across
+white space, so a word's ids do not depend on its neighbours (texts with a special
+token's string or the character 0x01, which marks the ends of words when many are
+encoded at once, are encoded whole).
 
 Defined cases: a null or empty text is its end id alone; a very long text is many
 windows; rows that repeat a doc_id are separate documents; an empty table gives no
@@ -28,7 +28,6 @@ pieces. Extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_right
 
@@ -38,13 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capshift.llm.common import in_slices, texts
+from capshift.llm.common import in_slices
+from capshift.llm.hashing import span_hashes, word_spans
 
 WINDOW, UNIT, END = 2048, 8, 1
 BLOCK_TOKENS = 4_000_000
 MOST_FREE = 32  # ids of a sequence of remainders that may stay free without cutting
-KEPT_WORDS = 400_000
-SEPARATORS = re.compile("[\x1c-\x1f]")
+KEPT_WORDS = 1_200_000  # of about 40 bytes
+BLOCK_BYTES = 1 << 20  # text hashed at once
+MARK = b"\x01"
+SPACES = [bytes([c]) for c in b" \t\n\x0b\x0c\r"]
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long")
 
@@ -52,8 +54,9 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 class WordEncoder:
     """Texts to little-endian unsigned 32-bit ids, each recent distinct word encoded once.
 
-    Two generations of words are kept: a word used again moves to the younger, and the
-    older goes when the younger is full, so frequent words stay and memory is bounded.
+    Words are told apart by 64-bit hashes of their bytes and kept as numbers in numpy:
+    sorted hashes, and where each word's ids lie in one pool. That is about 40 bytes a
+    word; with ``KEPT_WORDS`` words the table starts anew from the words at hand.
     """
 
     def __init__(self, path: str):
@@ -63,55 +66,113 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of words without white space, many at a time: a word's ids are those that start in its stretch."""
-        out = []
-        joined = [words[at:at + 500] for at in range(0, len(words), 500)]
-        for part, e in zip(joined, self.tokenizer.encode_batch([" ".join(p) for p in joined], add_special_tokens=False)):
-            length = np.array([len(w) + 1 for w in part])
-            begin = np.array([o[0] for o in e.offsets], np.int64)
-            cut = np.searchsorted(begin, np.append(np.cumsum(length) - length, length.sum())) * 4
-            raw = np.array(e.ids, "<u4").tobytes()
-            out += [raw[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        return out
-
-    def _learn(self, words: set[str]) -> None:
-        """Make the young generation hold ``words``, which it does not yet."""
-        known = words.intersection(self.old)
-        self.young.update((w, self.old[w]) for w in known)
-        new = list(words.difference(known))
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            self.young.update(zip(part, self._encode(part)))
-
-    def __call__(self, sample: list[str]) -> list[bytes]:
-        if len(self.young) > KEPT_WORDS:
-            self.young, self.old = {}, self.young
-        apart = {i for i, t in enumerate(sample) if SEPARATORS.search(t) or any(s in t for s in self.special)}
-        split = [[] if i in apart else t.split() for i, t in enumerate(sample)]
-        found = [list(map(self.young.get, words)) for words in split]
-        new = set()
-        for words, ids in zip(split, found):
-            if None in ids:
-                new.update([w for w, x in zip(words, ids) if x is None])
-        self._learn(new)
-        look = self.young
-        out = [b"".join([look[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids)
-               for words, ids in zip(split, found)]
-        for i in apart:
-            out[i] = np.array(self.tokenizer.encode(sample[i], add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        self.apart = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] + [MARK]
+        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        if len(mark) != 1:
+            raise ValueError(f"{path}: the mark between words is not one id")
+        self.mark = mark[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and how many each has; a mark between words shows where they end."""
+        joined = [(b" " + MARK + b" ").join([*words[at:at + 500], b""]).decode() for at in range(0, len(words), 500)]
+        parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(joined, add_special_tokens=False)]
+        ids = np.concatenate(parts)
+        ends = np.flatnonzero(ids == self.mark)
+        return ids[ids != self.mark], np.diff(ends, prepend=-1) - 1
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Take in words under their hashes, which the table does not hold."""
+        if len(self.keys) + len(keys) > KEPT_WORDS:
+            self._forget()
+        ids, size = self._encode(words)
+        at = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate((self.pool, ids))
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = (np.insert(old, place, new) for old, new in (
+            (self.keys, keys), (self.at, at), (self.size, size)))
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key in the table, and whether it is there."""
+        place = np.searchsorted(self.keys, keys)
+        there = place < len(self.keys)
+        there[there] = self.keys[place[there]] == keys[there]
+        return place, there
+
+    def _block(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of every piece."""
+        data = np.frombuffer(b"\n".join(pieces), np.uint8)
+        start, end = word_spans(data)
+        keys, first, word = np.unique(span_hashes(data, start, end, fold=False), return_index=True, return_inverse=True)
+        place, there = self._find(keys)
+        if not there.all():
+            if len(self.keys) + int((~there).sum()) > KEPT_WORDS:
+                there[:] = False
+            new = first[~there]
+            self._learn(keys[~there], [data[a:b].tobytes() for a, b in zip(start[new].tolist(), end[new].tolist())])
+            place, there = self._find(keys)
+        size = self.size[place][word]
+        ends = np.cumsum(size)
+        ids = self.pool[np.repeat(self.at[place][word] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        close = np.cumsum([len(p) + 1 for p in pieces])
+        cuts = np.concatenate(([0], ends))[np.searchsorted(start, close)]
+        return np.split(ids, cuts[:-1])
+
+    def __call__(self, sample: list[bytes]) -> list[bytes]:
+        """Ids of every text as bytes."""
+        out: list[list[np.ndarray]] = [[] for _ in sample]
+        pieces, owners, held = [], [], 0
+
+        def done():
+            for owner, ids in zip(owners, self._block(pieces)):
+                out[owner].append(ids)
+
+        for i, text in enumerate(sample):
+            if any(s in text for s in self.apart):
+                out[i].append(self._whole(text))
+                continue
+            for piece in cut_at_space(text, BLOCK_BYTES):
+                if len(piece) > 2 * BLOCK_BYTES:  # hardly any white space in it
+                    if pieces:
+                        done()
+                        pieces, owners, held = [], [], 0
+                    out[i].append(self._whole(piece))
+                    continue
+                pieces.append(piece)
+                owners.append(i)
+                held += len(piece)
+                if held >= BLOCK_BYTES:
+                    done()
+                    pieces, owners, held = [], [], 0
+        if pieces:
+            done()
+        return [np.concatenate(p).astype("<u4").tobytes() if p else b"" for p in out]
+
+
+def cut_at_space(text: bytes, size: int):
+    """The text in pieces of at most about ``size`` bytes, cut at white space (a piece without any stays whole)."""
+    at = 0
+    while len(text) - at > size:
+        cut = max(text.rfind(c, at + 1, at + size) for c in SPACES)
+        if cut < 0:
+            cut = min((p for p in (text.find(c, at + size) for c in SPACES) if p >= 0), default=len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """This worker's encoder; a Python worker serves many tasks and keeps its words."""
+    """This worker's encoder: a Python worker serves many tasks, and words one task met help the next."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -291,7 +352,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
 
         for part in in_slices(batches, 256):
             names += part.column(0).to_pylist()
-            new = [raw + end for raw in encode(texts(part))]
+            new = [raw + end for raw in encode([t or b"" for t in part.column(1).to_pylist()])]
             ids += new
             held += sum(map(len, new)) // 4
             if held >= BLOCK_TOKENS:
@@ -299,4 +360,4 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
         if ids:
             yield from emit()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(run, SCHEMA)

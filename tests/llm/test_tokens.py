@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -41,7 +42,7 @@ def test_words_encode_like_whole_texts(text):
 @settings(max_examples=500, deadline=None)
 @given(st.lists(TEXT, max_size=5))
 def test_word_encoder_matches_library(sample):
-    got = packing.encoder(WORD)(sample)
+    got = packing.encoder(WORD)([t.encode() for t in sample])
     assert got == [as_bytes(word_bpe.encode(t, add_special_tokens=False).ids) for t in sample]
 
 
@@ -132,3 +133,22 @@ def test_least_squares_repeats():
     gradient = residual[ways].sum(axis=1)
     usable = ((ways == 0) | (histogram[ways] > 0)).all(axis=1)
     assert (x >= 0).all() and gradient[usable].max() <= 0.5 and np.abs(gradient[x > 0]).max() < 1e-3
+
+
+def test_word_tables_start_anew_and_long_texts_are_cut(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 50)
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 200)
+    encode = packing.WordEncoder(WORD)
+    rng = random.Random(9)
+    words = [f"Wörd{i}'s" for i in range(300)] + ["中文", "a\xa0b", "é x", "\x1c", "\x00", "..."]
+    texts = ["", " ", "x" * 3000, "a \x01 b", "<|endoftext|> a"] + [
+        rng.choice(" \n\t").join(rng.choices(words, k=rng.randrange(1, 400))) for _ in range(60)]
+    plain = Tokenizer.from_file(WORD)
+    for _ in range(2):
+        assert encode([t.encode() for t in texts]) == [as_bytes(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(encode.keys) <= 50 + 200
+
+
+def test_pieces_of_a_text_join_to_it():
+    for text in (b"", b"a b  c" * 100, b"x" * 500, b" " * 300 + b"y"):
+        assert b"".join(packing.cut_at_space(text, 37)) == text
