@@ -15,13 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capshift.operators import lineage, peaks, policy, replay, state
-from capshift.plans.balance import BalanceRun
+from capshift.plans import workplan
+from capshift.plans.balance import BalanceRun, Inventory
 from capshift.sources.events import in_lookback, parse_events, with_metrics
 from capshift.sources.fixtures import HEADROOM, MOVE_T, RECOVER_R, Fixture
+from capshift.session import scratch_path
+from capshift.streaming import balance as stream_balance
 from capshift.streaming import hysteresis as stream_hyst
 from capshift.streaming import peak as stream_pk
 
 REPLAY_STEP = dt.timedelta(hours=6)
+# The event table arrives in four parts, one a week, the last with all that is later.
+FIRST_WEEK, WEEKS = dt.datetime(2024, 1, 1), 4
 
 
 def fixture_run(spark: SparkSession, sf_dir: str, policy_name: str = "P1") -> BalanceRun:
@@ -147,7 +152,16 @@ def q_decision_log(spark, sf_dir):
 
 
 def q_action_table(spark, sf_dir):
-    return fixture_run(spark, sf_dir).actions
+    return fixture_run(spark, sf_dir).action_requests
+
+
+def q_workspace_plan(spark, sf_dir):
+    fx = Fixture(spark, sf_dir)
+    return workplan.workspace_plan(workplan.new_workspaces(fx.customer_policies, fx.workspaces))
+
+
+def q_work_plan(spark, sf_dir):
+    return fixture_run(spark, sf_dir).work_plan
 
 
 def q_connection_bindings(spark, sf_dir):
@@ -159,16 +173,30 @@ def q_refresh_plan(spark, sf_dir):
     return plan.withColumns({"days": F.array_join("days", ","), "times": F.array_join("times", ",")})
 
 
+def q_pick_target(spark, sf_dir):
+    # The P2 run's own target is overloaded: its reports are spread over capacities with room.
+    return fixture_run(spark, sf_dir, "P2").picked_targets
+
+
 # -- history and streams -------------------------------------------------------------
 def _target_capacity(fx: Fixture) -> str:
     return str(fx.table("customer").where(F.col("c_custkey") == int(fx.target_workspace))
                .select("c_nationkey").first()[0])
 
 
+def _replay(fx: Fixture) -> replay.Replay:
+    return replay.Replay(parse_events(fx.capacity_events), replay.Rules(
+        _target_capacity(fx), MOVE_T, RECOVER_R, HEADROOM, fx.params.lookback, REPLAY_STEP))
+
+
 def q_hysteresis_replay(spark, sf_dir):
+    return _replay(Fixture(spark, sf_dir)).ticks()
+
+
+def q_report_replay(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
-    return replay.hysteresis_replay(parse_events(fx.capacity_events), _target_capacity(fx), MOVE_T, RECOVER_R,
-                                    HEADROOM, fx.params.lookback, REPLAY_STEP)
+    homes = replay.report_homes(lineage.watched_reports(fx.watch_lists), fx.state, fx.reports, fx.datasets, fx.workspaces)
+    return _replay(fx).of_reports(homes)
 
 
 def _event_stream(spark, sf_dir):
@@ -188,6 +216,27 @@ def q_stream_hysteresis(spark, sf_dir):
     return stream_hyst.stream_hysteresis(spark, _event_stream(spark, sf_dir), MOVE_T, RECOVER_R)
 
 
+def q_balance_stream(spark, sf_dir):
+    """The events arrive week by week; every arrival is one run that starts from the state of the one before."""
+    fx = Fixture(spark, sf_dir)
+    root = scratch_path(spark, "balance_stream")
+    events = fx.table("events")
+    week = F.floor(F.timestamp_diff("SECOND", F.lit(FIRST_WEEK).cast("timestamp_ntz"), F.col("ts")) / (7 * 86400))
+    week = F.least(F.greatest(week, F.lit(0)), F.lit(WEEKS - 1))
+
+    def make_run(params, repoints, typed):
+        return BalanceRun.from_watch_lists(params, fx.policies, fx.watch_lists, repoints,
+                                           Inventory(fx.workspaces, fx.datasets, fx.reports), typed)
+
+    for at in range(WEEKS):
+        events.where(week == at).write.mode("append").parquet(f"{root}/arrivals")
+        arrived = spark.readStream.schema(events.schema).parquet(f"{root}/arrivals")
+        store = stream_balance.balance_stream(spark, Fixture.envelope_from_events(arrived), root, make_run,
+                                              fx.params.lookback, fx.state)
+    runs = store.commits().select(F.col("number").alias("run_number"), "as_of")
+    return store.table("decisions").drop("run_id").join(F.broadcast(runs), "run_number")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "events_scan": q_events_scan,
     "events_parsed": q_events_parsed,
@@ -216,9 +265,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alerts": q_alerts,
     "decision_log": q_decision_log,
     "action_table": q_action_table,
+    "workspace_plan": q_workspace_plan,
+    "work_plan": q_work_plan,
     "connection_bindings": q_connection_bindings,
     "refresh_plan": q_refresh_plan,
+    "pick_target": q_pick_target,
     "hysteresis_replay": q_hysteresis_replay,
+    "report_replay": q_report_replay,
     "stream_peak": q_stream_peak,
     "stream_hysteresis": q_stream_hysteresis,
+    "balance_stream": q_balance_stream,
 }

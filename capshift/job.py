@@ -2,8 +2,10 @@
 
 The scheduled run of the reference, with its parameters as arguments: inputs
 are table paths, ``--as-of`` defaults to the current time, ``--lookback-minutes``
-to 5. Outputs go under ``--out`` in folders owned by ``--run-id``, so a retried
-run rewrites the same files.
+to 5. Outputs go under ``--out`` in folders owned by ``--run-id`` and are published
+together by a commit record; the next run starts from the state that the newest record
+names, unless a state is given. A run that died half way is invisible, and a retried
+run rewrites the same files; one that was published is not run again.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from capshift import schemas
 from capshift.params import DEFAULT_LOOKBACK, RunParams
 from capshift.plans.balance import BalanceRun, Inventory
 from capshift.sources.events import read_capacity_events, read_typed_events
-from capshift.sources.tables import latest_snapshot
+from capshift.sources.runs import RunStore
+from capshift.sources.tables import TABLES, ensure_tables, latest_snapshot, write_run_partition
 
 
 def _read(spark: SparkSession, path: str | None, schema=None) -> DataFrame | None:
@@ -40,7 +43,7 @@ def build_run(spark: SparkSession, args: argparse.Namespace) -> BalanceRun:
     elif args.state:
         state = _read(spark, args.state, schemas.REPORT_REPOINTS)
     else:
-        state = spark.createDataFrame([], schemas.REPORT_REPOINTS)
+        state = RunStore(spark, args.out).state()
     inventory = Inventory(_read(spark, args.workspaces, schemas.WORKSPACES), _read(spark, args.datasets, schemas.DATASETS),
                           _read(spark, args.reports, schemas.REPORTS), _read(spark, args.datasources, schemas.DATASOURCES),
                           _read(spark, args.connections, schemas.CONNECTIONS),
@@ -60,8 +63,9 @@ def parser() -> argparse.ArgumentParser:
     g = p.add_mutually_exclusive_group(required=True)
     g.add_argument("--watched", help="(policy_id, report_id[, workspace_id]) table")
     g.add_argument("--watch-lists", help="(policy_id, report_ids) comma-list table")
-    p.add_argument("--state", help="current repoint state snapshot (Parquet)")
+    p.add_argument("--state", help="repoint state snapshot (Parquet) instead of the one the newest run left")
     p.add_argument("--state-table", help="catalog state table; its newest run_id partition is used")
+    p.add_argument("--catalog", help="database whose state, log and alert tables get the run's rows as well")
     for name in ("workspaces", "datasets", "reports"):
         p.add_argument(f"--{name}", required=True)
     for name in ("datasources", "connections", "refresh-schedules"):
@@ -76,7 +80,13 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict[str, str]:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("capshift-balance").getOrCreate()
-    return build_run(spark, args).write(args.out.rstrip("/"))
+    done = RunStore(spark, args.out).publish(build_run(spark, args))
+    if args.catalog:
+        ensure_tables(spark, args.catalog)
+        for name, path in done["tables"].items():
+            if name in TABLES:
+                write_run_partition(spark.read.parquet(path), f"{args.catalog}.{name}", done["run_id"])
+    return done["tables"]
 
 
 if __name__ == "__main__":

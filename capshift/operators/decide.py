@@ -11,6 +11,8 @@ Contract (one tick, per policy):
   5. else per remaining report: no capacity found -> UNRESOLVED; current
      capacity = target capacity -> SAME_CAPACITY; peak > T (strict) -> MOVE;
      otherwise LOW_UTILIZATION.
+  6. a report that several policies would act on is acted on once: a recovery goes
+     before a move, then the smallest policy id; the others read SUPERSEDED.
 Watched reports of a policy that fails validation or has no resolvable target
 get INVALID_POLICY and nothing else happens for them.
 
@@ -27,13 +29,14 @@ from pyspark.sql import functions as F
 
 from capshift.functions.ids import py_strip
 from capshift.functions.metrics import floor_zero
-from capshift.operators.lineage import one_dataset, one_report, one_workspace
+from capshift.operators.joins import join_small
+from capshift.operators.lineage import one_dataset, one_report, one_workspace, report_in_workspace
 from capshift.operators.policy import with_checks, with_target
 from capshift.params import DEFAULT_HEADROOM
 
 # Decision kinds in precedence order.
 DECISION_KINDS = ("INVALID_POLICY", "RECOVER", "TARGET_OVERLOADED", "UNRESOLVED", "SAME_CAPACITY",
-                  "MOVE", "LOW_UTILIZATION")
+                  "MOVE", "LOW_UTILIZATION", "SUPERSEDED")
 
 DECISION_COLUMNS = ["policy_id", "report_id", "decision", "report_workspace_id", "capacity_id",
                     "utilization", "target_workspace_id", "target_capacity_id"]
@@ -80,44 +83,60 @@ def policy_context(policies: DataFrame, workspaces: DataFrame, peaks: DataFrame)
     gate = F.col("headroom") * F.col("move_threshold")
     return ctx.select(
         "policy_id", "move_threshold", "recovery_threshold", "target_workspace_id",
-        "target_capacity_id", "resolution", valid.alias("valid"), "target_peak", gate.alias("gate_threshold"),
+        "target_capacity_id", "resolution", "workspace_name", valid.alias("valid"), "target_peak", gate.alias("gate_threshold"),
         F.coalesce(F.col("target_peak") > gate, F.lit(False)).alias("overloaded"),
         *OPTIONAL_POLICY_COLUMNS)
 
 
+def home_of(state: DataFrame, datasets: DataFrame, workspaces: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Per report of the state its home: initial dataset -> workspace -> capacity -> peak.
+
+    Resolved on the state alone, so the reports that were never moved (most of them)
+    never meet as null keys in these joins. Reduced to one row per report (L1), the
+    smallest, with the number of rows it had.
+    """
+    columns = ["initial_dataset_id", "target_dataset_id", "target_workspace_id"]
+    one = state.groupBy("report_id").agg(F.min(F.struct(*columns)).alias("_first"), F.count(F.lit(1)).alias("n_state"))
+    s = one.select("report_id", "n_state", *[F.col("_first")[c].alias(c) for c in columns]).withColumnRenamed(
+        "target_workspace_id", "state_target_workspace_id")
+    d, w = one_dataset(datasets), one_workspace(workspaces)
+    home_ds = d.select(F.col("dataset_id").alias("initial_dataset_id"),
+                       F.col("workspace_id").alias("initial_workspace_id"))
+    home_ws = w.select(F.col("workspace_id").alias("initial_workspace_id"),
+                       F.col("capacity_id").alias("initial_capacity_id"))
+    s = s.join(home_ds, "initial_dataset_id", "left").join(home_ws, "initial_workspace_id", "left")
+    return with_peak(s, peaks, "initial_capacity_id", "initial_peak", events_col="initial_events")
+
+
 def tick_table(watched_ctx: DataFrame, state: DataFrame, reports: DataFrame, datasets: DataFrame,
                workspaces: DataFrame, peaks: DataFrame) -> DataFrame:
     """Every watched report with its state row, both lineages, both peaks and its decision.
 
     ``watched_ctx`` is the watched list joined with ``policy_context``. Joins:
-    state and reports on report_id (co-partitioned, one shuffle of each side),
-    datasets on the current and on the initial dataset id, workspaces and
-    peaks (small; broadcast when measured small at run time).
+    the state with its homes and the reports on report_id (co-partitioned, one shuffle
+    of each side), datasets on the current dataset id, workspaces and peaks (small;
+    broadcast when measured small at run time).
     """
-    s = state.select("report_id", "initial_dataset_id", "target_dataset_id",
-                     F.col("target_workspace_id").alias("state_target_workspace_id"))
-    r = one_report(reports).withColumnRenamed("workspace_id", "report_workspace_id")
+    r = one_report(reports).withColumnsRenamed({"workspace_id": "report_workspace_id", "n_listed": "n_report"})
     d, w = one_dataset(datasets), one_workspace(workspaces)
     cur_ds = d.select("dataset_id", F.col("name").alias("dataset_name"),
                       F.col("workspace_id").alias("dataset_workspace_id"))
     cur_ws = w.select(F.col("workspace_id").alias("dataset_workspace_id"), "capacity_id")
-    home_ds = d.select(F.col("dataset_id").alias("initial_dataset_id"),
-                       F.col("workspace_id").alias("initial_workspace_id"))
-    home_ws = w.select(F.col("workspace_id").alias("initial_workspace_id"),
-                       F.col("capacity_id").alias("initial_capacity_id"))
-    if "workspace_id" in watched_ctx.columns:
-        # A watched pair (workspace, report) names the report's workspace itself.
-        watched_ctx = watched_ctx.withColumnRenamed("workspace_id", "given_workspace_id")
-    j = (watched_ctx.join(s, "report_id", "left")
-         .join(r, "report_id", "left")
-         .join(cur_ds, "dataset_id", "left")
-         .join(cur_ws, "dataset_workspace_id", "left")
-         .join(home_ds, "initial_dataset_id", "left")
-         .join(home_ws, "initial_workspace_id", "left"))
-    j = with_peak(j, peaks, "capacity_id", "utilization")
-    j = with_peak(j, peaks, "initial_capacity_id", "initial_peak", events_col="initial_events")
+    j = watched_ctx
+    if "workspace_id" in j.columns:
+        # A watched pair is the report of that workspace; a pair that is not listed resolves to nothing.
+        pairs = report_in_workspace(reports).select(
+            "report_id", F.col("workspace_id").alias("given_workspace_id"), F.col("dataset_id").alias("pair_dataset_id"))
+        j = j.withColumn("given_workspace_id", py_strip(F.col("workspace_id"))).drop("workspace_id")
+        j = j.join(pairs, ["report_id", "given_workspace_id"], "left")
+    j = j.join(home_of(state, datasets, workspaces, peaks), "report_id", "left").join(r, "report_id", "left")
     if "given_workspace_id" in j.columns:
-        j = j.withColumn("report_workspace_id", F.coalesce("given_workspace_id", "report_workspace_id"))
+        given = F.col("given_workspace_id").isNotNull()
+        j = j.withColumns({
+            "report_workspace_id": F.when(given, F.col("given_workspace_id")).otherwise(F.col("report_workspace_id")),
+            "dataset_id": F.when(given, F.col("pair_dataset_id")).otherwise(F.col("dataset_id"))}).drop("pair_dataset_id")
+    j = j.join(cur_ds, "dataset_id", "left").join(cur_ws, "dataset_workspace_id", "left")
+    j = with_peak(j, peaks, "capacity_id", "utilization")
     valid = F.coalesce(F.col("valid"), F.lit(False))
     recover = (valid & F.col("initial_dataset_id").isNotNull() & F.col("initial_capacity_id").isNotNull()
                & (F.col("initial_peak") < F.col("recovery_threshold"))
@@ -133,6 +152,33 @@ def tick_table(watched_ctx: DataFrame, state: DataFrame, reports: DataFrame, dat
                           "valid": valid})
 
 
+# Which of several policies acts on a report they all watch: smaller goes first.
+ACTS = {"RECOVER": 0, "MOVE": 1}
+
+
+def contested(tick: DataFrame) -> DataFrame:
+    """(report_id, acting_policy_id) of the reports that several policies would act on in this tick."""
+    rank = F.coalesce(*[F.when(F.col("decision") == d, F.lit(r)) for d, r in ACTS.items()])
+    acts = tick.where(F.col("decision").isin(*ACTS)).groupBy("report_id").agg(
+        F.min(F.struct(rank.alias("rank"), "policy_id")).alias("first"), F.count(F.lit(1)).alias("n"))
+    return acts.where("n > 1").select("report_id", F.col("first.policy_id").alias("acting_policy_id"))
+
+
+def one_action_per_report(tick: DataFrame, contested: DataFrame) -> DataFrame:
+    """The tick with the actions that lost to another policy's turned to SUPERSEDED."""
+    lost = F.col("decision").isin(*ACTS) & (F.col("acting_policy_id") != F.col("policy_id"))
+    return join_small(tick, contested, "report_id").withColumn(
+        "decision", F.when(lost, F.lit("SUPERSEDED")).otherwise(F.col("decision"))).drop("acting_policy_id")
+
+
+def tick_checks(tick: DataFrame) -> list[F.Column]:
+    """L1 and key checks as metrics of the pass that writes the tick."""
+    return [F.count_if(F.col("n_state") > 1).alias("reports_with_several_state_rows"),
+            F.count_if(F.col("n_report") > 1).alias("reports_listed_more_than_once"),
+            F.count_if(F.col("move_threshold").isNull()).alias("reports_of_unknown_policies"),
+            F.count_if(F.col("decision").isNull()).alias("reports_without_decision")]
+
+
 def repoint_lookup(tick: DataFrame) -> DataFrame:
     """A watched report's state row, if any (state is unique by report_id)."""
     return tick.where("valid").select("policy_id", "report_id", "in_state", "initial_dataset_id",

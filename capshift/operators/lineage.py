@@ -41,18 +41,24 @@ def _one_row(df: DataFrame, key: str, others: list[str]) -> DataFrame:
     """A3 on an inventory: ids without surrounding white space, one row per id, the smallest listing.
 
     Grouped by the key that the joins use, so the grouping's exchange is theirs
-    as well; the minimum is taken before the shuffle.
+    as well; the minimum is taken before the shuffle. ``n_listed`` counts the listings.
     """
     ids = [key, *[c for c in others if c.endswith("_id")]]
     clean = df.select(key, *others).withColumns({c: py_strip(F.col(c)) for c in ids})
-    return clean.groupBy(key).agg(F.min(F.struct(*others)).alias("_first")).select(
-        key, *[F.col("_first")[c].alias(c) for c in others])
+    return clean.groupBy(key).agg(F.min(F.struct(*others)).alias("_first"), F.count(F.lit(1)).alias("n_listed")).select(
+        key, *[F.col("_first")[c].alias(c) for c in others], "n_listed")
 
 
 def one_report(reports: DataFrame) -> DataFrame:
     return _one_row(reports, "report_id", ["workspace_id", "dataset_id"])
 
 
+def report_in_workspace(reports: DataFrame) -> DataFrame:
+    """One row per (report, workspace), for lists that name a report's workspace."""
+    clean = reports.select(*[py_strip(F.col(c)).alias(c) for c in ("report_id", "workspace_id", "dataset_id")])
+    return first_match(clean, ["report_id", "workspace_id"], "dataset_id", "dataset_id")
+
+
 def one_dataset(datasets: DataFrame) -> DataFrame:
     return _one_row(datasets, "dataset_id", ["workspace_id", "name"])
 
@@ -64,10 +70,10 @@ def one_workspace(workspaces: DataFrame) -> DataFrame:
 def report_lineage(watched: DataFrame, reports: DataFrame, datasets: DataFrame,
                    workspaces: DataFrame) -> DataFrame:
     """Each watched report with its workspace, dataset, dataset workspace, capacity."""
-    r = one_report(reports).withColumnRenamed("workspace_id", "report_workspace_id")
+    r = one_report(reports).drop("n_listed").withColumnRenamed("workspace_id", "report_workspace_id")
     d = one_dataset(datasets).select("dataset_id", F.col("name").alias("dataset_name"),
                                      F.col("workspace_id").alias("dataset_workspace_id"))
-    w = one_workspace(workspaces).withColumnRenamed("workspace_id", "dataset_workspace_id")
+    w = one_workspace(workspaces).drop("n_listed").withColumnRenamed("workspace_id", "dataset_workspace_id")
     lineage = ["report_workspace_id", "dataset_id", "dataset_name", "dataset_workspace_id", "capacity_id"]
     return (watched.join(r, "report_id", "left")
             .join(d, "dataset_id", "left")

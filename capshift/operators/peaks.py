@@ -44,84 +44,30 @@ def capacity_peak(parsed: DataFrame, params: RunParams, capacities: list[str] |
     )
 
 
-_PASS2_ROW = ("struct<kind:int,slot:bigint,ord:bigint,t_us:bigint,time:timestamp_ntz,value:double,"
-              "p_own:double,p_tail:double,sm:double>")
-
-
-def rolling_peak(parsed: DataFrame, lookback: dt.timedelta, metric: str = "overall",
-                 slices_per_lookback: int = 8) -> DataFrame:
+def rolling_peak(parsed: DataFrame, lookback: dt.timedelta, metric: str = "overall") -> DataFrame:
     """At every event, the peak over ``[time - lookback, time]`` of its capacity.
 
-    A window partitioned by capacity would put a hot capacity's whole history
-    in one task, and (capacity, look-back bucket) partitions still grow with the
-    look-back. Time is cut into slices of ``lookback / slices_per_lookback`` and
-    every frame is split exactly into: the part inside the event's own slice,
-    the tail of the slice where the frame starts, and the whole slices in
-    between. Two passes, each one shuffle keyed by (capacity, slice), so every
-    partition is bounded by one slice of one capacity; one scan, no joins.
-
-    Pass 1, per (capacity, slice k): data rows (each event in its slice) and
-    probe rows (for an event whose frame starts in an earlier slice, a row at
-    ``time - lookback`` in that slice). Windows give the in-slice range max of a
-    data row, the suffix max from a probe's time (inclusive), and the slice max.
-    Each row then emits what pass 2 needs: the data row, the probe's result
-    addressed to its event's slice, and (once per slice) the slice max
-    addressed to the next ``lookback / slice`` slices.
-
-    Pass 2, per (capacity, event slice b): the probe result with the same event
-    time, and the max over the copied slice maxima with start slice < k < b.
+    Time is cut into blocks as long as the look-back, so a frame is the start of its
+    own block up to the event, and the end of the block before from ``time - lookback``
+    on: a prefix maximum and a suffix maximum, one window each over the same shuffle by
+    (capacity, block). What an event needs of the block before are only the steps of its
+    suffix maximum (where a value exceeds all later ones, few as a rule), so one short
+    row per block is shuffled to the next block, and no event is shuffled twice. A
+    partition is one look-back of one capacity, however long the history.
     """
     m = _metric_col(metric)
     look_us = int(lookback.total_seconds() * 1_000_000)
-    slice_us = max(look_us // slices_per_lookback, 1)
-    n_next = look_us // slice_us            # slices a slice max is copied forward to
     ev = with_metrics(parsed).where(F.col("time").isNotNull() & F.col("capacity_id").isNotNull())
-    ev = ev.select("capacity_id", "time", F.col(m).alias("value"), micros(F.col("time")).alias("t_us"))
-    ev = ev.withColumns({"b": F.expr(f"div(t_us, {slice_us})"), "a": F.expr(f"div(t_us - {look_us}, {slice_us})")})
-
-    # pass 1 rows: tag 0 = event in its slice b, tag 1 = probe at t - L in slice a (only when a < b)
-    tag = F.explode(F.when(F.col("a") < F.col("b"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    rows = ev.select("*", tag.alias("tag"))
-    is_data = F.col("tag") == 0
-    rows = rows.select(
-        "capacity_id", "t_us", "a", "b", "tag",
-        F.when(is_data, F.col("time")).alias("time"), F.when(is_data, F.col("value")).alias("value"),
-        F.when(is_data, F.col("b")).otherwise(F.col("a")).alias("k"),
-        F.when(is_data, F.col("t_us")).otherwise(F.col("t_us") - look_us).alias("at"))
-    p1 = Window.partitionBy("capacity_id", "k")
-    own = p1.orderBy("at").rangeBetween(-look_us, 0)
-    suffix = p1.orderBy(F.col("at").desc(), F.col("tag")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w1 = rows.withColumns({
-        "p_own": F.max("value").over(own),          # frame part inside the event's own slice
-        "p_tail": F.max("value").over(suffix),      # for probes: slice tail from t - L, inclusive
-        "slice_max": F.max("value").over(p1),
-        "rn": F.row_number().over(p1.orderBy("at", "tag")),
-    })
-
-    # what each pass-1 row hands to pass 2: (kind, target slice, order key, values)
-    def out(kind, slot, order, t_us, time, value, p_own, p_tail, sm):
-        return F.struct(F.lit(kind).alias("kind"), slot.cast("long").alias("slot"), order.cast("long").alias("ord"),
-                        t_us.cast("long").alias("t_us"), time.cast("timestamp_ntz").alias("time"),
-                        value.cast("double").alias("value"), p_own.cast("double").alias("p_own"),
-                        p_tail.cast("double").alias("p_tail"), sm.cast("double").alias("sm"))
-
-    none = F.lit(None)
-    own_row = F.when(is_data, out(0, F.col("b"), F.col("a"), F.col("t_us"), F.col("time"), F.col("value"),
-                                  F.col("p_own"), none, none)) \
-        .otherwise(out(1, F.col("b"), none, F.col("t_us"), none, none, none, F.col("p_tail"), none))
-    copies = F.when(
-        (F.col("rn") == 1) & F.col("slice_max").isNotNull(),
-        F.transform(F.sequence(F.lit(1).cast("long"), F.lit(n_next).cast("long")),
-                    lambda j: out(2, F.col("k") + j, F.col("k"), none, none, none, none, none, F.col("slice_max"))))
-    emitted = F.concat(F.array(own_row), F.coalesce(copies, F.array().cast(f"array<{_PASS2_ROW}>")))
-    r2 = w1.select("capacity_id", F.explode(emitted).alias("r")).select("capacity_id", "r.*")
-
-    # pass 2 per (capacity, event slice): slice maxima with a < k, then the probe result of the same event
-    p2 = Window.partitionBy("capacity_id", "slot")
-    later = p2.orderBy(F.col("ord"), F.when(F.col("kind") == 2, 0).otherwise(1)) \
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    r2 = r2.withColumn("p_mid", F.max("sm").over(later))
-    r2 = r2.withColumn("p_tail_ev", F.max("p_tail").over(Window.partitionBy("capacity_id", "slot", "t_us")))
-    return (r2.where(F.col("kind") == 0)
-            .select("capacity_id", "time", F.col("value").alias(m),
-                    floor_zero(F.greatest("p_own", "p_tail_ev", "p_mid")).alias("rolling_peak")))
+    ev = ev.select("capacity_id", "time", F.col(m).alias("value"), F.floor(micros(F.col("time")) / look_us).alias("block"))
+    block = Window.partitionBy("capacity_id", "block")
+    # both windows read the same four columns, so that they share one exchange
+    so_far = ev.withColumn("own", F.max("value").over(block.orderBy("time")))
+    to_come = ev.withColumn("rest", F.max("value").over(block.orderBy(F.desc("time")))).where("rest is not null")
+    steps = (to_come.groupBy("capacity_id", "block", "rest").agg(F.max("time").alias("until"))
+             .groupBy("capacity_id", "block").agg(F.array_sort(F.collect_list(F.struct(
+                 micros(F.col("until")).alias("until"), F.col("rest").alias("peak")))).alias("steps"))
+             .withColumn("block", F.col("block") + 1))
+    start = micros(F.col("time")) - look_us
+    tail = F.get(F.filter("steps", lambda step: step["until"] >= start), F.lit(0))["peak"]
+    return so_far.join(steps, ["capacity_id", "block"], "left").select(
+        "capacity_id", "time", F.col("value").alias(m), floor_zero(F.greatest("own", tail)).alias("rolling_peak"))

@@ -125,6 +125,36 @@ gate AS (
   SELECT c.policy_id, c.target_workspace_id, c.target_capacity_id, c.target_peak, c.gate_threshold, c.overloaded,
          (SELECT count(*) FROM remaining m WHERE m.policy_id = c.policy_id) AS n_remaining
   FROM ctx c),
+bind AS (
+SELECT m.policy_id, m.source_dataset_id, m.target_workspace_id, m.target_dataset_name, m.target_dataset_id,
+       ds.datasource_id, c.connectivity_type, c.gateway_id, c.path, c.type,
+       CASE WHEN c.gateway_id IS NULL
+         THEN json_object('connectionBinding', json_object('id', ds.datasource_id,
+                'connectivityType', c.connectivity_type,
+                'connectionDetails', json_object('path', c.path, 'type', c.type)))
+         ELSE json_object('connectionBinding', json_object('id', ds.datasource_id,
+                'connectivityType', c.connectivity_type,
+                'connectionDetails', json_object('path', c.path, 'type', c.type), 'gatewayId', c.gateway_id))
+       END::VARCHAR AS payload
+FROM moved m
+JOIN (SELECT DISTINCT CAST(l_orderkey - l_orderkey % 3 AS VARCHAR) AS dataset_id, CAST(l_suppkey AS VARCHAR) AS datasource_id
+      FROM lineitem) ds ON ds.dataset_id = m.source_dataset_id
+LEFT JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS datasource_id,
+                  CASE WHEN s_nationkey % 5 = 0 THEN 'Cloud' ELSE 'Gateway' END
+                    AS connectivity_type,
+                  CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE CAST(s_nationkey AS VARCHAR) END AS gateway_id,
+                  s_name AS path, 'SQL' AS type FROM supplier) c ON c.datasource_id = ds.datasource_id),
+sched AS (
+SELECT m.policy_id, m.source_dataset_id, m.target_workspace_id, m.target_dataset_name, m.target_dataset_id,
+       s.days[1] || ',' || s.days[2] AS days, s.times[1] || ',' || s.times[2] AS times, 'UTC' AS local_time_zone_id,
+       true AS enabled,
+       json_object('value', json_object('enabled', true, 'days', s.days, 'times', s.times,
+                   'localTimeZoneId', 'UTC'))::VARCHAR AS payload
+FROM moved m
+JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS dataset_id,
+             [dayname(o_orderdate), dayname(o_orderdate + INTERVAL 3 DAY)] AS days,
+             [printf('%02d:00', o_orderkey % 24), printf('%02d:30', (o_orderkey + 7) % 24)] AS times
+      FROM orders WHERE o_orderkey % 3 = 0) s ON s.dataset_id = m.source_dataset_id),
 cpol AS (
   SELECT 'C' || CAST(c_custkey AS VARCHAR) AS policy_id,
          CASE c_custkey % 8 WHEN 1 THEN c_name WHEN 2 THEN c_name || '_LB' WHEN 4 THEN c_name ELSE '' END
@@ -143,6 +173,74 @@ def _q(body: str, policy: str = "P1") -> str:
     return prefix(policy) + body
 
 
+def _weekly_runs() -> str:
+    """Four runs, one after each week's events; what a run needs of the state is who is in it and from which dataset."""
+    def zero(x):
+        return f"greatest(coalesce({x}, 0.0), 0.0)"
+
+    sql = """
+, wk AS (SELECT *, least(greatest(floor(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', time) / 604800.0), 0), 3) AS w FROM evm),
+rs0 AS (SELECT report_id, initial_dataset_id FROM state)"""
+    for k in range(4):
+        sql += f""",
+at{k} AS (SELECT max(time) AS t FROM wk WHERE w <= {k}),
+pk{k} AS (
+  SELECT capacity_id, {zero("max(utilization)")} AS peak FROM wk
+  WHERE w <= {k} AND time >= (SELECT t FROM at{k}) - {LOOKBACK} AND time <= (SELECT t FROM at{k}) GROUP BY capacity_id),
+tick{k} AS (
+  SELECT wt.policy_id, wt.report_id, c.target_workspace_id, c.target_capacity_id, r.workspace_id AS report_workspace_id,
+         r.dataset_id, d.name AS dataset_name, w.capacity_id, s.initial_dataset_id,
+         CASE WHEN w.capacity_id IS NOT NULL THEN {zero("p.peak")} END AS utilization,
+         hd.workspace_id AS home_ws, hw.capacity_id AS home_cap, {zero("hp.peak")} AS home_peak,
+         hw.capacity_id IS NOT NULL AND {zero("hp.peak")} < c.recovery_threshold AS recover,
+         {zero("tp.peak")} > CAST(0.8 AS DOUBLE) * CAST(0.5 AS DOUBLE) AS overloaded, c.move_threshold
+  FROM watched wt JOIN ctx c ON c.policy_id = wt.policy_id
+  LEFT JOIN pk{k} tp ON tp.capacity_id = c.target_capacity_id
+  LEFT JOIN reports r ON r.report_id = wt.report_id LEFT JOIN datasets d ON d.dataset_id = r.dataset_id
+  LEFT JOIN workspaces w ON w.workspace_id = d.workspace_id LEFT JOIN pk{k} p ON p.capacity_id = w.capacity_id
+  LEFT JOIN rs{k} s ON s.report_id = wt.report_id LEFT JOIN datasets hd ON hd.dataset_id = s.initial_dataset_id
+  LEFT JOIN workspaces hw ON hw.workspace_id = hd.workspace_id LEFT JOIN pk{k} hp ON hp.capacity_id = hw.capacity_id),
+dec{k} AS (
+  SELECT *, CASE WHEN recover THEN 'RECOVER' WHEN overloaded THEN 'TARGET_OVERLOADED'
+                 WHEN capacity_id IS NULL THEN 'UNRESOLVED' WHEN capacity_id = target_capacity_id THEN 'SAME_CAPACITY'
+                 WHEN utilization > move_threshold THEN 'MOVE' ELSE 'LOW_UTILIZATION' END AS decision FROM tick{k}),
+mvd{k} AS (
+  SELECT report_id, dataset_id FROM dec{k} t WHERE decision = 'MOVE' AND EXISTS (
+    SELECT 1 FROM datasets d WHERE d.workspace_id = t.target_workspace_id AND d.name = t.dataset_name || '_LB')),
+rs{k + 1} AS (
+  SELECT coalesce(o.report_id, n.report_id) AS report_id, coalesce(o.initial_dataset_id, n.dataset_id) AS initial_dataset_id
+  FROM (SELECT * FROM rs{k} WHERE report_id NOT IN (SELECT report_id FROM dec{k} WHERE recover)) o
+  FULL OUTER JOIN mvd{k} n ON n.report_id = o.report_id)"""
+    parts = [f"""
+SELECT CAST({k + 1} AS BIGINT) AS run_number, (SELECT t FROM at{k}) AS as_of, policy_id, report_id, decision, report_workspace_id,
+       CASE WHEN recover THEN home_cap ELSE capacity_id END AS capacity_id,
+       CASE WHEN recover THEN home_peak ELSE utilization END AS utilization,
+       CASE WHEN recover THEN home_ws ELSE target_workspace_id END AS target_workspace_id,
+       CASE WHEN recover THEN home_cap ELSE target_capacity_id END AS target_capacity_id FROM dec{k}""" for k in range(4)]
+    return sql + " UNION ALL ".join(parts)
+
+
+REPLAY = f"""
+, evu AS (SELECT capacity_id, utilization, epoch_us(time) AS t_us FROM evm
+          WHERE time IS NOT NULL AND capacity_id IS NOT NULL),
+bounds AS (SELECT min((t_us + {STEP_US - 1}) // {STEP_US}) AS k0, max((t_us + {LOOK_US}) // {STEP_US}) AS k1 FROM evu),
+ticks AS (SELECT unnest(generate_series(k0, k1)) AS k FROM bounds),
+caps AS (SELECT DISTINCT capacity_id FROM evu),
+grid AS (SELECT c.capacity_id, t.k FROM caps c CROSS JOIN ticks t),
+pk AS (SELECT g.capacity_id, g.k, greatest(coalesce(max(e.utilization), 0.0), 0.0) AS peak, count(e.t_us) AS n
+       FROM grid g LEFT JOIN evu e
+         ON e.capacity_id = g.capacity_id AND e.t_us BETWEEN g.k * {STEP_US} - {LOOK_US} AND g.k * {STEP_US}
+       GROUP BY g.capacity_id, g.k),
+tcap AS (SELECT target_capacity_id AS capacity_id FROM ctx),
+tp AS (SELECT k, peak AS target_peak FROM pk WHERE capacity_id = (SELECT capacity_id FROM tcap)),
+mk AS (SELECT p.capacity_id, p.k, p.peak, tp.target_peak, p.n,
+              CASE WHEN p.peak > 0.5 AND tp.target_peak <= CAST(0.8 AS DOUBLE) * CAST(0.5 AS DOUBLE) THEN 1
+                   WHEN p.peak < 0.3 THEN 0 END AS marker
+       FROM pk p JOIN tp ON tp.k = p.k WHERE p.capacity_id <> (SELECT capacity_id FROM tcap)),
+st AS (SELECT *, coalesce(last_value(marker IGNORE NULLS) OVER (PARTITION BY capacity_id ORDER BY k
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state FROM mk)
+"""
+
 ORACLE: dict[str, str] = {
     "events_scan": _q("""
 SELECT ts AS time,
@@ -235,7 +333,7 @@ SELECT coalesce(o.initial_dataset_id, n.source_dataset_id) AS initial_dataset_id
          AS target_workspace_id,
        CASE WHEN n.report_id IS NOT NULL THEN {AS_OF} ELSE o.created_at END AS created_at
 FROM (SELECT * FROM state WHERE report_id NOT IN (SELECT report_id FROM rec)) o
-FULL OUTER JOIN (SELECT * FROM act WHERE action = 'MOVE') n ON n.report_id = o.report_id"""),
+FULL OUTER JOIN (SELECT * FROM act WHERE action = 'MOVE' AND target_dataset_id IS NOT NULL) n ON n.report_id = o.report_id"""),
     "repoint_delete": _q("""
 SELECT initial_dataset_id, report_workspace_id, report_id, target_dataset_id, target_workspace_id, created_at
 FROM state WHERE report_id NOT IN (SELECT report_id FROM rec)"""),
@@ -251,7 +349,7 @@ FROM (
          'peak utilisation measured for capacity ' || coalesce(capacity_id, 'unknown') AS message FROM peaks
   UNION ALL
   SELECT 'CHECKING', policy_id, report_id, NULL, NULL,
-         'checking report ' || coalesce(report_id, 'unknown') || ' in workspace '
+         'report ' || coalesce(report_id, 'unknown') || ' is under review, its workspace is '
            || coalesce(report_workspace_id, 'unknown') FROM dec
   UNION ALL
   SELECT 'NOT_IN_CACHE', wt.policy_id, wt.report_id, NULL, NULL,
@@ -277,59 +375,89 @@ FROM (
   SELECT 'REPOINTED', policy_id, report_id, NULL, utilization,
          'report ' || report_id || ' rebinds to dataset ' || coalesce(target_dataset_id, '(new copy)')
            || ' in workspace ' || coalesce(target_workspace_id, 'unknown')
-  FROM act)"""),
-    "action_table": _q("SELECT * FROM act"),
-    "connection_bindings": _q("""
-SELECT m.policy_id, m.source_dataset_id, m.target_workspace_id, m.target_dataset_name, m.target_dataset_id,
-       ds.datasource_id, c.connectivity_type, c.gateway_id, c.path, c.type,
-       CASE WHEN c.gateway_id IS NULL
-         THEN json_object('connectionBinding', json_object('id', ds.datasource_id,
-                'connectivityType', c.connectivity_type,
-                'connectionDetails', json_object('path', c.path, 'type', c.type)))
-         ELSE json_object('connectionBinding', json_object('id', ds.datasource_id,
-                'connectivityType', c.connectivity_type,
-                'connectionDetails', json_object('path', c.path, 'type', c.type), 'gatewayId', c.gateway_id))
-       END::VARCHAR AS payload
-FROM moved m
-JOIN (SELECT DISTINCT CAST(l_orderkey - l_orderkey % 3 AS VARCHAR) AS dataset_id, CAST(l_suppkey AS VARCHAR) AS datasource_id
-      FROM lineitem) ds ON ds.dataset_id = m.source_dataset_id
-LEFT JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS datasource_id,
-                  CASE WHEN s_nationkey % 5 = 0 THEN 'Cloud' ELSE 'Gateway' END
-                    AS connectivity_type,
-                  CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE CAST(s_nationkey AS VARCHAR) END AS gateway_id,
-                  s_name AS path, 'SQL' AS type FROM supplier) c ON c.datasource_id = ds.datasource_id"""),
-    "refresh_plan": _q("""
-SELECT m.policy_id, m.source_dataset_id, m.target_workspace_id, m.target_dataset_name, m.target_dataset_id,
-       s.days[1] || ',' || s.days[2] AS days, s.times[1] || ',' || s.times[2] AS times, 'UTC' AS local_time_zone_id,
-       true AS enabled,
-       json_object('value', json_object('enabled', true, 'days', s.days, 'times', s.times,
-                   'localTimeZoneId', 'UTC'))::VARCHAR AS payload
-FROM moved m
-JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS dataset_id,
-             [dayname(o_orderdate), dayname(o_orderdate + INTERVAL 3 DAY)] AS days,
-             [printf('%02d:00', o_orderkey % 24), printf('%02d:30', (o_orderkey + 7) % 24)] AS times
-      FROM orders WHERE o_orderkey % 3 = 0) s ON s.dataset_id = m.source_dataset_id"""),
-    "hysteresis_replay": _q(f"""
-, evu AS (SELECT capacity_id, utilization, epoch_us(time) AS t_us FROM evm
-          WHERE time IS NOT NULL AND capacity_id IS NOT NULL),
-bounds AS (SELECT min((t_us + {STEP_US - 1}) // {STEP_US}) AS k0, max((t_us + {LOOK_US}) // {STEP_US}) AS k1 FROM evu),
-ticks AS (SELECT unnest(generate_series(k0, k1)) AS k FROM bounds),
-caps AS (SELECT DISTINCT capacity_id FROM evu),
-grid AS (SELECT c.capacity_id, t.k FROM caps c CROSS JOIN ticks t),
-pk AS (SELECT g.capacity_id, g.k, greatest(coalesce(max(e.utilization), 0.0), 0.0) AS peak, count(e.t_us) AS n
-       FROM grid g LEFT JOIN evu e
-         ON e.capacity_id = g.capacity_id AND e.t_us BETWEEN g.k * {STEP_US} - {LOOK_US} AND g.k * {STEP_US}
-       GROUP BY g.capacity_id, g.k),
-tcap AS (SELECT target_capacity_id AS capacity_id FROM ctx),
-tp AS (SELECT k, peak AS target_peak FROM pk WHERE capacity_id = (SELECT capacity_id FROM tcap)),
-mk AS (SELECT p.capacity_id, p.k, p.peak, tp.target_peak, p.n,
-              CASE WHEN p.peak > 0.5 AND tp.target_peak <= CAST(0.8 AS DOUBLE) * CAST(0.5 AS DOUBLE) THEN 1
-                   WHEN p.peak < 0.3 THEN 0 END AS marker
-       FROM pk p JOIN tp ON tp.k = p.k WHERE p.capacity_id <> (SELECT capacity_id FROM tcap)),
-st AS (SELECT *, coalesce(last_value(marker IGNORE NULLS) OVER (PARTITION BY capacity_id ORDER BY k
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state FROM mk)
-SELECT capacity_id, make_timestamp(k * {STEP_US}) AS tick, peak AS peak_utilization, target_peak, marker, state
-FROM st WHERE n > 0"""),
+  FROM act
+  UNION ALL
+  SELECT 'CONNECTION', policy_id, NULL, NULL, NULL,
+         'dataset ' || coalesce(target_dataset_id, '(new copy)') || ' binds datasource ' || datasource_id || ' at '
+           || coalesce(path, 'unknown')
+  FROM bind)"""),
+    "action_table": _q("""
+SELECT *, CASE WHEN target_dataset_id IS NULL THEN 'PENDING' ELSE 'READY' END AS status,
+       json_object('datasetId', coalesce(target_dataset_id, '${dataset:' || target_workspace_id || '/' || target_dataset_name
+                                         || '}'))::VARCHAR AS payload FROM act"""),
+    "workspace_plan": _q("""
+, made AS (
+  SELECT min(p.policy_id) AS policy_id, p.workspace_name, arg_min(p.capacity_to_deploy, p.policy_id) AS cap
+  FROM cpol p WHERE p.workspace_name <> '' AND p.capacity_to_deploy <> '' AND p.target_workspace = ''
+    AND p.recovery_threshold < p.move_threshold
+    AND NOT EXISTS (SELECT 1 FROM workspaces w WHERE w.name = p.workspace_name) GROUP BY p.workspace_name)
+SELECT policy_id, 1 AS step, 'CREATE_WORKSPACE' AS request, CAST(NULL AS VARCHAR) AS report_id,
+       CAST(NULL AS VARCHAR) AS source_dataset_id, 'workspace:' || workspace_name AS makes,
+       CAST(NULL AS VARCHAR) AS waits_for, 'READY' AS status, json_object('name', workspace_name)::VARCHAR AS payload FROM made
+UNION ALL
+SELECT policy_id, 2, 'ASSIGN_CAPACITY', NULL, NULL, NULL, 'workspace:' || workspace_name, 'PENDING',
+       json_object('capacityMigrationAssignments', [json_object('targetCapacityObjectId', cap, 'workspacesToAssign',
+                   ['${workspace:' || workspace_name || '}'])])::VARCHAR FROM made"""),
+    "work_plan": _q("""
+, ref AS (
+  SELECT *, 'dataset:' || target_workspace_id || '/' || target_dataset_name AS key,
+         CASE WHEN target_dataset_id IS NULL THEN 'PENDING' ELSE 'READY' END AS status,
+         coalesce(target_dataset_id, '${dataset:' || target_workspace_id || '/' || target_dataset_name || '}') AS ds FROM moved)
+SELECT policy_id, 3 AS step, 'COPY_DATASET' AS request, CAST(NULL AS VARCHAR) AS report_id, source_dataset_id, key AS makes,
+       CAST(NULL AS VARCHAR) AS waits_for, 'READY' AS status,
+       json_object('sourceWorkspaceId', source_workspace_id, 'sourceDatasetId', source_dataset_id,
+                   'targetWorkspaceId', target_workspace_id, 'targetName', target_dataset_name)::VARCHAR AS payload FROM ref
+UNION ALL
+SELECT r.policy_id, 4, 'BIND_CONNECTION', NULL, r.source_dataset_id, NULL, r.key, r.status,
+       json_object('workspaceId', r.target_workspace_id, 'datasetId', r.ds, 'body', b.payload)::VARCHAR
+FROM ref r JOIN bind b ON b.policy_id = r.policy_id AND b.source_dataset_id = r.source_dataset_id
+UNION ALL
+SELECT r.policy_id, 5, 'SET_SCHEDULE', NULL, r.source_dataset_id, NULL, r.key, r.status,
+       json_object('workspaceId', r.target_workspace_id, 'datasetId', r.ds, 'body', s.payload)::VARCHAR
+FROM ref r JOIN sched s ON s.policy_id = r.policy_id AND s.source_dataset_id = r.source_dataset_id
+UNION ALL
+SELECT policy_id, 6, 'REBIND_REPORT', report_id, source_dataset_id, NULL,
+       CASE WHEN action = 'MOVE' THEN 'dataset:' || target_workspace_id || '/' || target_dataset_name END,
+       CASE WHEN target_dataset_id IS NULL THEN 'PENDING' ELSE 'READY' END,
+       json_object('workspaceId', report_workspace_id, 'reportId', report_id, 'datasetId',
+                   coalesce(target_dataset_id, '${dataset:' || target_workspace_id || '/' || target_dataset_name || '}'))::VARCHAR
+FROM act"""),
+    "connection_bindings": _q("SELECT * FROM bind"),
+    "refresh_plan": _q("SELECT * FROM sched"),
+    "pick_target": _q("""
+, cap AS (SELECT policy_id, capacity_id, max(utilization) AS peak, count(*) AS n,
+                 count(*) FILTER (decision IN ('MOVE', 'TARGET_OVERLOADED') AND utilization > 0.5) AS movers
+          FROM mv WHERE capacity_id IS NOT NULL GROUP BY policy_id, capacity_id),
+src AS (SELECT *, CAST(floor(peak / n * 1000000) AS BIGINT) AS load_units FROM cap WHERE movers > 0),
+queue AS (SELECT *, coalesce(sum(load_units * movers) OVER (PARTITION BY policy_id ORDER BY peak DESC, capacity_id
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM src),
+lined AS (
+  SELECT m.policy_id, m.report_id, m.capacity_id, a.load_units, a.start + a.load_units * (row_number() OVER (
+           PARTITION BY m.policy_id, m.capacity_id ORDER BY substr(md5(m.report_id), 1, 2), m.report_id) - 1) AS place
+  FROM mv m JOIN queue a ON a.policy_id = m.policy_id AND a.capacity_id = m.capacity_id
+  WHERE m.decision IN ('MOVE', 'TARGET_OVERLOADED') AND m.utilization > 0.5),
+room AS (
+  SELECT capacity_id, peak, sum(CAST(floor((gate - peak) * 1000000) AS BIGINT)) OVER (ORDER BY peak, capacity_id) AS up_to
+  FROM (SELECT DISTINCT w.capacity_id, greatest(coalesce(p.peak_utilization, 0.0), 0.0) AS peak,
+               CAST(0.8 AS DOUBLE) * CAST(0.5 AS DOUBLE) AS gate
+        FROM workspaces w LEFT JOIN peaks p ON p.capacity_id = w.capacity_id) WHERE peak <= gate)
+SELECT l.policy_id, l.report_id, l.capacity_id, l.load_units,
+       (SELECT arg_min(r.capacity_id, (r.peak, r.capacity_id)) FROM room r WHERE r.up_to > l.place) AS picked_capacity_id
+FROM lined l""", "P2"),
+    "hysteresis_replay": _q(REPLAY + f"""
+SELECT capacity_id, make_timestamp(k * {STEP_US}) AS tick, peak AS peak_utilization, target_peak, marker, state FROM st"""),
+    "report_replay": _q(REPLAY + f"""
+, runs AS (
+  SELECT capacity_id, min(k) AS from_k, max(k) AS to_k, state
+  FROM (SELECT *, k - row_number() OVER (PARTITION BY capacity_id, state ORDER BY k) AS island FROM st)
+  GROUP BY capacity_id, state, island),
+homes AS (
+  SELECT wt.report_id, coalesce(hw.capacity_id, w.capacity_id) AS capacity_id
+  FROM watched wt LEFT JOIN reports r ON r.report_id = wt.report_id LEFT JOIN datasets d ON d.dataset_id = r.dataset_id
+  LEFT JOIN workspaces w ON w.workspace_id = d.workspace_id LEFT JOIN state s ON s.report_id = wt.report_id
+  LEFT JOIN datasets hd ON hd.dataset_id = s.initial_dataset_id LEFT JOIN workspaces hw ON hw.workspace_id = hd.workspace_id)
+SELECT h.report_id, h.capacity_id, make_timestamp(r.from_k * {STEP_US}) AS from_tick, make_timestamp(r.to_k * {STEP_US}) AS to_tick,
+       r.state FROM homes h JOIN runs r ON r.capacity_id = h.capacity_id"""),
     "stream_peak": _q("""
 , win AS (
   SELECT e.capacity_id, e.utilization, time_bucket(INTERVAL 1 MINUTE, e.time) - j * INTERVAL 1 MINUTE AS ws
@@ -348,5 +476,7 @@ s2 AS (SELECT *, coalesce(last_value(marker IGNORE NULLS) OVER (PARTITION BY cap
        FROM sh),
 s3 AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY capacity_id ORDER BY time, utilization NULLS LAST), 0)
                  AS prev FROM s2)
-SELECT capacity_id, time, CAST(state AS INTEGER) AS state FROM s3 WHERE state <> prev"""),
+SELECT capacity_id, time, CAST(state AS INTEGER) AS state FROM s3
+WHERE state <> prev AND time <= date_trunc('milliseconds', (SELECT max(time) FROM evm)) - INTERVAL 10 MINUTE"""),
+    "balance_stream": _q(_weekly_runs()),
 }

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capshift.plans.workplan import dataset_key, reference, workspace_or_reference
+
 ACTION_COLUMNS = ["policy_id", "action", "report_id", "report_workspace_id", "source_dataset_id",
                   "target_dataset_name", "target_dataset_id", "target_workspace_id", "utilization"]
 
@@ -19,29 +21,40 @@ def action_table(recovered: DataFrame, copies: DataFrame) -> DataFrame:
 
     ``copies`` carries the moved reports' workspace and utilization, so no join is needed.
     """
+    names = "workspace_name" in copies.columns
     back = recovered.select(
         "policy_id", F.lit("RECOVER").alias("action"), "report_id", "report_workspace_id",
         F.col("target_dataset_id").alias("source_dataset_id"),
         F.lit(None).cast("string").alias("target_dataset_name"),
         F.col("initial_dataset_id").alias("target_dataset_id"),
         F.col("initial_workspace_id").alias("target_workspace_id"),
-        F.col("initial_peak").alias("utilization"))
+        F.col("initial_peak").alias("utilization"), *([F.lit(None).cast("string").alias("workspace_name")] if names else []))
     fwd = copies.select(
         "policy_id", F.lit("MOVE").alias("action"), "report_id", "report_workspace_id", "source_dataset_id",
         "target_dataset_name", F.col("existing_copy_id").alias("target_dataset_id"), "target_workspace_id",
-        "utilization")
+        "utilization", *(["workspace_name"] if names else []))
     return back.unionByName(fwd)
 
 
 def with_rebind_payload(actions: DataFrame) -> DataFrame:
-    """JSON body of the rebind request."""
-    return actions.withColumn("payload", F.to_json(F.struct(F.col("target_dataset_id").alias("datasetId"))))
+    """JSON body of the rebind request, and whether its dataset is known yet.
+
+    A move whose copy does not exist yet is PENDING, and its body refers to the copy.
+    """
+    workspace = F.col("target_workspace_id")
+    if "workspace_name" in actions.columns:
+        workspace = workspace_or_reference(workspace, F.col("workspace_name"))
+    dataset = F.coalesce("target_dataset_id", reference(dataset_key(workspace, F.col("target_dataset_name"))))
+    return actions.withColumns({
+        "status": F.when(F.col("target_dataset_id").isNotNull(), F.lit("READY")).otherwise(F.lit("PENDING")),
+        "payload": F.to_json(F.struct(dataset.alias("datasetId")))}).drop("workspace_name")
 
 
 def moved_datasets(copies: DataFrame) -> DataFrame:
     """Distinct source datasets being copied, with where the copy goes."""
     return copies.select("policy_id", "source_dataset_id", "source_workspace_id", "target_dataset_name",
-                         "target_workspace_id", F.col("existing_copy_id").alias("target_dataset_id")).distinct()
+                         "target_workspace_id", F.col("existing_copy_id").alias("target_dataset_id"),
+                         *(["workspace_name"] if "workspace_name" in copies.columns else [])).distinct()
 
 
 def connection_bindings(moved: DataFrame, datasources: DataFrame, connections: DataFrame) -> DataFrame:
@@ -57,6 +70,7 @@ def connection_bindings(moved: DataFrame, datasources: DataFrame, connections: D
         "policy_id", "source_dataset_id", "target_workspace_id", "target_dataset_name", "target_dataset_id",
         "datasource_id", "connectivity_type", "gateway_id",
         F.col("connection_details.path").alias("path"), F.col("connection_details.type").alias("type"),
+        *(["workspace_name"] if "workspace_name" in moved.columns else []),
         F.to_json(F.struct(binding.alias("connectionBinding"))).alias("payload"))
 
 
@@ -69,4 +83,5 @@ def refresh_plan(moved: DataFrame, schedules: DataFrame) -> DataFrame:
     return j.select(
         "policy_id", "source_dataset_id", "target_workspace_id", "target_dataset_name", "target_dataset_id",
         "days", "times", "local_time_zone_id", F.lit(True).alias("enabled"),
+        *(["workspace_name"] if "workspace_name" in moved.columns else []),
         F.to_json(F.struct(body.alias("value"))).alias("payload"))

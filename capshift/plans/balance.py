@@ -12,14 +12,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from capshift.operators import decide, lineage, peaks, state
+from capshift.operators import decide, lineage, peaks, state, targets
 from capshift.operators.joins import join_small
 from capshift.params import RunParams
 from capshift.session import scratch_path
-from capshift.plans import actions, logs
+from capshift.plans import actions, logs, workplan
 from capshift.sources.events import parse_events
 
 
@@ -57,8 +57,12 @@ class BalanceRun:
     def __init__(self, params: RunParams, policies: DataFrame | None = None, watched: DataFrame | None = None,
                  state_df: DataFrame | None = None, inventory: Inventory | LazyInventory | None = None,
                  capacity_events: DataFrame | None = None, materialize: bool = True,
-                 watch_lists: DataFrame | None = None, source=None):
+                 watch_lists: DataFrame | None = None, source=None, strict: bool = False):
+        """``strict`` makes a run fail whose inputs break a uniqueness check; otherwise ``checks`` counts such reports."""
         self.params = params
+        self.strict = strict
+        self.checks: dict[str, int] = {}
+        self._observed = Observation(f"tick of {params.run_id}")
         self.materialize = materialize
         self._given = {"policies": policies, "watched": watched, "state": state_df,
                        "capacity_events": capacity_events, "watch_lists": watch_lists}
@@ -130,8 +134,20 @@ class BalanceRun:
     # -- the tick ---------------------------------------------------------------
     @cached_property
     def tick(self) -> DataFrame:
-        return self._keep(decide.tick_table(self.watched_ctx, self.state, self.inv.reports, self.inv.datasets,
-                                            self.inv.workspaces, self.peaks), "tick")
+        tick = decide.tick_table(self.watched_ctx, self.state, self.inv.reports, self.inv.datasets,
+                                 self.inv.workspaces, self.peaks)
+        if self.materialize:
+            tick = self._keep(tick.observe(self._observed, *decide.tick_checks(tick)), "tick")
+            self.checks = dict(self._observed.get)
+            broken = {name: n for name, n in self.checks.items() if n}
+            if broken and self.strict:
+                raise ValueError(f"run {self.params.run_id}: {broken}")
+        rivals = decide.contested(tick)
+        if self.materialize:
+            rivals = self._keep(rivals, "contested")
+            if rivals.isEmpty():
+                return tick
+        return decide.one_action_per_report(tick, rivals)
 
     @cached_property
     def lookups(self) -> DataFrame:
@@ -161,44 +177,92 @@ class BalanceRun:
     @cached_property
     def copy_plan(self) -> DataFrame:
         # Read by the actions, the state, the log and both plans: written once.
-        moved = self.moves.where(F.col("decision") == "MOVE")
-        return self._keep(lineage.copy_lookup(moved, self.inv.datasets, ("report_workspace_id", "utilization")), "copies")
+        moved = self.tick.where(F.col("decision") == "MOVE").select(*decide.MOVE_COLUMNS, "workspace_name")
+        return self._keep(lineage.copy_lookup(moved, self.inv.datasets, ("report_workspace_id", "utilization", "workspace_name")),
+                          "copies")
 
     @cached_property
     def copies(self) -> DataFrame:
-        return self.copy_plan.drop("report_workspace_id", "utilization")
+        return self.copy_plan.drop("report_workspace_id", "utilization", "workspace_name")
 
     @cached_property
-    def actions(self) -> DataFrame:
+    def _actions(self) -> DataFrame:
         return actions.action_table(self.recovered, self.copy_plan)
 
+    @cached_property
+    def actions(self) -> DataFrame:
+        return self._actions.drop("workspace_name")
+
+    @cached_property
+    def action_requests(self) -> DataFrame:
+        """The actions with their status and JSON body."""
+        return actions.with_rebind_payload(self._actions)
+
+    @cached_property
+    def _moved_datasets(self) -> DataFrame:
+        return actions.moved_datasets(self.copy_plan)
+
     @cached_property
     def moved_datasets(self) -> DataFrame:
-        return actions.moved_datasets(self.copies)
+        return self._moved_datasets.drop("workspace_name")
+
+    @cached_property
+    def _bindings(self) -> DataFrame:
+        return actions.connection_bindings(self._moved_datasets, self.inv.datasources, self.inv.connections)
 
     @cached_property
     def connection_bindings(self) -> DataFrame:
-        return actions.connection_bindings(self.moved_datasets, self.inv.datasources, self.inv.connections)
+        return self._bindings.drop("workspace_name")
+
+    @cached_property
+    def _refreshes(self) -> DataFrame:
+        return actions.refresh_plan(self._moved_datasets, self.inv.refresh_schedules)
 
     @cached_property
     def refresh_plan(self) -> DataFrame:
-        return actions.refresh_plan(self.moved_datasets, self.inv.refresh_schedules)
+        return self._refreshes.drop("workspace_name")
+
+    @cached_property
+    def new_workspaces(self) -> DataFrame:
+        return workplan.new_workspaces(self.policies, self.inv.workspaces)
+
+    @cached_property
+    def work_plan(self) -> DataFrame:
+        """All requests of the run in order (``workplan``)."""
+        plan = workplan.workspace_plan(self.new_workspaces).unionByName(workplan.copy_requests(self._moved_datasets))
+        if self._binds:
+            plan = plan.unionByName(workplan.after_copy(self._bindings, "BIND_CONNECTION"))
+        if self.inv.refresh_schedules is not None:
+            plan = plan.unionByName(workplan.after_copy(self._refreshes, "SET_SCHEDULE"))
+        return plan.unionByName(workplan.rebind_requests(self._actions))
+
+    @property
+    def _binds(self) -> bool:
+        return self.inv.datasources is not None and self.inv.connections is not None
 
     @cached_property
     def next_state(self) -> DataFrame:
-        moved = self.actions.where(F.col("action") == "MOVE").select(
+        # A move is remembered once its copy has an id: before that nothing can be bound to it.
+        known = (F.col("action") == "MOVE") & F.col("target_dataset_id").isNotNull()
+        moved = self.actions.where(known).select(
             "policy_id", F.col("source_dataset_id").alias("initial_dataset_id"), "report_workspace_id", "report_id",
             "target_dataset_id", "target_workspace_id")
         return state.repoint_upsert(self.state, self.recovered, moved, self.params.as_of)
 
     @cached_property
     def log(self) -> DataFrame:
-        return logs.decision_log(self.params, self.peaks, self.tick, self.gate, self.actions)
+        return logs.decision_log(self.params, self.peaks, self.tick, self.gate, self.actions, self.new_workspaces,
+                                 self.connection_bindings if self._binds else None)
 
     @cached_property
     def alerts(self) -> DataFrame:
         return logs.alerts(self.params, self.gate)
 
+    @cached_property
+    def picked_targets(self) -> DataFrame:
+        """Advice: a capacity with room for every report that should leave its own (``targets``)."""
+        return targets.pick_targets(self.tick, self.context, self.inv.workspaces, self.peaks)
+
     # -- persistence --------------------------------------------------------------
     def write(self, root: str) -> dict[str, str]:
         """Persist the run under ``root`` (a shared folder). Re-running the same
@@ -210,6 +274,7 @@ class BalanceRun:
             "report_repoints": f"{root}/report_repoints/run_id={rid}",
             "decisions": f"{root}/decisions/run_id={rid}",
             "actions": f"{root}/actions/run_id={rid}",
+            "work_plan": f"{root}/work_plan/run_id={rid}",
             "copies": f"{root}/copies/run_id={rid}",
             "connection_bindings": f"{root}/connection_bindings/run_id={rid}",
             "refresh_plan": f"{root}/refresh_plan/run_id={rid}",
@@ -218,12 +283,17 @@ class BalanceRun:
         }
         self.next_state.write.mode("overwrite").parquet(out["report_repoints"])
         self.decisions.write.mode("overwrite").parquet(out["decisions"])
-        actions.with_rebind_payload(self.actions).write.mode("overwrite").parquet(out["actions"])
+        self.action_requests.write.mode("overwrite").parquet(out["actions"])
+        self.work_plan.write.mode("overwrite").parquet(out["work_plan"])
         self.copies.write.mode("overwrite").parquet(out["copies"])
-        if self.inv.datasources is not None and self.inv.connections is not None:
+        if self._binds:
             self.connection_bindings.write.mode("overwrite").parquet(out["connection_bindings"])
+        else:
+            del out["connection_bindings"]
         if self.inv.refresh_schedules is not None:
             self.refresh_plan.write.mode("overwrite").parquet(out["refresh_plan"])
+        else:
+            del out["refresh_plan"]
         self.log.write.mode("overwrite").parquet(out["decision_log"])
         self.alerts.write.mode("overwrite").parquet(out["alerts"])
         return out

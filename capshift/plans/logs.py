@@ -39,6 +39,7 @@ REPORT_KINDS = {
     "LOW_UTILIZATION": " stays: its capacity is not above the move threshold",
     "UNRESOLVED": " could not be traced to a capacity",
     "INVALID_POLICY": " skipped: its policy is invalid",
+    "SUPERSEDED": " is left to another policy in this run",
 }
 
 
@@ -62,7 +63,7 @@ def _report_entries(tick: DataFrame) -> F.Column:
     text = F.coalesce(*[F.when(d == k, F.lit(t)) for k, t in REPORT_KINDS.items()])
     entries = [
         entry(F.lit(True), "CHECKING", null_s, null_d,
-              F.concat(F.lit("checking report "), rid, F.lit(" in workspace "),
+              F.concat(F.lit("report "), rid, F.lit(" is under review, its workspace is "),
                        F.coalesce(F.when(~inv, F.col("report_workspace_id")), F.lit("unknown")))),
         entry(F.col("valid") & ~F.col("in_state"), "NOT_IN_CACHE", null_s, null_d,
               F.concat(F.lit("report "), rid, F.lit(" has no repoint to undo"))),
@@ -74,9 +75,9 @@ def _report_entries(tick: DataFrame) -> F.Column:
     return F.filter(F.array(*entries), lambda e: e.isNotNull())
 
 
-def decision_log(params: RunParams, peaks: DataFrame, tick: DataFrame, gate: DataFrame,
-                 actions: DataFrame) -> DataFrame:
-    """D-L: capacity readings, one pass over the tick for per-report entries, gates, rebinds."""
+def decision_log(params: RunParams, peaks: DataFrame, tick: DataFrame, gate: DataFrame, actions: DataFrame,
+                 new_workspaces: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
+    """D-L: capacity readings, one pass over the tick for per-report entries, gates, rebinds, new workspaces, connections."""
     per_report = tick.select("policy_id", "report_id", F.explode(_report_entries(tick)).alias("e"))
     per_report = _rows(per_report.select("policy_id", "report_id", "e.*"), params, None, F.col("message"))
     parts = [
@@ -93,7 +94,17 @@ def decision_log(params: RunParams, peaks: DataFrame, tick: DataFrame, gate: Dat
                        F.coalesce(F.col("target_dataset_id"), F.lit("(new copy)")),
                        F.lit(" in workspace "), _txt("target_workspace_id")),
               capacity=None, value="utilization"),
+        _rows(new_workspaces, params, "DEPLOYING_WORKSPACE",
+              F.concat(F.lit("workspace "), _txt("workspace_name"), F.lit(" is to be created on capacity "),
+                       _txt("target_capacity_id")),
+              report=None, capacity="target_capacity_id", value=None),
     ]
+    if bindings is not None:
+        parts.append(_rows(
+            bindings, params, "CONNECTION",
+            F.concat(F.lit("dataset "), F.coalesce(F.col("target_dataset_id"), F.lit("(new copy)")),
+                     F.lit(" binds datasource "), _txt("datasource_id"), F.lit(" at "), _txt("path")),
+            report=None, capacity=None, value=None))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -1,4 +1,4 @@
-"""Streaming trailing peak, and T2: the balancing tick per micro-batch.
+"""Streaming trailing peak.
 
 T1 re-aims the reference's "read the last 5 minutes every run" as a sliding
 event-time window (5 minutes, sliding each minute) with a watermark: rows up to
@@ -11,8 +11,8 @@ bound; they differ only for an event exactly on a window boundary.
 
 from __future__ import annotations
 
-import datetime as dt
-from typing import Callable
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,41 +37,51 @@ def windowed_peaks(parsed_stream: DataFrame, window: str = "5 minutes", slide: s
                       "capacity_id", "peak_utilization", "n_events")
 
 
-def run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> str:
-    """Drain everything available (``availableNow``) into a fresh Parquet folder.
+@dataclass(frozen=True)
+class Drained:
+    """Where a drained stream wrote its rows, and how many of its input rows a stateful step dropped as late."""
 
-    Output and checkpoint live under the shared checkpoint root, so a restarted
-    driver resumes from the checkpoint instead of recomputing.
-    """
-    base = scratch_path(spark, name)
-    q = (stream.writeStream.format("parquet").outputMode(mode)
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
-    return f"{base}/out"
+    path: str
+    late_rows: int
 
 
-def stream_peak(spark: SparkSession, envelope_stream: DataFrame, **kw) -> DataFrame:
-    """T1 end to end: envelope stream -> closed windows, read back as a batch table."""
-    out = run_to_parquet(windowed_peaks(parse_events(envelope_stream), **kw), spark, "stream_peak")
-    return spark.read.parquet(out)
+@contextmanager
+def _session_conf(spark: SparkSession, conf: dict[str, str]):
+    """Settings that a query reads when it starts, put back afterwards."""
+    before = {key: spark.conf.get(key, None) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def balance_each_batch(make_run: Callable[[DataFrame, int], object], root: str):
-    """A ``foreachBatch`` function that runs the whole tick on each micro-batch.
+def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append", base: str | None = None,
+          conf: dict[str, str] | None = None) -> Drained:
+    """Write everything available (``availableNow``) of a stream as Parquet.
 
-    ``make_run(batch_df, batch_id)`` returns a ``BalanceRun`` whose ``run_id``
-    is derived from ``batch_id``; its outputs go to that run's own folders, so
-    replaying a batch after a failure rewrites the same files (idempotent).
+    Output and checkpoint lie under ``base``. A query that is given the same ``base``
+    again goes on from its checkpoint; without one, a fresh folder under the shared
+    checkpoint root is used. Late rows are summed over the progress reports as they come.
     """
-    def _fn(batch_df: DataFrame, batch_id: int) -> None:
-        make_run(batch_df, batch_id).write(root)
-    return _fn
+    base = base or scratch_path(spark, name)
+    with _session_conf(spark, conf or {}):
+        q = (stream.writeStream.format("parquet").outputMode(mode)
+             .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+             .trigger(availableNow=True).start())
+        late: dict[int, int] = {}
+        running = True
+        while running:
+            running = not q.awaitTermination(1)
+            for progress in q.recentProgress:
+                late[progress["batchId"]] = sum(op["numRowsDroppedByWatermark"] for op in progress["stateOperators"])
+    if q.exception() is not None:
+        raise q.exception()
+    return Drained(f"{base}/out", sum(late.values()))
 
 
-def as_of_for_batch(batch_df: DataFrame) -> dt.datetime | None:
-    """Anchor a micro-batch's tick on its newest event (one scalar)."""
-    row = batch_df.agg(F.max("time").alias("t")).first()
-    return row["t"] if row else None
+def stream_peak(spark: SparkSession, envelope_stream: DataFrame, **kw) -> DataFrame:
+    """T1 end to end: envelope stream -> closed windows, read back as a batch table."""
+    return spark.read.parquet(drain(windowed_peaks(parse_events(envelope_stream), **kw), spark, "stream_peak").path)

@@ -8,11 +8,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from capshift.catalog import QUERIES, _event_stream, fixture_run
+from capshift.catalog import QUERIES
 from capshift.operators import peaks, replay
 from capshift.sources.events import parse_events, with_metrics
 from capshift.sources.fixtures import Fixture
-from capshift.streaming import peak as stream_pk
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,6 +51,48 @@ def test_rolling_peak_bucket_edges(spark):
     assert got == [0.9, 0.9, 0.9, 0.2]
 
 
+def exchanged_rows(plan) -> int:
+    """Rows written to shuffles by the plan that ran, exchanges that are read twice counted once."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return exchanged_rows(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return exchanged_rows(plan.plan())
+    if name == "ReusedExchangeExec":
+        return 0
+    own = plan.metrics().get("shuffleRecordsWritten").get().value() if name == "ShuffleExchangeExec" else 0
+    children = plan.children()
+    return own + sum(exchanged_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_rolling_peak_shuffles_an_event_once(spark):
+    df = peaks.rolling_peak(parse_events(Fixture(spark, "/root/testdata/sf0.01").capacity_events), dt.timedelta(hours=12))
+    events = len(df.collect())
+    assert events <= exchanged_rows(df._jdf.queryExecution().executedPlan()) <= 1.5 * events
+
+
+def test_replay_scans_the_events_once(spark):
+    got = QUERIES["hysteresis_replay"](spark, SF)
+    assert "events.parquet" not in got._jdf.queryExecution().executedPlan().toString()
+    rules = replay.Rules("0", 0.5, 0.3, 0.8, dt.timedelta(hours=12))
+    assert replay.tick_peaks(parse_events(Fixture(spark, SF).capacity_events), rules.lookback, rules.step) \
+        ._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_report_runs_expand_to_the_tick_table(spark):
+    """Every report's runs, expanded, are its home's states at every tick; runs of one report neither overlap nor touch."""
+    ticks = {(r.capacity_id, r.tick): r.state for r in QUERIES["hysteresis_replay"](spark, SF).collect()}
+    count = len({t for _, t in ticks})
+    seen = {}
+    for r in QUERIES["report_replay"](spark, SF).collect():
+        t = r.from_tick
+        while t <= r.to_tick:
+            assert (r.report_id, t) not in seen and ticks[r.capacity_id, t] == r.state
+            seen[r.report_id, t] = r.state
+            t += dt.timedelta(hours=6)
+    assert len(seen) == count * len({i for i, _ in seen})
+
+
 @pytest.mark.parametrize("look,step", [(dt.timedelta(hours=12), dt.timedelta(hours=6)),
                                        (dt.timedelta(minutes=72), dt.timedelta(hours=6)),
                                        (dt.timedelta(hours=2), dt.timedelta(minutes=50))])
@@ -80,8 +121,7 @@ def test_hysteresis_replay_brute_force(spark, look, step):
                 state = 1
             elif p < R:
                 state = 0
-            if n:
-                exp[(cap, t)] = state
+            exp[(cap, t)] = state
     assert len(exp) == len(got)
     for key, st in exp.items():
         assert got.loc[key, "state"] == st, key
@@ -108,8 +148,9 @@ def test_stream_peak_equals_closed_batch_windows(spark):
 def test_stream_hysteresis_emits_changes_only(spark):
     got = QUERIES["stream_hysteresis"](spark, SF).toPandas()
     ev = events_pdf(spark).sort_values(["time", "utilization"], na_position="last", kind="mergesort")
+    closed = ev["time"].max().floor("ms") - pd.Timedelta(minutes=10)
     exp = []
-    for cap, g in ev.groupby("capacity_id", sort=True):
+    for cap, g in ev[ev["time"] <= closed].groupby("capacity_id", sort=True):
         state = 0
         for r in g.itertuples():
             new = 1 if r.utilization > 0.5 else 0 if r.utilization < 0.3 else state
@@ -117,24 +158,3 @@ def test_stream_hysteresis_emits_changes_only(spark):
                 exp.append((cap, r.time, new))
             state = new
     assert sorted(exp) == sorted((r.capacity_id, r.time, r.state) for r in got.itertuples())
-
-
-def test_balance_each_batch_is_idempotent(spark, tmp_dir):
-    """The whole tick per micro-batch; replaying a batch id rewrites the same folders."""
-    fx = Fixture(spark, SF)
-    run = fixture_run(spark, SF)
-
-    def make_run(batch_df, batch_id):
-        from capshift.params import RunParams
-        from capshift.plans.balance import BalanceRun
-        params = RunParams(as_of=fx.params.as_of, lookback=fx.params.lookback, run_id=f"batch-{batch_id}")
-        return BalanceRun(params, run.policies, run.watched, run.state, run.inv, batch_df.select("time", "data"))
-
-    fn = stream_pk.balance_each_batch(make_run, tmp_dir)
-    q = (_event_stream(spark, SF).writeStream.foreachBatch(fn)
-         .option("checkpointLocation", f"{tmp_dir}/_ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    first = spark.read.parquet(f"{tmp_dir}/decisions/run_id=batch-0").orderBy("report_id").collect()
-    fn(spark.read.parquet(f"{fx.sf_dir}/events.parquet").transform(Fixture.envelope_from_events), 0)
-    again = spark.read.parquet(f"{tmp_dir}/decisions/run_id=batch-0").orderBy("report_id").collect()
-    assert first == again and len(first) == run.decisions.count()

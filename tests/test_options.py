@@ -60,12 +60,17 @@ def test_interactive_share_metric(spark):
     assert [r["peak_utilization"] for r in capacity_peak(ev, params).collect()] == [0.5]
 
 
-def test_watched_pairs_give_the_report_workspace(spark):
-    pairs = spark.createDataFrame([("P", "r1", "wsX"), ("P", "r2", None)], schemas.WATCHED_PAIRS)
-    run = build(spark, events=[event("A", 0.9)], workspaces=WORKSPACES, datasets=DATASETS,
-                reports=REPORT_HOME + [("r2", "wsA", "dsA")], watched=pairs)
-    got = {r["report_id"]: (r["decision"], r["report_workspace_id"]) for r in run.decisions.collect()}
-    assert got == {"r1": ("MOVE", "wsX"), "r2": ("MOVE", "wsA")}
+def test_watched_pairs_name_the_report_of_that_workspace(spark):
+    """A pair is looked up by workspace and report: one that is not listed there resolves to nothing."""
+    reports = [("r1", "wsA", "dsA"), ("r1", "wsC", "dsA_copy"), ("r2", "wsA", "dsA")]
+    pairs = spark.createDataFrame([("P", "r1", " wsC "), ("P", "r2", None), ("Q", "r1", "wsA"), ("Q", "r2", "wsX")],
+                                  schemas.WATCHED_PAIRS)
+    policies = [(p, "", "", "wsB", 0.5, 0.25, 0.8) for p in ("P", "Q")]
+    run = build(spark, events=[event("A", 0.9)], workspaces=WORKSPACES, datasets=DATASETS, reports=reports,
+                watched=pairs, policies=policies)
+    got = {(r["policy_id"], r["report_id"]): (r["decision"], r["report_workspace_id"]) for r in run.decisions.collect()}
+    assert got == {("P", "r1"): ("SAME_CAPACITY", "wsC"), ("P", "r2"): ("MOVE", "wsA"),
+                   ("Q", "r1"): ("MOVE", "wsA"), ("Q", "r2"): ("UNRESOLVED", "wsX")}
 
 
 def test_ingested_events_prune_partitions_and_give_same_peaks(spark, tmp_dir):
