@@ -10,10 +10,12 @@
    sample to ``TARGET``, and on until they hold ``k`` rows besides the query - and is
    compared there with every row, exactly.
 
-Parts are cut into blocks of rows and of queries, so neither a hot part nor a table of
-any size meets in one task; a block pair returns its best ``k`` per query (more on
-ties), and the best of all are ranked. The sample bounds fitting only: all rows are
-indexed, all queries answered.
+Neighbouring parts are gathered to shelves of about ``ROW_BLOCK`` rows, larger ones cut
+into blocks of rows, and their queries into blocks too, so neither a hot part nor a
+table of any size meets in one task. A task goes through the parts of its shelf in
+slices and keeps each query's best ``k`` so far, so a query brings back ``k`` rows per
+shelf, not per part; the best of all shelves are ranked. The sample bounds fitting only:
+all rows are indexed, all queries answered.
 
 Scores are inner products of the original vectors, summed in double precision over the
 components in order, so equal vectors have equal scores; ties go to the smaller vec_id.
@@ -39,7 +41,7 @@ ROWS_PER_PART, LEAST_PARTS, MOST_PARTS = 1000, 4, 32
 ROOM, SWEEPS = 1.1, 12
 HIDDEN, EPOCHS, RATE = 64, 30, 0.01
 TARGET = 0.94
-ROW_BLOCK, QUERY_BLOCK = 4000, 1000
+ROW_BLOCK, QUERY_BLOCK, SLICE = 50_000, 1000, 4000
 NEAR_TIE = 1e-9
 
 
@@ -137,8 +139,8 @@ def fit(sample: np.ndarray, rows: int, k: int, seed: int = 4) -> Router:
     return router
 
 
-_NAMES = ["row", "vec_id", "asks", "raw", "part"]
-_PARTS = "row long, vec_id long, asks boolean, raw binary, part int"
+_NAMES = ["row", "vec_id", "asks", "raw", "shelf", "parts"]
+_PARTS = "row long, vec_id long, asks boolean, raw binary, shelf int, parts array<int>"
 
 
 def _order(router: Router, column) -> np.ndarray:
@@ -149,28 +151,47 @@ def _place(shared):
     """Every vector in its most probable part."""
     def run(batches):
         for part in in_slices(batches, 2048):
-            first = _order(shared.value, part.column(3))[:, 0]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(first.astype(np.int32))], _NAMES)
+            first = _order(shared.value, part.column(3))[:, 0].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.nulls(len(first), pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32)), pa.array(first))], _NAMES)
 
     return run
 
 
+def shelves(held: np.ndarray, size: int) -> np.ndarray:
+    """The shelf of each part: consecutive parts share one while it holds at most ``size`` rows."""
+    out, shelf, rows = [], 0, 0
+    for n in held.tolist():
+        if rows and rows + n > size:
+            shelf, rows = shelf + 1, 0
+        rows += n
+        out.append(shelf)
+    return np.array(out, np.int32)
+
+
 def visits(order: np.ndarray, held: np.ndarray, probes: int, k: int) -> np.ndarray:
     """How many parts of its ``order`` each query visits: ``probes``, or more until they hold ``k`` rows besides itself."""
     short = (np.cumsum(held[order], axis=1) < k + 1).sum(axis=1) + 1
     return np.minimum(np.maximum(short, probes), order.shape[1])
 
 
-def _ask(shared, held: np.ndarray, k: int):
-    """Every query in each part it visits."""
+def _ask(shared, held: np.ndarray, shelf: np.ndarray, k: int):
+    """Every query once for each shelf that has parts it visits, with these parts."""
     def run(batches):
         for part in in_slices(batches, 2048):
             order = _order(shared.value, part.column(3))
             needed = visits(order, held, shared.value.probes, k)
-            for t in range(int(needed.max(initial=0))):
-                some = np.flatnonzero(needed > t)
+            wanted = np.zeros(order.shape, bool)
+            np.put_along_axis(wanted, order, np.arange(order.shape[1])[None, :] < needed[:, None], axis=1)
+            for s in range(int(shelf.max()) + 1):
+                inside = wanted & (shelf == s)[None, :]
+                some = np.flatnonzero(inside.any(axis=1))
+                who, parts = np.nonzero(inside[some])
+                offsets = np.searchsorted(who, np.arange(len(some) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.take(pa.array(some)).columns, pa.array(order[some, t].astype(np.int32))], _NAMES)
+                    [*part.take(pa.array(some)).columns, pa.array(np.full(len(some), s, np.int32)),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(parts.astype(np.int32)))], _NAMES)
 
     return run
 
@@ -187,23 +208,34 @@ def _best_of_block(k: int):
     def run(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
         row, vec_id, x = table.column("row").to_numpy(), table.column("vec_id").to_numpy(), matrix(table.column("raw"))
-        queries, rows = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out = []
-        if len(queries) and len(rows):
-            scores = x[queries] @ x[rows].T
-            scores[row[queries][:, None] == row[rows][None, :]] = -np.inf
-            n = min(k, len(rows))
-            floor = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
-            slack = NEAR_TIE * np.maximum(1.0, np.abs(np.where(np.isfinite(floor), floor, 0)))
-            q, c = np.nonzero((scores >= (floor - slack)[:, None]) & np.isfinite(scores))
-            exact = inner_products(x[queries[q]], x[rows[c]])
-            order = np.lexsort((vec_id[rows[c]], -exact, q))
-            q, c, exact = q[order], c[order], exact[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            q, c, exact = (v[place < k] for v in (q, c, exact))
-            out = [row[queries[q]], vec_id[queries[q]], vec_id[rows[c]], exact]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(v, t) for v, t in zip(out or [[]] * 4, kinds)], names=["row", "query_id", "vec_id", "score"])
+        parts = table.column("parts").combine_chunks()
+        who = np.repeat(np.arange(len(asks)), np.diff(parts.offsets.to_numpy()))
+        part = parts.flatten().to_numpy()
+        # the best so far: (query, candidate, score), at most k per query, and the least score that still counts
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        floor = np.full(len(asks), -np.inf)
+        for p in np.unique(part[~asks[who]]):
+            inside = who[part == p]
+            queries, rows = inside[asks[inside]], inside[~asks[inside]]
+            for at in range(0, len(rows) if len(queries) else 0, SLICE):
+                some = rows[at:at + SLICE]
+                scores = x[queries] @ x[some].T
+                scores[row[queries][:, None] == row[some][None, :]] = -np.inf
+                n = min(k, len(some))
+                least = np.maximum(floor[queries], -np.partition(-scores, n - 1, axis=1)[:, n - 1])
+                slack = NEAR_TIE * np.maximum(1.0, np.abs(np.where(np.isfinite(least), least, 0)))
+                q, c = np.nonzero((scores >= (least - slack)[:, None]) & np.isfinite(scores))
+                q, c = queries[q], some[c]
+                q, c, exact = (np.concatenate(v) for v in zip(best, (q, c, inner_products(x[q], x[c]))))
+                order = np.lexsort((vec_id[c], -exact, q))
+                q, c, exact = q[order], c[order], exact[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                best = q, c, exact = tuple(v[place < k] for v in (q, c, exact))
+                last = place[place < k] == k - 1
+                floor[q[last]] = exact[last]
+        q, c, exact = best
+        return pa.table([pa.array(row[q], pa.int64()), pa.array(vec_id[q], pa.int64()), pa.array(vec_id[c], pa.int64()),
+                         pa.array(exact, pa.float64())], names=["row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -230,15 +262,18 @@ def search(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     rows = vectors.select("row", "vec_id", F.lit(False).alias("asks"), "raw")
     placed = materialise(rows.mapInArrow(_place(shared), _PARTS), "ann-parts")
     held = np.zeros(router.parts, np.int64)
-    for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect():  # at most MOST_PARTS rows
+    for r in placed.groupBy(F.col("parts")[0].alias("part")).agg(F.count("*").alias("n")).collect():  # at most MOST_PARTS rows
         held[r["part"]] = r["n"]
+    shelf = shelves(held, ROW_BLOCK)
+    of_part = F.element_at(F.array(*[F.lit(int(s)) for s in shelf]), F.col("parts")[0] + 1)
+    placed = placed.withColumn("shelf", of_part)
     asking = rows.where(F.col("vec_id") % every == 0).withColumn("asks", F.lit(True))
-    routed = placed.union(materialise(asking.mapInArrow(_ask(shared, held, k), _PARTS), "ann-queries"))
-    # At most MOST_PARTS rows: the blocks that rows and queries of each part are cut into.
-    shape = routed.groupBy("part").agg(
+    routed = placed.union(materialise(asking.mapInArrow(_ask(shared, held, shelf, k), _PARTS), "ann-queries"))
+    # At most MOST_PARTS rows: the blocks that rows and queries of each shelf are cut into.
+    shape = routed.groupBy("shelf").agg(
         F.ceil(F.count_if(~F.col("asks")) / ROW_BLOCK).cast("int").alias("row_blocks"),
         F.ceil(F.count_if("asks") / QUERY_BLOCK).cast("int").alias("query_blocks"))
-    cut = routed.join(F.broadcast(shape), "part")
+    cut = routed.join(F.broadcast(shape), "shelf")
 
     def own(blocks):
         return F.array(F.pmod(F.xxhash64("row"), F.greatest(F.lit(1), blocks)).cast("int"))
@@ -248,7 +283,7 @@ def search(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     paired = (cut.withColumn("i", F.explode(F.when(F.col("asks"), each("row_blocks")).otherwise(own("row_blocks"))))
               .withColumn("j", F.explode(F.when(F.col("asks"), own("query_blocks")).otherwise(each("query_blocks")))))
-    found = paired.select("part", "i", "j", "row", "vec_id", "asks", "raw").groupBy("part", "i", "j").applyInArrow(
+    found = paired.select("shelf", "i", "j", "row", "vec_id", "asks", "raw", "parts").groupBy("shelf", "i", "j").applyInArrow(
         _best_of_block(k), "row long, query_id long, vec_id long, score double")
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from capshift.llm import ann, embedding_dedup, queries
 from tests.llm.conftest import table
@@ -154,3 +155,25 @@ def test_ties_and_defined_cases(make_vectors):
     assert sorted(map(tuple, got)) == sorted(plain_search(rows, 20, 20))
     assert ann.search(make_vectors([])).count() == 0
     assert [tuple(r)[:3] for r in ann.search(make_vectors(rows[:3])).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_shelves_and_blocks_do_not_change_the_answer(spark, make_vectors, monkeypatch):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 8))
+    rows = [(i, (centres[i % 12] + 0.3 * rng.normal(size=8)).tolist()) for i in range(3000)]
+    rows += [(i, rows[0][1]) for i in range(3000, 3400)]  # a hot part of copies
+    whole = ann.search(make_vectors(rows), every=20, k=20).collect()
+    monkeypatch.setattr(ann, "ROW_BLOCK", 150)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
+    assert sorted(ann.search(make_vectors(rows), every=20, k=20).collect()) == sorted(whole)
+    assert ann.shelves(np.array([100, 20, 30, 100, 0, 5]), 150).tolist() == [0, 0, 0, 1, 1, 1]
+
+
+def test_vectors_with_clashing_columns(spark, make_vectors):
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    plain = make_vectors(rows)
+    clash = plain.select("vec_id", "embedding", *[F.lit("x").alias(n) for n in (
+        "row", "raw", "dim", "part", "parts", "shelf", "asks", "score", "rank", "node", "component", "weight", "digest", "key", "n_links")])
+    assert sorted(ann.search(clash, every=20, k=5).collect()) == sorted(ann.search(plain, every=20, k=5).collect())
+    assert sorted(embedding_dedup.near_duplicate_vectors(clash).collect()) == sorted(embedding_dedup.near_duplicate_vectors(plain).collect())
