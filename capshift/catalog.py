@@ -8,7 +8,9 @@ checkpoint folder and return the sink read back as a table.
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,8 @@ from capshift.operators import lineage, peaks, policy, replay, state
 from capshift.plans import workplan
 from capshift.plans.balance import BalanceRun, Inventory
 from capshift.sources.events import in_lookback, parse_events, with_metrics
-from capshift.sources.fixtures import HEADROOM, MOVE_T, RECOVER_R, Fixture
+from capshift.sources import tables
+from capshift.sources.fixtures import HEADROOM, MOVE_T, RECOVER_R, TARGET_NATION, Fixture
 from capshift.session import scratch_path
 from capshift.streaming import balance as stream_balance
 from capshift.streaming import hysteresis as stream_hyst
@@ -62,6 +65,18 @@ def q_capacity_peak(spark, sf_dir):
     return fixture_run(spark, sf_dir).peak_plan
 
 
+def q_capacity_peak_interactive(spark, sf_dir):
+    fx = Fixture(spark, sf_dir)
+    params = dataclasses.replace(fx.params, metric="interactive_share")
+    return peaks.capacity_peak(parse_events(fx.capacity_events), params)
+
+
+def q_capacity_peak_named(spark, sf_dir):
+    """The peaks of the two fixture targets' capacities alone."""
+    fx = Fixture(spark, sf_dir)
+    return peaks.capacity_peak(parse_events(fx.capacity_events), fx.params, [str(n) for n in TARGET_NATION.values()])
+
+
 def q_rolling_peak(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
     return peaks.rolling_peak(parse_events(fx.capacity_events), fx.params.lookback)
@@ -147,6 +162,25 @@ def q_alerts(spark, sf_dir):
     return fixture_run(spark, sf_dir, "P2").alerts
 
 
+def q_alerts_csv(spark, sf_dir):
+    """K6: the alerts written as CSV and read back."""
+    path = scratch_path(spark, "alerts-csv")
+    tables.write_alerts_csv(fixture_run(spark, sf_dir, "P2").alerts, path)
+    return tables.read_alerts_csv(spark, path)
+
+
+def q_state_table(spark, sf_dir):
+    """The catalog's state table holds the state before a run and after its recoveries; the newest is read."""
+    run = fixture_run(spark, sf_dir)
+    database, root = f"capshift_{uuid.uuid4().hex}", scratch_path(spark, "state-table")
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{root}'")
+    name = f"{database}.report_repoints"
+    tables.ensure_tables(spark, database, root)
+    for run_id, rows in (("20240115", run.state), ("20240122", state.repoint_delete(run.state, run.recovered))):
+        tables.write_run_partition(rows, name, run_id)
+    return tables.latest_snapshot(spark, name)
+
+
 def q_decision_log(spark, sf_dir):
     return fixture_run(spark, sf_dir).log
 
@@ -244,6 +278,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "utilization": q_utilization,
     "interactive_share": q_interactive_share,
     "capacity_peak": q_capacity_peak,
+    "capacity_peak_interactive": q_capacity_peak_interactive,
+    "capacity_peak_named": q_capacity_peak_named,
     "rolling_peak": q_rolling_peak,
     "watched_reports": q_watched_reports,
     "normalized_ids": q_normalized_ids,
@@ -263,6 +299,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "repoint_upsert": q_repoint_upsert,
     "repoint_delete": q_repoint_delete,
     "alerts": q_alerts,
+    "alerts_csv": q_alerts_csv,
+    "state_table": q_state_table,
     "decision_log": q_decision_log,
     "action_table": q_action_table,
     "workspace_plan": q_workspace_plan,

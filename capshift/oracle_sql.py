@@ -259,6 +259,12 @@ FROM recent"""),
     "utilization": _q("SELECT time, capacity_id, utilization FROM evm"),
     "interactive_share": _q("SELECT time, capacity_id, interactive_share FROM evm"),
     "capacity_peak": _q("SELECT capacity_id, peak_utilization, n_events, n_unmeasured FROM peaks"),
+    "capacity_peak_interactive": _q("""
+SELECT capacity_id, greatest(coalesce(max(interactive_share), 0.0), 0.0) AS peak_utilization, count(*) AS n_events,
+       count(*) FILTER (WHERE interactive_share IS NULL) AS n_unmeasured
+FROM recent WHERE capacity_id IS NOT NULL GROUP BY capacity_id"""),
+    "capacity_peak_named": _q("""
+SELECT capacity_id, peak_utilization, n_events, n_unmeasured FROM peaks WHERE capacity_id IN ('0', '2')"""),
     "rolling_peak": _q(f"""
 SELECT capacity_id, time, utilization,
        greatest(coalesce(max(utilization) OVER (PARTITION BY capacity_id ORDER BY time
@@ -342,6 +348,14 @@ SELECT 'Target workspace ' || coalesce(target_workspace_id, 'unknown') || ' is o
          || coalesce(target_capacity_id, 'unknown') || ' - consider another target' AS alert,
        {AS_OF} AS timestamp, target_peak AS operation, policy_id
 FROM gate WHERE overloaded AND n_remaining > 0""", "P2"),
+    "alerts_csv": _q(f"""
+SELECT 'Target workspace ' || coalesce(target_workspace_id, 'unknown') || ' is on overloaded capacity '
+         || coalesce(target_capacity_id, 'unknown') || ' - consider another target' AS alert,
+       {AS_OF} AS timestamp, target_peak AS operation
+FROM gate WHERE overloaded AND n_remaining > 0""", "P2"),
+    "state_table": _q("""
+SELECT initial_dataset_id, report_workspace_id, report_id, target_dataset_id, target_workspace_id, created_at
+FROM state WHERE report_id NOT IN (SELECT report_id FROM rec)"""),
     "decision_log": _q(f"""
 SELECT {AS_OF} AS timestamp, 'fixture-P1' AS run_id, kind, policy_id, report_id, capacity_id, value, message
 FROM (

@@ -49,3 +49,20 @@ def test_rolling_peak_never_partitions_by_capacity_alone(spark):
     keys = [part.split(")")[0] for part in plan.split("hashpartitioning(")[1:]]
     # every shuffle of raw events is keyed by capacity plus a time slice (or the probe time)
     assert keys and all(k.startswith("capacity_id") and "," in k for k in keys), keys
+
+
+def test_payload_is_parsed_once(spark):
+    """A filter on a parsed field stays above the parse, the look-back goes below it."""
+    plan = fixture_run(spark, SF).peak_plan._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_large_side_is_joined_by_shuffle_but_for_hot_keys(spark, how):
+    from capshift.operators.joins import join_small
+    big = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(5000)], "k int, i int")
+    small = spark.createDataFrame([(k, f"v{k}") for k in range(0, 5000, 2)], "k int, v string")
+    want = sorted(big.join(small, "k", how).select("k", "i", "v").collect(), key=str)
+    split = join_small(big, small, "k", how, max_rows=100)
+    assert sorted(split.select("k", "i", "v").collect(), key=str) == want
+    assert "left_anti" in split._jdf.queryExecution().toString().lower().replace("leftanti", "left_anti")
