@@ -5,16 +5,20 @@ tokens, signed web tokens, private keys from header to END line, long random-loo
 strings) in each whole text. A private key's value is its whole body without white
 space. Every candidate value is hashed; the hashes are counted over the corpus by
 the distinct documents ("repositories") and distinct sources ("owners") they occur
-in. A value of ``WIDE`` owners or more is a copied example; a random-looking value of
-fewer owners looks live. Further candidates become spans only when they look live;
-base spans always stay.
+in. Both decide what a copied example is: a value of ``WIDE`` owners or more, or one of
+two owners that stands in ``MANY`` documents or more. A value of one owner never is, in
+however many documents it stands: one owner's live credential may be all over its own
+files. A random-looking value that is no example looks live. Further candidates become
+spans only when they look live; base spans always stay.
 
-Counts combine before the shuffle: values are first reduced per document, then per
-(value, owner), then per value, so a value held by a third of all rows is a few
-partial rows of each task.
+Values are counted per (value, owner, document), then per (value, owner), then per
+value, each combined before its shuffle; what is known of a value that holds a
+thousandth of all spans or more goes back to them by broadcast, so the spans of a value
+that a third of all rows hold never meet in one task.
 
 Defined cases: a null or empty text has no spans; a null source counts as the owner
-''; rows that repeat a doc_id or a text are separate rows. Spans of the same place
+''; rows that repeat a doc_id are separate rows of one document, rows without one are
+documents of their own. Spans of the same place
 and different kinds all stay. Extra columns are ignored, whatever their names.
 """
 
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capshift.llm.common import in_slices, materialise, texts
+from capshift.llm.common import in_slices, join_groups, materialise, texts
 
 # Fixed values of the contract: the base kinds, in their order, and their patterns.
 KINDS = ["assign", "access", "hex"]
@@ -52,6 +56,7 @@ BODY = re.compile(rf"(?:\s*[A-Z][A-Za-z-]+:\x20[^\n]*\n)*+(?:{BREAK}*+[A-Za-z0-9
 LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}")
 ENTROPY = 3.5  # bits a character
 WIDE = 3  # owners
+MANY = 20  # documents of two owners
 SPAN = "array<struct<kind:int,start:int,end:int,value:binary,random:boolean>>"
 
 
@@ -119,28 +124,40 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(value, owners, repositories) over all candidates of ``found`` (owner, found)."""
-    held = found.select("owner", F.explode(F.array_distinct(F.transform("found", lambda s: s["value"]))).alias("value"))
-    return (held.groupBy("value", "owner").agg(F.count("*").alias("n"))
-            .groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories")))
+    """(value, owners, repositories, n) over all candidates of ``found`` (row, doc_id, owner, found).
+
+    Distinct owners and distinct documents that hold the value, and its spans. A
+    document's rows count once; a row without an id is a document of its own.
+    """
+    repository = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))
+    held = found.select("owner", repository.alias("repository"), F.explode("found").alias("s"))
+    return (held.groupBy(F.col("s.value").alias("value"), "owner", "repository").agg(F.count("*").alias("n"))
+            .groupBy("value", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+            .groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n")))
+
+
+def widely_copied(owners, repositories):
+    """Whether a value of so many distinct owners and documents is an example that people copy."""
+    return (owners >= WIDE) | ((owners > 1) & (repositories >= MANY))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): spans are structs (kind, start, end, live, owners), base kinds and live-looking others."""
+    """(doc_id, spans): spans are structs (kind, start, end, live, owners, copied), base kinds and live-looking others."""
     rows = materialise(scan(docs).withColumn("row", F.monotonically_increasing_id()), "secret-scan")
-    held = rows.where(F.size("found") > 0).select("row", "owner", "found")
+    held = rows.where(F.size("found") > 0).select("row", "doc_id", "owner", "found")
     each = held.select("row", F.explode("found").alias("s")).select("row", "s.*")
-    judged = each.join(ownership(held), "value").withColumn("live", F.col("random") & (F.col("owners") < WIDE))
+    owned = materialise(ownership(held).withColumn("copied", widely_copied(F.col("owners"), F.col("repositories"))), "secret-owners")
+    judged = join_groups(each, owned, "value", "n", each.count(), "inner").withColumn("live", F.col("random") & ~F.col("copied"))
     judged = judged.where((F.col("kind") < len(KINDS)) | F.col("live"))
     spans = judged.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live", "owners"))).alias("spans"))
+        F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live", "owners", "copied"))).alias("spans"))
     return rows.select("row", "doc_id").join(spans, "row", "left").select("doc_id", "spans")
 
 
 def report(secrets: DataFrame) -> DataFrame:
     """The digest columns of ``find_secrets``."""
     names = F.array(*[F.lit(k) for k in KINDS + MORE])
-    spans = F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,owners:bigint>>"))
+    spans = F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,owners:bigint,copied:boolean>>"))
     base = F.filter(spans, lambda s: s["kind"] < len(KINDS))
 
     def text(of):
@@ -156,4 +173,4 @@ def report(secrets: DataFrame) -> DataFrame:
         "doc_id", *[count(base, of_kind(k)).alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(spans).alias("spans"),
         count(spans, lambda s: s["live"]).alias("n_live"),
-        count(spans, lambda s: s["owners"] >= WIDE).alias("n_copied"))
+        count(spans, lambda s: s["copied"]).alias("n_copied"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -53,6 +54,30 @@ def test_ownership_separates_copied_examples(spark, make_docs):
     assert spans[9] == f"service:5:{5 + len(live)}" and all(spans[i] == "" for i in range(4))
 
 
+def test_owners_and_repositories_both_decide(spark, make_docs):
+    """Brute force over distinct owners and documents; a hot value of one owner, one of two, repeated rows, null ids."""
+    def token(k):
+        return "ghp_" + hashlib.md5(str(k).encode()).hexdigest()[:24] + "Zz9"
+
+    rows = [(i, f"x {token('one')} y", "own", 1000) for i in range(1000)]
+    rows += [(2000 + i, f"x {token('two')} y {token('two')}", f"o{i % 2}", 0) for i in range(1000)]
+    rows += [(4000 + i, f"x {token('few')} y", f"o{i % 2}", 0) for i in range(19)]
+    rows += [(4000, f"x {token('few')} y", "o0", 0)] * 5 + [(5000 + i, f"x {token('edge')} y", f"o{i % 2}", 0) for i in range(20)]
+    rows += [(None, f"x {token('null')} y", f"o{i % 2}", 0) for i in range(20)]
+    rows += [(6000 + i, f"x {token(i % 7)} y", f"p{i % (2 + i % 7)}", 0) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", s, n) for i, t, s, n in rows], make_docs([]).schema)
+    owners, repositories = defaultdict(set), defaultdict(set)
+    for at, (i, t, s, _) in enumerate(rows):
+        owners[t.split()[1]].add(s)
+        repositories[t.split()[1]].add(i if i is not None else f"row {at}")
+    live = {t for t in owners if not (len(owners[t]) >= 3 or (len(owners[t]) == 2 and len(repositories[t]) >= 20))}
+    assert token("one") in live and token("few") in live and not live & {token("two"), token("edge"), token("null")}
+    want = Counter((i, ",".join(f"service:{m.start()}:{m.end()}" for m in re.finditer("ghp_[a-zA-Z0-9]+", t)) if t.split()[1] in live else "")
+                   for i, t, _, _ in rows)
+    got = secret_scan.report(secret_scan.find_secrets(docs)).collect()
+    assert Counter((r.doc_id, ",".join(s for s in r.spans.split(",") if s.startswith("service"))) for r in got) == want
+
+
 def test_private_keys_are_told_apart_by_their_whole_body(spark, make_docs):
     head = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW"
     lines = [[head, "QyNTUxOQAAACB" + hashlib.sha256(str(i).encode()).hexdigest()[:57], "AAAEBk" + "QRSTUVWX"[i] * 20 + "=="] for i in range(8)]
