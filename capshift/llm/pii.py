@@ -187,12 +187,15 @@ def _count_pairs(batches):
 
 
 def _occurrences(batches):
-    """(row, entity, term, start, end): every term outside base spans with every entity of its document."""
-    names = ["row", "entity", "term", "start", "end"]
-    types = [pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.int32()]
+    """(row, terms): where the wanted terms of a document stand outside its base spans."""
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     for part in in_slices(batches, 64):
-        out = [(row, entity, *t) for row, held, found in _each_document(part) for t in list(found) for entity in held]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
+        marked = []
+        for text, base, wanted in zip(*(part.column(i).to_pylist() for i in range(1, 4))):
+            wanted = set(wanted)
+            spans = terms_outside(text, [(s["start"], s["end"]) for s in base])
+            marked.append([{"kind": len(KINDS), "start": a, "end": b} for t, a, b in spans if t in wanted])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marked, kind)], ["row", "terms"])
 
 
 def _with_copies(docs: DataFrame, repeated: DataFrame):
@@ -274,11 +277,13 @@ def disclosing_terms(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def _added(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(row, terms): the spans of disclosing terms; rows: (row, text, base, entities, digest)."""
     flagged = materialise(disclosing_terms(docs, rows), "pii-flagged")
-    each = _documents_of(rows.where(F.size("entities") > 0), flagged.select("entity").distinct()).mapInArrow(
-        _occurrences, "row long, entity binary, term string, start int, end int")
-    hit = each.join(broadcast_if_small(flagged, BROADCAST_ROWS), ["entity", "term"]).select(
-        "row", F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end").alias("s")).distinct()
-    return hit.groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("terms"))
+    # A document gets the terms that its own entities flag, and only these are looked for in it.
+    holds = rows.select("row", F.explode("entities").alias("entity"))
+    own = holds.join(broadcast_if_small(flagged, BROADCAST_ROWS), "entity").groupBy("row").agg(F.collect_set("term").alias("wanted"))
+    own = materialise(own, "pii-wanted")
+    found = rows.select("row", "text", "base").join(broadcast_if_small(own, BROADCAST_ROWS), "row").select(
+        "row", "text", "base", "wanted").mapInArrow(_occurrences, f"row long, terms {SPANS}")
+    return found.where(F.size("terms") > 0).withColumn("terms", F.sort_array("terms"))
 
 
 def _spans():
