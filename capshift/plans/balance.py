@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from capshift.operators import decide, lineage, peaks, state, targets
@@ -62,6 +62,7 @@ class BalanceRun:
         self.params = params
         self.strict = strict
         self.checks: dict[str, int] = {}
+        self._kept: list[str] = []
         self._observed = Observation(f"tick of {params.run_id}")
         self.materialize = materialize
         self._given = {"policies": policies, "watched": watched, "state": state_df,
@@ -102,9 +103,18 @@ class BalanceRun:
         if not self.materialize:
             return df
         path = scratch_path(df.sparkSession, f"run-{self.params.run_id}/{name}")
+        self._kept.append(path)
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.parquet(path)
 
+    def release(self) -> None:
+        """Delete the tables that the run kept for itself; its outputs are no longer read from it afterwards."""
+        spark = SparkSession.getActiveSession()
+        for path in self._kept:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        self._kept.clear()
+
     # -- measurements -----------------------------------------------------------
     @cached_property
     def parsed_events(self) -> DataFrame:

@@ -79,7 +79,10 @@ class RunStore:
         return keyed.join(F.broadcast(known), "_name").drop("_name").withColumnsRenamed({"number": "run_number", "_run": "run_id"})
 
     def publish(self, run) -> dict:
-        """Write all outputs of a ``BalanceRun`` and publish them; a run already published is left as it is."""
+        """Write all outputs of a ``BalanceRun`` and publish them; a run already published is left as it is.
+
+        What the run kept in the scratch folder for itself is deleted once it is published.
+        """
         done = self.find(run.params.run_id)
         if done is not None:
             return done
@@ -88,6 +91,7 @@ class RunStore:
         tables = run.write(self.root)
         record = {"number": number, "run_id": run.params.run_id, "as_of": run.params.as_of.isoformat(), "tables": tables}
         self._place(f"{number:012d}.json", json.dumps(record))
+        run.release()
         return self.find(run.params.run_id)
 
     def _place(self, name: str, text: str) -> None:

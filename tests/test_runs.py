@@ -82,6 +82,7 @@ def test_a_number_that_is_taken_fails_the_run(spark, tmp_dir):
     run = build(spark, events=[event("A", 0.9)], workspaces=WORKSPACES, datasets=DATASETS, reports=REPORT_HOME,
                 watched=[("P", "r1")], materialize=True)
     store.publish(run)
+    assert run._kept == [] and store.table("decisions").count() == 1  # its scratch tables are gone, its outputs are not
     with pytest.raises(RuntimeError, match="taken"):
         store._place("000000000001.json", "{}")
     assert store.commits().count() == 1
