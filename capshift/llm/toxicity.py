@@ -9,7 +9,8 @@ shares the n-gram vectors of the words it resembles.
 The trainer collects at most about 2 x ``PER_CLASS`` labelled texts. The model is a
 fixed ``BUCKETS`` x ``DIM`` table whatever the input. Since mean and softmax margin are
 linear, scoring needs one number per word; a task keeps those of recent words and a
-text costs one look-up a word.
+text costs one look-up a word. A word of megabytes (a text without spaces) is summed
+over stretches of it.
 
 Defined cases: null and empty texts have no words and score the softmax's bias alone;
 a very long text is scored whole; rows that repeat are scored alike. With no usable
@@ -36,6 +37,7 @@ THRESHOLD = 0.7
 LEAST_SHARE, LEAST_MOST = 1 / 200, 20  # documents of the sample a word must occur in to be trained
 CALM = 20  # words without a say in every mean, so that a few words alone decide little
 KEPT_WORDS = 100_000
+CHUNK = 1 << 20  # characters of words hashed at once
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,9 +46,17 @@ def words_of(text: str) -> list[str]:
     return sorted(set(text.lower().split()))
 
 
+def _bytes_of(word: str) -> bytes:
+    return b"<" + word.strip(".,;:!?\"'()").encode("utf-8", "surrogatepass") + b">"
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of every subword, number of subwords per word), words in order."""
-    raw = [b"<" + w.strip(".,;:!?\"'()").encode("utf-8", "surrogatepass") + b">" for w in words]
+    raw = [_bytes_of(w) for w in words]
     length = np.array([len(b) for b in raw])
     end = np.cumsum(length)
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
@@ -54,7 +64,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     left = end[word] - np.arange(len(data))  # bytes from here to the word's end
     owner, bucket = [], []
     rolled = np.zeros(len(data), np.uint64)
-    for n in range(1, max(NGRAMS) + 1):
+    for n in range(1, min(max(NGRAMS), len(data)) + 1):
         rolled[:len(data) - n + 1] = mix(rolled[:len(data) - n + 1] ^ data[n - 1:]) * _MULTIPLY
         if n in NGRAMS:
             at = np.flatnonzero(left >= n)
@@ -67,7 +77,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     bucket.append(mix(total[end] - total[end - length]))
     owner, bucket = np.concatenate(owner), np.concatenate(bucket)
     order = np.argsort(owner, kind="stable")
-    return (mix(bucket[order]) & np.uint64(BUCKETS - 1)).astype(np.int64), np.bincount(owner, minlength=len(raw))
+    return _bucket(bucket[order]), np.bincount(owner, minlength=len(raw))
 
 
 class Model:
@@ -77,12 +87,45 @@ class Model:
         self.margin, self.bias = margin.astype(np.float32), float(bias)
 
     def word_margins(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
+        """Mean margin of every word's subwords; long words one by one, the others some megabytes at a time."""
+        out, some, held = np.zeros(len(words)), [], 0
+        for i, w in enumerate(words):
+            if len(w) > CHUNK:
+                out[i] = self._long_word(w)
+                continue
+            some.append(i)
+            held += len(w)
+            if held >= CHUNK:
+                out[some] = self._short_words([words[j] for j in some])
+                some, held = [], 0
+        if some:
+            out[some] = self._short_words([words[j] for j in some])
+        return out
+
+    def _short_words(self, words: list[str]) -> np.ndarray:
         bucket, count = subwords(words)
         starts = np.concatenate(([0], np.cumsum(count)[:-1]))
         return np.add.reduceat(self.margin[bucket].astype(np.float64), starts) / count
 
+    def _long_word(self, word: str) -> float:
+        """A word's mean margin from running sums over stretches of it."""
+        data = np.frombuffer(_bytes_of(word), np.uint8)
+        total, count, whole = 0.0, 0, np.uint64(0)
+        for at in range(0, len(data), CHUNK):
+            part = data[at:at + CHUNK + max(NGRAMS) - 1].astype(np.uint64)
+            own = min(CHUNK, len(data) - at)
+            rolled = np.zeros(len(part), np.uint64)
+            for n in range(1, min(max(NGRAMS), len(part)) + 1):
+                rolled[:len(part) - n + 1] = mix(rolled[:len(part) - n + 1] ^ part[n - 1:]) * _MULTIPLY
+                if n in NGRAMS:
+                    starts = rolled[:max(0, min(own, len(part) - n + 1))]
+                    total += float(self.margin[_bucket(starts + np.uint64(n))].sum(dtype=np.float64))
+                    count += len(starts)
+            place = np.arange(at, at + own).astype(np.uint64)
+            whole += mix(part[:own] + place * np.uint64(257) + np.uint64(1)).sum(dtype=np.uint64)
+        last = self.margin[_bucket(mix(np.array([whole], np.uint64)))][0]
+        return (total + float(last)) / (count + 1)
+
     def probability(self, mean_margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(SCALE * mean_margin + self.bias, -500, 500)))
 

@@ -63,3 +63,23 @@ def test_labels_are_never_inputs(spark):
     one = toxicity.score(docs, model).toPandas().sort_values("doc_id").score.to_numpy()
     other = docs.selectExpr("doc_id + 0 as doc_id", "text", "'zz' as lang", "'q' as source", "n_chars")
     assert np.array_equal(one, toxicity.score(other, model).toPandas().sort_values("doc_id").score.to_numpy())
+
+
+def test_long_words_are_summed_in_stretches(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), 0.1)
+    words = ["a", "", "word", "ünï", "x" * 97, "".join(rng.choice(list("abcé中"), 501)), "y" * 16]
+    whole = model.word_margins(words)
+    for chunk in (1, 7, 100, 500):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        assert np.allclose(model.word_margins(words), whole, atol=1e-5)
+
+
+def test_a_text_of_one_word_of_50_megabytes(make_docs):
+    import resource
+
+    text = "héllo" * 10_000_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    scorer = toxicity.Scorer(toxicity.Model(np.ones(toxicity.BUCKETS), 0.0))
+    assert 0 <= scorer([text])[0] <= 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # kilobytes
