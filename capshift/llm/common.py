@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,18 +15,21 @@ from pyspark.sql import functions as F
 from capshift.session import scratch_path
 
 
-_scopes: list[list[str]] = []
+# The scopes around the code that runs; each thread has its own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scratch_scopes", default=())
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession):
     """Tables written inside are deleted at the end, but those written with ``keep`` (they pass to the scope around)."""
-    _scopes.append([])
+    written: list[str] = []
+    token = _scopes.set((*_scopes.get(), written))
     try:
         yield
     finally:
+        _scopes.reset(token)
         context = spark.sparkContext
-        for path in _scopes.pop():
+        for path in written:
             folder = context._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -37,9 +41,10 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     neither the table nor a recomputation of what lies before it.
     """
     path = scratch_path(df.sparkSession, name)
-    at = len(_scopes) - 1 - keep
+    scopes = _scopes.get()
+    at = len(scopes) - 1 - keep
     if at >= 0:
-        _scopes[at].append(path)
+        scopes[at].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capshift.llm.common import join_groups, materialise
+
 # Fixed values of the query: (rule, verdict).
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 LIMIT, Z = 0.5, 1.64
@@ -59,12 +61,15 @@ def _strength(level: DataFrame) -> float:
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(host, bound) for every host of ``pages`` (page_id, host); outcomes: (page_id, bad)."""
+    """(host, bound, pages) for every host of ``pages`` (page_id, host), a written table; outcomes: (page_id, bad).
+
+    Pages are counted by host once; all levels are summed from that table.
+    """
     once = outcomes.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("bad").cast("long").alias("bad"))
     hosts = (pages.join(once, "page_id", "left").groupBy("host")
-             .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
-    hosts = (hosts.withColumn("suffix", F.substring_index("host", ".", -1))
-             .withColumn("domain", F.substring_index("host", ".", -2)))
+             .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count(F.lit(1)).alias("pages")))
+    hosts = materialise(hosts.withColumn("suffix", F.substring_index("host", ".", -1))
+                        .withColumn("domain", F.substring_index("host", ".", -2)), "url-hosts")
     counted = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     total = hosts.agg(*counted).first()
     whole = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1)
@@ -79,7 +84,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     k = F.lit(_strength(level))
     a, b = F.col("bad") + k * F.col("prior"), F.col("n") - F.col("bad") + k * (1 - F.col("prior"))
     spread = F.sqrt(a * b / (F.pow(a + b, F.lit(2.0)) * (a + b + 1)))
-    return level.select("host", (a / (a + b) - Z * spread).alias("bound"))
+    return materialise(level.select("host", (a / (a + b) - Z * spread).alias("bound"), "pages"), "url-bounds")
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -89,7 +94,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, st
     rule, verdict = matching_rule(rules)
     bound = host_reputation(parted, outcomes)
     own = F.when(F.col("bound") > LIMIT, "block").otherwise("allow")
-    return parted.join(bound, "host", "left").select(
+    total = bound.agg(F.sum("pages").alias("n")).first()["n"] or 0
+    return join_groups(parted, bound, "host", "pages", total).select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
 
 
