@@ -21,7 +21,7 @@ Steps, all on Spark:
    outside the cluster's largest component is compared with every member of another
    component, block pair by block pair, on the full sets. Only links leave a task.
    No bucket, partner or candidate is capped, and a group of any size is spread over
-   tasks of about ``BLOCK`` times ``BLOCK`` members.
+   tasks of about ``BLOCK_SHINGLES`` shingles on either side, compared slice by slice.
 
 The one loss is MinHash's own: a pair at exactly 0.8 shares no band with
 probability (1 - 0.8**6)**40 = 5e-6.
@@ -48,7 +48,7 @@ from capshift.llm.hashing import mix, shingle_set, word_hashes
 
 BINS, ROWS = 240, 6
 BANDS = BINS // ROWS
-BLOCK = 200
+BLOCK_SHINGLES, SLICE = 1_500_000, 200  # of a task's either side; members compared at once
 COLUMNS = 4096
 
 _ORDER = np.argsort(np.random.default_rng(9).random((BINS, BINS)), axis=1).argsort(axis=1).astype(np.int16)
@@ -183,17 +183,26 @@ def _compare_blocks(percent: int):
         outside = table.column("outside").to_numpy(zero_copy_only=False)
         asks = table.column("asks").to_numpy(zero_copy_only=False)
         sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("shingles").combine_chunks()]
-        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-        if not len(left) or not len(right):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         size = np.array([len(x) for x in sets])
-        shared = _intersections(sets, left, right)
-        union = size[left][:, None] + size[right][None, :] - shared
-        # A pair of two outside members meets in two block pairs: the smaller node asks.
-        linked = ((100 * shared >= percent * union) & (component[left][:, None] != component[right][None, :])
-                  & (~outside[right][None, :] | (node[left][:, None] < node[right][None, :])))
-        x, y = np.nonzero(linked)
-        return pa.table({"a": node[left][x], "b": node[right][y]})
+        by_size = np.argsort(size, kind="stable")
+        left, right = by_size[asks[by_size]], by_size[~asks[by_size]]
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(left), SLICE):
+            for j in range(0, len(right), SLICE):
+                l, r = left[i:i + SLICE], right[j:j + SLICE]
+                # sizes rise: slices too far apart in size hold no link
+                if 100 * size[l[-1]] < percent * size[r[0]] or 100 * size[r[-1]] < percent * size[l[0]]:
+                    continue
+                both = [sets[k] for k in (*l, *r)]
+                shared = _intersections(both, np.arange(len(l)), np.arange(len(l), len(both)))
+                union = size[l][:, None] + size[r][None, :] - shared
+                # A pair of two outside members meets in two block pairs: the smaller node asks.
+                linked = ((100 * shared >= percent * union) & (component[l][:, None] != component[r][None, :])
+                          & (~outside[r][None, :] | (node[l][:, None] < node[r][None, :])))
+                x, y = np.nonzero(linked)
+                found_a.append(node[l][x])
+                found_b.append(node[r][y])
+        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
 
     return compare
 
@@ -204,13 +213,28 @@ def _cluster_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     hub = mixed.groupBy("key").agg(F.min("component").alias("b"))
     edges = mixed.select("key", F.col("component").alias("a")).distinct().join(hub, "key").where("a <> b")
     clusters = broadcast_if_small(connected_components(edges.select("a", "b").distinct()))
-    members = mixed.select("node", "component").distinct().join(
+    members = mixed.select("node", "component", "size").distinct().join(
         clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component")
-    parts = members.groupBy("cluster", F.col("component").alias("main")).agg(F.count("*").alias("n"))
-    shape = parts.groupBy("cluster").agg(F.max_by("main", F.struct("n", "main")).alias("main"),
-                                         F.sum("n").alias("all"), F.max("n").alias("inside"))
-    shape = shape.select("cluster", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("all_blocks"),
-                         F.ceil((F.col("all") - F.col("inside")) / BLOCK).cast("int").alias("ask_blocks"))
+    return (_paired_blocks(members).join(sets, "node").groupBy("cluster", "i", "j")
+            .applyInArrow(_compare_blocks(percent), "a long, b long"))
+
+
+def _paired_blocks(members: DataFrame) -> DataFrame:
+    """The members (node, component, size, cluster) dealt to block pairs (cluster, i, j).
+
+    Members outside a cluster's largest component ask, all are asked. A block holds about
+    ``BLOCK_SHINGLES`` shingles, so a member is copied once per so many of the other side's.
+    """
+    parts = members.groupBy("cluster", F.col("component").alias("main")).agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    largest = F.struct("n", "main")
+    shape = parts.groupBy("cluster").agg(F.max_by("main", largest).alias("main"), F.max_by("s", largest).alias("inside"),
+                                         F.sum("s").alias("all"))
+
+    def blocks(shingles):
+        return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    shape = shape.select("cluster", "main", blocks(F.col("all")).alias("all_blocks"),
+                         blocks(F.col("all") - F.col("inside")).alias("ask_blocks"))
     members = materialise(members.join(shape, "cluster").withColumn("outside", F.col("component") != F.col("main")),
                           "near-clusters")
 
@@ -224,8 +248,7 @@ def _cluster_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                                              own("ask_blocks").alias("i"), spread("all_blocks").alias("j"))
     asked = members.select("cluster", "node", "component", "outside", F.lit(False).alias("asks"),
                            spread("ask_blocks").alias("i"), own("all_blocks").alias("j"))
-    return (asking.unionByName(asked).join(sets, "node").groupBy("cluster", "i", "j")
-            .applyInArrow(_compare_blocks(percent), "a long, b long"))
+    return asking.unionByName(asked)
 
 
 def confirmed_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -241,7 +264,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, width: int, percent: in
 
     edges = _star_edges(rows.join(broadcast_if_small(support), "node"), percent)
     links = materialise(_confirm(edges, sets, percent), "near-links")
-    rows = _relabel(rows.select("key", "node"), links)
+    rows = _relabel(rows.select("key", "node", "size"), links)
     spread = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = materialise(rows.join(spread.where("lo < hi").select("key"), "key"), "near-mixed")
     if mixed.isEmpty():

@@ -96,3 +96,24 @@ def test_one_of_each_group_stays(make_docs, odd_rows):
 def test_components(spark, edges, want):
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in got} == want
+
+
+def test_a_family_of_near_misses_is_not_copied_per_member(spark):
+    """Rows sent to comparisons grow as the members times the few blocks of a cluster, not as their square."""
+    for n in (1000, 20_000):
+        members = spark.range(n).selectExpr("id as node", "id as component", "200L as size", "0L as cluster")
+        rows = minhash_dedup._paired_blocks(members).count()
+        blocks = -(-n * 200 // minhash_dedup.BLOCK_SHINGLES)
+        assert rows <= 2 * n * blocks and blocks <= 3
+
+
+def test_near_misses_in_small_slices(spark, make_docs):
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 2, 6, 9])):
+            words[at] = f"x{rng.randrange(50)}"
+        rows.append((i, " ".join(words[:rng.choice([60, 60, 45])])))
+    compare(spark, make_docs, rows, 1)
