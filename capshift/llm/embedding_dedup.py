@@ -42,7 +42,7 @@ from capshift.llm.vectors import matrix, unit, usable
 
 BITS, WINDOW = 48, 256
 MISS = 1e-3  # share of lone pairs at the threshold that may stay unfound
-BLOCK = 400
+BLOCK_BYTES, SLICE = 1 << 24, 1024  # vectors of a task's either side; rows compared at once
 
 
 def passes_for(rows: int, least: float) -> int:
@@ -186,37 +186,47 @@ def _count_links(least: float):
         row, component, block, weight = (table.column(c).to_numpy() for c in ("row", "component", "block", "weight"))
         x = unit(matrix(table.column("raw")))
         i, j = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        near = (x[left] @ x[right].T >= least) & (component[left][:, None] == component[right][None, :])
-        near &= row[left][:, None] != row[right][None, :]
-        rows, links = [row[left]], [near @ weight[right]]
-        if i != j:
-            rows.append(row[right])
-            links.append(weight[left] @ near)
-        return pa.table({"row": np.concatenate(rows), "links": np.concatenate(links).astype(np.int64)})
+        # by component, so that slices of different components are passed over
+        order = np.lexsort((row, component))
+        left, right = order[block[order] == i], order[block[order] == j]
+        links = np.zeros(len(row), np.int64)
+        for a in range(0, len(left), SLICE):
+            l = left[a:a + SLICE]
+            lo = np.searchsorted(component[right], component[l[0]])
+            hi = np.searchsorted(component[right], component[l[-1]], side="right")
+            for b in range(lo, hi, SLICE):
+                r = right[b:min(b + SLICE, hi)]
+                near = (x[l] @ x[r].T >= least) & (component[l][:, None] == component[r][None, :])
+                near &= row[l][:, None] != row[r][None, :]
+                links[l] += near @ weight[r]
+                if i != j:
+                    links[r] += weight[l] @ near
+        return pa.table({"row": row, "links": links})
 
     return run
 
 
 def _links_inside(vectors: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """(row, n_links): direct links within components to all copies of other rows, in blocks of about BLOCK members.
+    """(row, n_links): direct links within components to all copies of other rows, in blocks of about BLOCK_BYTES.
 
     Small components share a block (the pair test asks for the same component); a
-    large one is cut into blocks, and every pair of its blocks is a group of its own.
+    large one is cut into blocks, and every pair of its blocks is a group of its own: a
+    vector is copied once per block of its component, some 10,000 rows.
     """
-    sizes = labels.groupBy("component").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    shape = sizes.select("component", blocks.alias("blocks"))
-    small = max(1, -(-labels.count() // BLOCK))
-    held = (vectors.select("row", "raw", "weight").join(broadcast_if_small(labels.withColumnRenamed("node", "row")), "row")
-            .join(shape, "component"))
+    held = materialise(vectors.select("row", "raw", "weight", "dim").join(
+        broadcast_if_small(labels.withColumnRenamed("node", "row")), "row"), "vector-held")
+    sizes = held.groupBy("component").agg(F.sum(F.col("dim").cast("long") * 8).alias("bytes"))
+    blocks = F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")
+    shape = materialise(sizes.select("component", blocks.alias("blocks"), "bytes"), "vector-shape")
+    small = max(1, -(-(shape.agg(F.sum("bytes").alias("b")).first()["b"] or 0) // BLOCK_BYTES))
+    held = held.join(broadcast_if_small(shape.drop("bytes")), "component")
     place = F.when(F.col("blocks") > 1, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(small)))
     held = held.withColumn("place", place).withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = held.withColumn("other", other).select(
-        "place", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "row", "component",
+        "place", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "row", "component",
         "block", "weight", "raw")
-    return (pairs.groupBy("place", "i", "j").applyInArrow(_count_links(least), "row long, links long")
+    return (pairs.groupBy("place", "dim", "i", "j").applyInArrow(_count_links(least), "row long, links long")
             .groupBy("row").agg(F.sum("links").alias("n_links")))
 
 

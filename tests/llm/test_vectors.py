@@ -177,3 +177,21 @@ def test_vectors_with_clashing_columns(spark, make_vectors):
         "row", "raw", "dim", "part", "parts", "shelf", "asks", "score", "rank", "node", "component", "weight", "digest", "key", "n_links")])
     assert sorted(ann.search(clash, every=20, k=5).collect()) == sorted(ann.search(plain, every=20, k=5).collect())
     assert sorted(embedding_dedup.near_duplicate_vectors(clash).collect()) == sorted(embedding_dedup.near_duplicate_vectors(plain).collect())
+
+
+def test_links_of_a_large_component_and_of_small_ones_of_several_lengths(spark, make_vectors, monkeypatch):
+    """Counted in blocks of a few rows and in one block alike, against all pairs."""
+    rng = np.random.default_rng(31)
+    centre = rng.normal(size=6)
+    rows = [(i, (centre + 0.25 * rng.normal(size=6)).tolist()) for i in range(150)]
+    rows += [(200 + i, (rng.normal(size=3) + 4 * (i % 5 == k) * np.eye(3)[k % 3]).tolist()) for i in range(40) for k in [i % 5]]
+    rows += [(300 + i, rows[i][1]) for i in range(30)]
+    want = {}
+    for i, v in rows:
+        near = [j for j, w in rows if j != i and len(v) == len(w)
+                and float(np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w))) >= 0.9]
+        want[i] = len(near)
+    for size in (48 * 8, 1 << 24):
+        monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", size)
+        got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(make_vectors(rows), passes=40).collect()}
+        assert got == want
