@@ -81,9 +81,14 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words one after the other, and how many each has; a mark between words shows where they end."""
+        """Ids of words one after the other, and how many each has; a mark between words shows where they end.
+
+        A few thousand words at a time: what the tokenizer returns besides the ids takes much memory.
+        """
         joined = [(b" " + MARK + b" ").join([*words[at:at + 500], b""]).decode() for at in range(0, len(words), 500)]
-        parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(joined, add_special_tokens=False)]
+        parts = []
+        for at in range(0, len(joined), 10):
+            parts += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(joined[at:at + 10], add_special_tokens=False)]
         ids = np.concatenate(parts)
         ends = np.flatnonzero(ids == self.mark)
         return ids[ids != self.mark], np.diff(ends, prepend=-1) - 1
