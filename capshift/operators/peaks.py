@@ -58,7 +58,9 @@ def rolling_peak(parsed: DataFrame, lookback: dt.timedelta, metric: str = "overa
     m = _metric_col(metric)
     look_us = int(lookback.total_seconds() * 1_000_000)
     ev = with_metrics(parsed).where(F.col("time").isNotNull() & F.col("capacity_id").isNotNull())
-    ev = ev.select("capacity_id", "time", F.col(m).alias("value"), F.floor(micros(F.col("time")) / look_us).alias("block"))
+    # never null, so that the join below adds no filter to one side only: both sides must share their exchange
+    number = F.coalesce(F.floor(micros(F.col("time")) / look_us).cast("long"), F.lit(0).cast("long"))
+    ev = ev.select("capacity_id", "time", F.col(m).alias("value"), number.alias("block"))
     block = Window.partitionBy("capacity_id", "block")
     # both windows read the same four columns, so that they share one exchange
     so_far = ev.withColumn("own", F.max("value").over(block.orderBy("time")))

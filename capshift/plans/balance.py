@@ -153,11 +153,9 @@ class BalanceRun:
             if broken and self.strict:
                 raise ValueError(f"run {self.params.run_id}: {broken}")
         rivals = decide.contested(tick)
-        if self.materialize:
-            rivals = self._keep(rivals, "contested")
-            if rivals.isEmpty():
-                return tick
-        return decide.one_action_per_report(tick, rivals)
+        if self.materialize and rivals.isEmpty():
+            return tick
+        return decide.one_action_per_report(tick, self._keep(rivals, "contested"))
 
     @cached_property
     def lookups(self) -> DataFrame:

@@ -73,9 +73,10 @@ class RunStore:
         if not paths:
             raise LookupError(f"no published run has written {name}")
         rows = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*paths)
-        keyed = rows.withColumn("_folder", F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]*$", 1))
+        # a file belongs to the run whose folder it lies in; file paths are given URL-encoded
+        folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]*)/[^/]*$", 1)
+        keyed = rows.withColumn("_name", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).drop("run_id")
         known = runs.select("number", F.col("run_id").alias("_run"), F.regexp_extract("path", r"/([^/]*)/?$", 1).alias("_name"))
-        keyed = keyed.withColumn("_name", F.regexp_extract("_folder", r"/([^/]*)$", 1)).drop("_folder", "run_id")
         return keyed.join(F.broadcast(known), "_name").drop("_name").withColumnsRenamed({"number": "run_number", "_run": "run_id"})
 
     def publish(self, run) -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 
 import pytest
@@ -81,7 +82,9 @@ def test_a_number_that_is_taken_fails_the_run(spark, tmp_dir):
     store = RunStore(spark, tmp_dir)
     run = build(spark, events=[event("A", 0.9)], workspaces=WORKSPACES, datasets=DATASETS, reports=REPORT_HOME,
                 watched=[("P", "r1")], materialize=True)
+    run.params = dataclasses.replace(run.params, run_id="2024-01-22 00+a")
     store.publish(run)
+    assert [r.run_id for r in store.table("decisions").collect()] == ["2024-01-22 00+a"]
     assert run._kept == [] and store.table("decisions").count() == 1  # its scratch tables are gone, its outputs are not
     with pytest.raises(RuntimeError, match="taken"):
         store._place("000000000001.json", "{}")
