@@ -41,10 +41,12 @@ def with_rebind_payload(actions: DataFrame) -> DataFrame:
 
     A move whose copy does not exist yet is PENDING, and its body refers to the copy.
     """
-    workspace = F.col("target_workspace_id")
-    if "workspace_name" in actions.columns:
-        workspace = workspace_or_reference(workspace, F.col("workspace_name"))
-    dataset = F.coalesce("target_dataset_id", reference(dataset_key(workspace, F.col("target_dataset_name"))))
+    dataset = F.col("target_dataset_id")
+    if "target_dataset_name" in actions.columns:  # else a copy to come has no name to refer to
+        workspace = F.col("target_workspace_id")
+        if "workspace_name" in actions.columns:
+            workspace = workspace_or_reference(workspace, F.col("workspace_name"))
+        dataset = F.coalesce(dataset, reference(dataset_key(workspace, F.col("target_dataset_name"))))
     return actions.withColumns({
         "status": F.when(F.col("target_dataset_id").isNotNull(), F.lit("READY")).otherwise(F.lit("PENDING")),
         "payload": F.to_json(F.struct(dataset.alias("datasetId")))}).drop("workspace_name")
