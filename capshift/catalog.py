@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from capshift.operators import lineage, peaks, policy, replay, state
 from capshift.plans import workplan
-from capshift.plans.balance import BalanceRun, Inventory
+from capshift.plans.balance import BalanceRun, Inventory, Traced
 from capshift.sources.events import in_lookback, parse_events, with_metrics
 from capshift.sources import tables
 from capshift.sources.fixtures import HEADROOM, MOVE_T, RECOVER_R, TARGET_NATION, Fixture
@@ -258,15 +258,18 @@ def q_balance_stream(spark, sf_dir):
     week = F.floor(F.timestamp_diff("SECOND", F.lit(FIRST_WEEK).cast("timestamp_ntz"), F.col("ts")) / (7 * 86400))
     week = F.least(F.greatest(week, F.lit(0)), F.lit(WEEKS - 1))
 
+    inventory = Inventory(fx.workspaces, fx.datasets, fx.reports)
+    traced = Traced(lineage.watched_reports(fx.watch_lists), inventory)  # the same for all runs
+
     def make_run(params, repoints, typed):
-        return BalanceRun.from_watch_lists(params, fx.policies, fx.watch_lists, repoints,
-                                           Inventory(fx.workspaces, fx.datasets, fx.reports), typed)
+        return BalanceRun.from_watch_lists(params, fx.policies, fx.watch_lists, repoints, inventory, typed, traced=traced)
 
     for at in range(WEEKS):
         events.where(week == at).write.mode("append").parquet(f"{root}/arrivals")
         arrived = spark.readStream.schema(events.schema).parquet(f"{root}/arrivals")
         store = stream_balance.balance_stream(spark, Fixture.envelope_from_events(arrived), root, make_run,
                                               fx.params.lookback, fx.state)
+    traced.release()
     runs = store.commits().select(F.col("number").alias("run_number"), "as_of")
     return store.table("decisions").drop("run_id").join(F.broadcast(runs), "run_number")
 

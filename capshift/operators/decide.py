@@ -88,17 +88,29 @@ def policy_context(policies: DataFrame, workspaces: DataFrame, peaks: DataFrame)
         *OPTIONAL_POLICY_COLUMNS)
 
 
+def state_rows(state: DataFrame) -> DataFrame:
+    """The state reduced to one row per report (L1), the smallest, with the number of rows it had."""
+    columns = ["initial_dataset_id", "target_dataset_id", "target_workspace_id"]
+    one = state.groupBy("report_id").agg(F.min(F.struct(*columns)).alias("_first"), F.count(F.lit(1)).alias("n_state"))
+    return one.select("report_id", "n_state", *[F.col("_first")[c].alias(c) for c in columns]).withColumnRenamed(
+        "target_workspace_id", "state_target_workspace_id")
+
+
+def placed_datasets(datasets: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Where every dataset lies: (initial_dataset_id, initial_workspace_id, initial_capacity_id), one row per dataset."""
+    d, w = one_dataset(datasets), one_workspace(workspaces)
+    home_ds = d.select(F.col("workspace_id").alias("initial_workspace_id"), F.col("dataset_id").alias("initial_dataset_id"))
+    home_ws = w.select(F.col("workspace_id").alias("initial_workspace_id"), F.col("capacity_id").alias("initial_capacity_id"))
+    return home_ds.join(home_ws, "initial_workspace_id", "left")
+
+
 def home_of(state: DataFrame, datasets: DataFrame, workspaces: DataFrame, peaks: DataFrame) -> DataFrame:
     """Per report of the state its home: initial dataset -> workspace -> capacity -> peak.
 
     Resolved on the state alone, so the reports that were never moved (most of them)
-    never meet as null keys in these joins. Reduced to one row per report (L1), the
-    smallest, with the number of rows it had.
+    never meet as null keys in these joins.
     """
-    columns = ["initial_dataset_id", "target_dataset_id", "target_workspace_id"]
-    one = state.groupBy("report_id").agg(F.min(F.struct(*columns)).alias("_first"), F.count(F.lit(1)).alias("n_state"))
-    s = one.select("report_id", "n_state", *[F.col("_first")[c].alias(c) for c in columns]).withColumnRenamed(
-        "target_workspace_id", "state_target_workspace_id")
+    s = state_rows(state)
     d, w = one_dataset(datasets), one_workspace(workspaces)
     home_ds = d.select(F.col("dataset_id").alias("initial_dataset_id"),
                        F.col("workspace_id").alias("initial_workspace_id"))
@@ -108,34 +120,63 @@ def home_of(state: DataFrame, datasets: DataFrame, workspaces: DataFrame, peaks:
     return with_peak(s, peaks, "initial_capacity_id", "initial_peak", events_col="initial_events")
 
 
-def tick_table(watched_ctx: DataFrame, state: DataFrame, reports: DataFrame, datasets: DataFrame,
-               workspaces: DataFrame, peaks: DataFrame) -> DataFrame:
-    """Every watched report with its state row, both lineages, both peaks and its decision.
-
-    ``watched_ctx`` is the watched list joined with ``policy_context``. Joins:
-    the state with its homes and the reports on report_id (co-partitioned, one shuffle
-    of each side), datasets on the current dataset id, workspaces and peaks (small;
-    broadcast when measured small at run time).
-    """
+def _current_lineage(j: DataFrame, reports: DataFrame, datasets: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """J1-J4 on rows with a ``report_id`` (and a ``workspace_id`` where the watched list names it)."""
     r = one_report(reports).withColumnsRenamed({"workspace_id": "report_workspace_id", "n_listed": "n_report"})
     d, w = one_dataset(datasets), one_workspace(workspaces)
     cur_ds = d.select("dataset_id", F.col("name").alias("dataset_name"),
                       F.col("workspace_id").alias("dataset_workspace_id"))
     cur_ws = w.select(F.col("workspace_id").alias("dataset_workspace_id"), "capacity_id")
-    j = watched_ctx
-    if "workspace_id" in j.columns:
-        # A watched pair is the report of that workspace; a pair that is not listed resolves to nothing.
-        pairs = report_in_workspace(reports).select(
-            "report_id", F.col("workspace_id").alias("given_workspace_id"), F.col("dataset_id").alias("pair_dataset_id"))
-        j = j.withColumn("given_workspace_id", py_strip(F.col("workspace_id"))).drop("workspace_id")
-        j = j.join(pairs, ["report_id", "given_workspace_id"], "left")
-    j = j.join(home_of(state, datasets, workspaces, peaks), "report_id", "left").join(r, "report_id", "left")
+    j = j.join(r, "report_id", "left")
     if "given_workspace_id" in j.columns:
         given = F.col("given_workspace_id").isNotNull()
         j = j.withColumns({
             "report_workspace_id": F.when(given, F.col("given_workspace_id")).otherwise(F.col("report_workspace_id")),
             "dataset_id": F.when(given, F.col("pair_dataset_id")).otherwise(F.col("dataset_id"))}).drop("pair_dataset_id")
-    j = j.join(cur_ds, "dataset_id", "left").join(cur_ws, "dataset_workspace_id", "left")
+    return j.join(cur_ds, "dataset_id", "left").join(cur_ws, "dataset_workspace_id", "left")
+
+
+def _given_pairs(watched: DataFrame, reports: DataFrame) -> DataFrame:
+    """A watched pair is the report of that workspace; a pair that is not listed resolves to nothing."""
+    if "workspace_id" not in watched.columns:
+        return watched
+    pairs = report_in_workspace(reports).select(
+        "report_id", F.col("workspace_id").alias("given_workspace_id"), F.col("dataset_id").alias("pair_dataset_id"))
+    j = watched.withColumn("given_workspace_id", py_strip(F.col("workspace_id"))).drop("workspace_id")
+    return j.join(pairs, ["report_id", "given_workspace_id"], "left")
+
+
+def traced_reports(watched: DataFrame, reports: DataFrame, datasets: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """The part of the tick that no event and no state touches: every watched report with its current lineage."""
+    return _current_lineage(_given_pairs(watched, reports), reports, datasets, workspaces)
+
+
+def tick_table(watched_ctx: DataFrame, state: DataFrame, reports: DataFrame, datasets: DataFrame,
+               workspaces: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Every watched report with its state row, both lineages, both peaks and its decision.
+
+    ``watched_ctx`` is the watched list joined with ``policy_context``. Joins:
+    the state with its homes and the reports on report_id (co-partitioned, one shuffle
+    of each side), datasets on the current dataset id, workspaces and peaks (small;
+    broadcast when measured small at run time).
+    """
+    j = _given_pairs(watched_ctx, reports).join(home_of(state, datasets, workspaces, peaks), "report_id", "left")
+    return _decided(_current_lineage(j, reports, datasets, workspaces), peaks)
+
+
+def tick_of_traced(traced_ctx: DataFrame, state: DataFrame, placed: DataFrame, peaks: DataFrame) -> DataFrame:
+    """``tick_table`` from ``traced_reports`` (joined with ``policy_context``) and ``placed_datasets``, both there already."""
+    homes = with_peak(state_rows(state).join(placed, "initial_dataset_id", "left"), peaks,
+                      "initial_capacity_id", "initial_peak", events_col="initial_events")
+    return _decided(traced_ctx.join(homes, "report_id", "left"), peaks)
+
+
+# Columns that are the same for all reports of a policy and that nothing reads once the decision is taken.
+DECIDED_BY = ("recovery_threshold", "resolution", "target_peak", "gate_threshold", "overloaded", "initial_events",
+              *OPTIONAL_POLICY_COLUMNS)
+
+
+def _decided(j: DataFrame, peaks: DataFrame) -> DataFrame:
     j = with_peak(j, peaks, "capacity_id", "utilization")
     valid = F.coalesce(F.col("valid"), F.lit(False))
     recover = (valid & F.col("initial_dataset_id").isNotNull() & F.col("initial_capacity_id").isNotNull()
@@ -149,7 +190,7 @@ def tick_table(watched_ctx: DataFrame, state: DataFrame, reports: DataFrame, dat
                 .when(F.col("utilization") > F.col("move_threshold"), "MOVE")
                 .otherwise("LOW_UTILIZATION"))
     return j.withColumns({"decision": decision, "in_state": F.col("initial_dataset_id").isNotNull(),
-                          "valid": valid})
+                          "valid": valid}).drop(*DECIDED_BY)
 
 
 # Which of several policies acts on a report they all watch: smaller goes first.

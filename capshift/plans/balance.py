@@ -47,6 +47,49 @@ class LazyInventory:
         raise AttributeError(name)
 
 
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _delete(paths: list[str]) -> None:
+    spark = SparkSession.getActiveSession()
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    paths.clear()
+
+
+class Traced:
+    """What runs over one and the same inventory and watched list have in common, worked out once for all of them.
+
+    Neither events nor state touch the lineage of the watched reports and the places of the
+    datasets. Both are written on first use, under the shared checkpoint folder, and read by
+    every run they are given to; ``release`` deletes them.
+    """
+
+    def __init__(self, watched: DataFrame, inventory: Inventory | LazyInventory):
+        self._watched, self._inv = watched, inventory
+        self._paths: list[str] = []
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(df.sparkSession, f"traced/{name}")
+        self._paths.append(path)
+        return _kept(df, path)
+
+    @cached_property
+    def reports(self) -> DataFrame:
+        inv = self._inv
+        return self._keep(decide.traced_reports(self._watched, inv.reports, inv.datasets, inv.workspaces), "reports")
+
+    @cached_property
+    def datasets(self) -> DataFrame:
+        return self._keep(decide.placed_datasets(self._inv.datasets, self._inv.workspaces), "datasets")
+
+    def release(self) -> None:
+        _delete(self._paths)
+
+
 class BalanceRun:
     """Inputs are DataFrames, or are read on first use from ``source`` (any object
     with attributes ``policies``, ``watch_lists``, ``state``, ``capacity_events``
@@ -57,8 +100,8 @@ class BalanceRun:
     def __init__(self, params: RunParams, policies: DataFrame | None = None, watched: DataFrame | None = None,
                  state_df: DataFrame | None = None, inventory: Inventory | LazyInventory | None = None,
                  capacity_events: DataFrame | None = None, materialize: bool = True,
-                 watch_lists: DataFrame | None = None, source=None, strict: bool = False):
-        """``strict`` makes a run fail whose inputs break a uniqueness check; otherwise ``checks`` counts such reports."""
+                 watch_lists: DataFrame | None = None, source=None, strict: bool = False, traced: Traced | None = None):
+        """``traced``: the lineage of these watched reports in this inventory, shared with other runs. ``strict`` makes a run fail whose inputs break a uniqueness check; otherwise ``checks`` counts such reports."""
         self.params = params
         self.strict = strict
         self.checks: dict[str, int] = {}
@@ -68,6 +111,7 @@ class BalanceRun:
         self._given = {"policies": policies, "watched": watched, "state": state_df,
                        "capacity_events": capacity_events, "watch_lists": watch_lists}
         self._source = source
+        self._traced = traced
         self.inv = inventory if inventory is not None else LazyInventory(source)
 
     def _input(self, name: str) -> DataFrame:
@@ -104,16 +148,11 @@ class BalanceRun:
             return df
         path = scratch_path(df.sparkSession, f"run-{self.params.run_id}/{name}")
         self._kept.append(path)
-        df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.parquet(path)
+        return _kept(df, path)
 
     def release(self) -> None:
         """Delete the tables that the run kept for itself; its outputs are no longer read from it afterwards."""
-        spark = SparkSession.getActiveSession()
-        for path in self._kept:
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-        self._kept.clear()
+        _delete(self._kept)
 
     # -- measurements -----------------------------------------------------------
     @cached_property
@@ -144,8 +183,12 @@ class BalanceRun:
     # -- the tick ---------------------------------------------------------------
     @cached_property
     def tick(self) -> DataFrame:
-        tick = decide.tick_table(self.watched_ctx, self.state, self.inv.reports, self.inv.datasets,
-                                 self.inv.workspaces, self.peaks)
+        if self._traced is None:
+            tick = decide.tick_table(self.watched_ctx, self.state, self.inv.reports, self.inv.datasets,
+                                     self.inv.workspaces, self.peaks)
+        else:
+            traced_ctx = join_small(self._traced.reports, self.context, "policy_id", "left")
+            tick = decide.tick_of_traced(traced_ctx, self.state, self._traced.datasets, self.peaks)
         if self.materialize:
             tick = self._keep(tick.observe(self._observed, *decide.tick_checks(tick)), "tick")
             self.checks = dict(self._observed.get)

@@ -44,7 +44,7 @@ REPORT_KINDS = {
 
 
 def _report_entries(tick: DataFrame) -> F.Column:
-    """All log entries of one watched report, as an array of (kind, capacity, value, message)."""
+    """The log entries of one watched report, as an array of (kind, capacity, value, message); null where one does not apply."""
     d = F.col("decision")
     rec = d == "RECOVER"
     inv = d == "INVALID_POLICY"
@@ -72,13 +72,14 @@ def _report_entries(tick: DataFrame) -> F.Column:
                        F.coalesce(home_ws, F.lit("unknown")))),
         entry(d.isin(*REPORT_KINDS), d, cap, util, F.concat(F.lit("report "), rid, text)),
     ]
-    return F.filter(F.array(*entries), lambda e: e.isNotNull())
+    return F.array(*entries)
 
 
 def decision_log(params: RunParams, peaks: DataFrame, tick: DataFrame, gate: DataFrame, actions: DataFrame,
                  new_workspaces: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
     """D-L: capacity readings, one pass over the tick for per-report entries, gates, rebinds, new workspaces, connections."""
-    per_report = tick.select("policy_id", "report_id", F.explode(_report_entries(tick)).alias("e"))
+    # (nulls are dropped after the explode: filtering inside the array is not compiled, and costs more than the rest)
+    per_report = tick.select("policy_id", "report_id", F.explode(_report_entries(tick)).alias("e")).where("e is not null")
     per_report = _rows(per_report.select("policy_id", "report_id", "e.*"), params, None, F.col("message"))
     parts = [
         _rows(peaks, params, "CONSUMPTION",

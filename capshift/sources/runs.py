@@ -10,6 +10,7 @@ another one finds its number taken and fails instead of building on an old state
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from pyspark.sql import types as T
 
 from capshift import schemas
 
+# Folders of runs that read back as written when they are taken as partition values.
+PLAIN_FOLDER = re.compile(r"run_id=(?!__HIVE_DEFAULT_PARTITION__$)[^%/]+")
+
 COMMIT = T.StructType([
     T.StructField("number", T.LongType()),
     T.StructField("run_id", T.StringType()),
@@ -72,11 +76,20 @@ class RunStore:
         paths = [r["path"] for r in runs.orderBy("number").collect()]  # one short row per run
         if not paths:
             raise LookupError(f"no published run has written {name}")
-        rows = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*paths)
-        # a file belongs to the run whose folder it lies in; file paths are given URL-encoded
-        folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]*)/[^/]*$", 1)
-        keyed = rows.withColumn("_name", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).drop("run_id")
+        reader = self.spark.read.option("basePath", f"{self.root}/{name}")
+        rows = reader.parquet(*paths)
         known = runs.select("number", F.col("run_id").alias("_run"), F.regexp_extract("path", r"/([^/]*)/?$", 1).alias("_name"))
+        # a file belongs to the run whose folder it lies in
+        folders = [path.rstrip("/").rsplit("/", 1)[-1] for path in paths]
+        if all(PLAIN_FOLDER.fullmatch(folder) for folder in folders):
+            # the folder is a partition value, one constant a file; as text, so that 007 stays 007
+            as_text = T.StructType([f for f in rows.schema if f.name != "run_id"] + [T.StructField("run_id", T.StringType())])
+            keyed = reader.schema(as_text).parquet(*paths)
+            keyed = keyed.withColumn("_name", F.concat(F.lit("run_id="), F.col("run_id"))).drop("run_id")
+        else:
+            # by file path, taken apart for every row; file paths are given URL-encoded
+            folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]*)/[^/]*$", 1)
+            keyed = rows.withColumn("_name", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).drop("run_id")
         return keyed.join(F.broadcast(known), "_name").drop("_name").withColumnsRenamed({"number": "run_number", "_run": "run_id"})
 
     def publish(self, run) -> dict:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
 
 import pytest
 
 from capshift import schemas
+from capshift.operators import decide
 from capshift.params import RunParams
-from capshift.plans.balance import BalanceRun, Inventory
+from capshift.plans.balance import BalanceRun, Inventory, Traced
 from capshift.sources.events import read_capacity_event_stream
 from capshift.sources.runs import RunStore
 from capshift.streaming.balance import balance_each_batch, balance_stream
@@ -142,3 +144,47 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_dir):
     # a batch whose run died before its commit is added and run again, once
     assert RunParams(as_of=T0).run_id == "run-0"
     assert [r.initial_dataset_id for r in store.state().collect()] == ["dsA"]
+
+
+def test_runs_of_a_stream_share_what_no_event_touches(spark, tmp_dir, monkeypatch):
+    minutes = dt.timedelta(minutes=1)
+    calls = []
+    for step in ("traced_reports", "placed_datasets", "tick_table"):
+        monkeypatch.setattr(decide, step, lambda *a, _step=getattr(decide, step), _name=step: calls.append(_name) or _step(*a))
+    policies = spark.createDataFrame([("P", "", "", "wsB", MOVE, RECOVER, 0.8)], schemas.POLICIES)
+    watched = spark.createDataFrame([("P", "r1"), ("P", "r1"), ("P", "ghost"), (None, "r1")], schemas.WATCHED)
+    inv = inventory(spark)
+    traced = Traced(watched, inv)
+
+    def drained(at, **shared):
+        store = RunStore(spark, f"{tmp_dir}/{at}/runs")
+        step = balance_each_batch(spark, store, f"{tmp_dir}/{at}/events",
+                                  lambda params, state, events: BalanceRun(params, policies, watched, state, inv, events, **shared),
+                                  5 * minutes)
+        for k, (a, b) in enumerate(((0.9, 0.1), (0.9, 0.1), (0.1, 0.1))):
+            step(spark.createDataFrame([event(c, u, when=T0 + 6 * k * minutes) for c, u in (("A", a), ("B", b))],
+                                       schemas.CAPACITY_EVENTS), k)
+        return {name: sorted(map(str, store.table(name).collect())) for name in
+                ("decisions", "report_repoints", "actions", "work_plan", "copies", "decision_log", "alerts")}
+
+    shared = drained("shared", traced=traced)
+    assert sorted(calls) == ["placed_datasets", "traced_reports"]  # once for three runs
+    assert shared == drained("alone") and calls.count("tick_table") == 3
+    assert len(traced._paths) == 2
+    traced.release()
+    assert traced._paths == []
+
+
+def test_rows_of_runs_are_told_apart_without_looking_at_every_path(spark, tmp_dir):
+    for root, names, by_path in ((f"{tmp_dir}/plain", ("007", "7", "2024-01-22 00+a"), False),
+                                 (f"{tmp_dir}/odd", ("7", "a%20b", "a b"), True)):
+        store = RunStore(spark, root)
+        for k, name in enumerate(names):
+            path = f"{root}/decisions/run_id={name}"
+            spark.range(k + 1).selectExpr("id", "'other' AS run_id").write.parquet(path)
+            record = {"number": k + 1, "run_id": name, "as_of": T0.isoformat(), "tables": {"decisions": path}}
+            store._place(f"{k + 1:012d}.json", json.dumps(record))
+        rows = store.table("decisions")
+        assert sorted((r.run_number, r.run_id, r.id) for r in rows.collect()) == [
+            (k + 1, name, i) for k, name in enumerate(names) for i in range(k + 1)]
+        assert ("file_path" in rows._jdf.queryExecution().optimizedPlan().toString()) == by_path
